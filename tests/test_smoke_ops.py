@@ -1,0 +1 @@
+from pyspark.sql import functions as F
