@@ -11,6 +11,7 @@ import codecs
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 # --- fixed values -----------------------------------------------------------
 UTF8_NAMES = ["utf-8", "utf8"]
@@ -23,7 +24,7 @@ NATIVE = UTF8_NAMES + UTF8_BOM_NAMES + ASCII_NAMES + LATIN1_NAMES
 BOM = bytearray(b"\xef\xbb\xbf")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def python_decode(content: pd.Series, name: pd.Series) -> pd.Series:
     def decode(data: bytes | None, codec: str | None) -> str | None:
         if data is None or codec is None:
@@ -36,7 +37,7 @@ def python_decode(content: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([decode(d, c) for d, c in zip(content, name)], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def python_encode(text: pd.Series, name: pd.Series) -> pd.Series:
     def encode(value: str | None, codec: str | None) -> bytes | None:
         if value is None or codec is None:

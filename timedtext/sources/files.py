@@ -13,15 +13,17 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from timedtext import schemas
 from timedtext.functions import fixed
 from timedtext.functions.codecs import decode_bytes
-from timedtext.functions.text import as_col, normalize_newlines, whole_div
+from timedtext.functions.text import as_col, is_blank, normalize_newlines
 
 # --- fixed values -----------------------------------------------------------
 # Where a cue begins, and the fields of one cue.
-CUE_BREAK = r"\n+(?=-?\d+\n\d+:\d+:\d+[,.:]\d+ *-->)"
+TIME = r"\d{1,6}:\d{1,9}:\d{1,9}[,.:]\d{1,9}"
+CUE_BREAK = rf"\n+(?=-?\d+\n{TIME} *--> *{TIME})"
 CUE = (
-    r"\A\s*(-?\d+)\n"
-    r"(\d+):(\d+):(\d+)[,.:](\d+) *--> *(\d+):(\d+):(\d+)[,.:](\d+)"
-    r"[ \t]*([^\n]*)(?:\n([\s\S]*?))?\s*\z"
+    r"\A(-?\d+)\n"
+    r"(\d{1,6}):(\d{1,9}):(\d{1,9})[,.:](\d{1,9}) *--> *"
+    r"(\d{1,6}):(\d{1,9}):(\d{1,9})[,.:](\d{1,9})"
+    r"[ \t]*([^\n]*)(?:\n([\s\S]*?))?\n*\z"
 )
 # --- end of fixed values ----------------------------------------------------
 
@@ -59,8 +61,8 @@ def decode_files(files: DataFrame, encoding: Column | str = "UTF-8") -> DataFram
 
 
 def cue_chunks(text: Column) -> Column:
-    body = F.regexp_replace(text, r"\A\x{FEFF}?\s*|\s+\z", "")
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(
+    body = F.regexp_replace(text, r"\A\x{FEFF}?\s*|\n+\z", "")
+    return F.when(is_blank(body), F.array().cast("array<string>")).otherwise(
         F.split(body, CUE_BREAK, -1)
     )
 
@@ -108,7 +110,7 @@ def parse_cues(
         time(6).alias("end_ms"),
         field(11).alias("content"),
         field(10).alias("proprietary"),
-        field(1).cast("bigint").alias("index"),
+        field(1).try_cast("bigint").alias("index"),
         *keep,
     )
 
