@@ -40,9 +40,23 @@ def rstrip(text: Column | str) -> Column:
     return F.regexp_replace(as_col(text), fixed.SPACE + r"+\z", "")
 
 
+def split_at_boundaries(text: Column, profile: str = "v1") -> Column:
+    """Array of what lies between sentence boundaries.
+
+    ``split`` compiles its pattern anew for every row, which is slow for many short texts;
+    ``regexp_replace`` keeps it, and splitting at one plain character needs none. So the
+    boundaries become a character that no text should have; a text that has it is split
+    by the pattern.
+    """
+    marked = F.regexp_replace(text, fixed.BOUNDARY[profile], "\0")
+    return F.when(
+        F.contains(text, F.lit("\0")), F.split(text, fixed.BOUNDARY[profile], -1)
+    ).otherwise(F.split(marked, "\0", -1))
+
+
 def split_sentences(text: Column | str, profile: str = "v1") -> Column:
     """Array of the sentences of one text; profile v0 keeps blank parts."""
-    parts = F.split(as_col(text), fixed.BOUNDARY[profile], -1)
+    parts = split_at_boundaries(as_col(text), profile)
     if profile == "v0":
         return parts
     return F.filter(parts, lambda s: ~is_blank(s))
@@ -111,45 +125,59 @@ def encoded_name(path: Column | str, target: Column) -> Column:
 # --- cutting a translated sentence ------------------------------------------
 
 
-def snap_to_space(text: Column, cut: Column, profile: str = "v1") -> Column:
-    """Position after the space nearest to a cut; the left one wins a tie."""
-    back = F.instr(F.reverse(F.substr(text, F.lit(1), cut)), F.lit(" "))
-    ahead = F.instr(F.substr(text, cut + 1), F.lit(" "))
-    after_left = F.when(back > 0, cut - back + 1).otherwise(F.lit(0))
-    after_right = cut + ahead
-    # distance to the left space: back; to the right one: ahead - 1
-    if profile == "v0":
-        to_left = F.when(back > 0, back).otherwise(cut + 1)
-        return F.when(to_left > ahead - 1, after_right).otherwise(after_left)
-    return (
-        F.when((back == 0) & (ahead == 0), F.when(F.length(text) == 0, 0).otherwise(cut))
-        .when(back == 0, after_right)
-        .when(ahead == 0, after_left)
-        .when(back > ahead - 1, after_right)
-        .otherwise(after_left)
+def snap_to_space(text: Column, cuts: Column, profile: str = "v1") -> Column:
+    """Every cut of an array becomes the position after the nearest space; the left one
+    wins a tie."""
+    near = F.transform(
+        cuts,
+        lambda cut: F.struct(
+            cut.alias("cut"),
+            # distance back to the space on the left, and ahead to behind the right one
+            F.instr(F.reverse(F.substr(text, F.lit(1), cut)), F.lit(" ")).alias("back"),
+            F.instr(F.substr(text, cut + 1), F.lit(" ")).alias("ahead"),
+        ),
     )
 
+    def choose(at: Column) -> Column:
+        cut, back, ahead = at["cut"], at["back"], at["ahead"]
+        if profile == "v0":
+            to_left = F.when(back > 0, back).otherwise(cut + 1)
+            left = F.when(back > 0, cut - back + 1).otherwise(F.lit(0))
+            return F.when(to_left > ahead - 1, cut + ahead).otherwise(left)
+        return (
+            F.when((back == 0) & (ahead == 0), cut)
+            .when((back == 0) | ((ahead > 0) & (back > ahead - 1)), cut + ahead)
+            .otherwise(cut - back + 1)
+        )
+
+    return F.transform(near, choose)
 
-def snap_to_word(words: Column, cut: Column) -> Column:
-    """End of the first given word that reaches the cut, and of a full-width
-    comma right after it. Without words the cut stays."""
-    begin = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("index"), F.lit(False).alias("done"))
+
+def word_ends(words: Column) -> Column:
+    """Where each word ends in the text the words make up."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
     def step(acc: Column, word: Column) -> Column:
-        end = acc["end"] + F.length(word)
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(
-                end.alias("end"), (acc["index"] + 1).alias("index"), (end >= cut).alias("done")
-            )
-        )
+        at = acc["at"] + F.length(word)
+        return F.struct(at.alias("at"), F.concat(acc["ends"], F.array(at)).alias("ends"))
+
+    return F.aggregate(words, start, step, lambda acc: acc["ends"])
+
+
+def snap_to_word(words: Column, ends: Column, cuts: Column) -> Column:
+    """Every cut of an array becomes the end of the first given word that reaches it, and
+    of a full-width comma right after that word. Give ``words`` and ``ends`` (their
+    ``word_ends``) as plain columns: they are looked at once per cut."""
+    hits = F.transform(
+        cuts, lambda cut: F.array_position(F.transform(ends, lambda e: e >= cut), True).cast("int")
+    )
 
-    def finish(acc: Column) -> Column:
-        following = F.get(words, acc["index"] + 1)
-        comma = F.coalesce(following == F.lit(fixed.CHINESE_COMMA), F.lit(False))
-        return acc["end"] + F.when(comma, 1).otherwise(0)
+    def choose(hit: Column) -> Column:
+        comma = F.coalesce(F.get(words, hit) == F.lit(fixed.CHINESE_COMMA), F.lit(False))
+        reached = F.get(ends, hit - 1) + F.when(comma, 1).otherwise(0)
+        return F.when(hit > 0, reached).otherwise(F.element_at(ends, -1))
 
-    known = words.isNotNull() & (F.size(words) > 0)
-    return F.when(known, F.aggregate(words, begin, step, finish)).otherwise(cut)
+    return F.transform(hits, choose)
 
 
 # --- subtitle time codes ----------------------------------------------------

@@ -14,6 +14,7 @@ from timedtext.functions.text import (
     snap_to_space,
     snap_to_word,
     whole_div,
+    word_ends,
 )
 from timedtext.operators.align import aligned_ends
 
@@ -45,15 +46,6 @@ def project_translation(
     space, chinese = (F.lit(c) if isinstance(c, bool) else c for c in (space, chinese))
     text, n = F.col("translated"), F.col("n")
 
-    def snapped(cut: Column) -> Column:
-        word_cut = cut if words is None else snap_to_word(words, cut)
-        return (
-            F.when(chinese, word_cut)
-            .when(space, snap_to_space(text, cut, profile))
-            .otherwise(cut)
-            .cast("int")
-        )
-
     rows = (
         sentence_rows.where("kept")
         .withColumn("translated", F.coalesce("translated", F.lit("")))
@@ -62,13 +54,18 @@ def project_translation(
         .withColumn("whole", F.get("ends", n - 1)["rel"])
     )
     inner = F.slice("ends", F.lit(1), F.greatest(n - 1, F.lit(0)))
+    size = F.length(text)
     rows = rows.withColumn(
-        "cuts",
-        F.transform(
-            inner,
-            lambda e: snapped(whole_div(F.length(text) * e["rel"], F.col("whole")).cast("int")),
-        ),
+        "raw_cuts",
+        F.transform(inner, lambda e: whole_div(size * e["rel"], F.col("whole")).cast("int")),
     )
+    cuts = F.when(space & ~chinese, snap_to_space(text, F.col("raw_cuts"), profile))
+    if words is not None:
+        rows = rows.withColumn("words", words).withColumn("word_ends", word_ends(F.col("words")))
+        has_words = F.col("words").isNotNull() & (F.size("words") > 0) & (size > 0)
+        snapped = snap_to_word(F.col("words"), F.col("word_ends"), F.col("raw_cuts"))
+        cuts = cuts.when(chinese & has_words, snapped)
+    rows = rows.withColumn("cuts", cuts.otherwise(F.col("raw_cuts")))
 
     def piece(end: Column, at: Column) -> Column:
         begin = F.when(at == 0, 0).otherwise(F.get("cuts", at - 1))

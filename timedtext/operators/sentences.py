@@ -13,6 +13,7 @@ from timedtext.functions.text import (
     flatten_lines,
     is_blank,
     rstrip,
+    split_at_boundaries,
     split_sentences,
 )
 from timedtext.operators.blocks import BLOCK_ROWS, block_of, carried_sums, running_sum
@@ -115,9 +116,20 @@ def fragments(
     context = F.regexp_replace(F.right(before, F.lit(look)), fixed.SPACE, "-")
     cut = rows.withColumn("context", context).where(home == F.col("block"))
 
-    parts = F.split(F.concat("context", "piece"), fixed.BOUNDARY[profile], -1)
+    parts = split_at_boundaries(F.concat("context", "piece"), profile)
     cut = cut.select(
-        "file_id", *keep, "cue", "block", F.length("context").alias("skip"), parts.alias("parts")
+        "file_id",
+        *keep,
+        "cue",
+        "block",
+        F.length("piece").cast("bigint").alias("size"),
+        F.length("context").alias("skip"),
+        parts.alias("parts"),
+    )
+    carried = carried_sums(
+        cut,
+        ["file_id", *keep],
+        {"chars": F.col("size"), "closed": (F.size("parts") - 1).cast("bigint")},
     )
     # A boundary at the very end of the cue leaves an empty part, which says nothing.
     ends_closed = (F.size("parts") > 1) & (F.element_at("parts", -1) == "")
@@ -151,13 +163,13 @@ def fragments(
 
     closes = F.col("closes").cast("bigint")
     size = F.length("text").cast("bigint") + closes
-    carried = carried_sums(pieces, ["file_id", *keep], {"chars": size, "closed": closes})
     running = in_block.orderBy("cue", "frag").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        pieces.withColumn("chars", F.sum(size).over(running))
-        .withColumn("closed", F.sum(closes).over(running))
+        pieces.select(
+            "*", F.sum(size).over(running).alias("chars"), F.sum(closes).over(running).alias("closed")
+        )
         .join(carried.drop(*keep), ["file_id", "block"], "left")
         .select(
             "file_id",

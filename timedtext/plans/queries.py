@@ -41,7 +41,7 @@ from timedtext.sources.files import (
     scan_files,
     write_named_files,
 )
-from timedtext.sources.tables import cues_from_texts, cues_from_turns
+from timedtext.sources.tables import cues_from_texts, cues_from_turns, spread
 from timedtext.streaming.files import translate_stream
 
 LANGUAGES = ("src_lang", "tgt_lang")
@@ -63,7 +63,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("lang") == "de", "ja")
         .otherwise("fr")
     )
-    return spark.read.parquet(f"{sf}/documents.parquet").select(
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").select(
         "doc_id", "text", F.col("lang").alias("src_lang"), target.alias("tgt_lang"), "source"
     )
 
@@ -128,7 +128,7 @@ def document_files(spark: SparkSession, sf: str) -> DataFrame:
     low = F.encode(F.regexp_replace(text, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
     wide = F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode(text, "UTF-16LE"))
     return (
-        spark.read.parquet(f"{sf}/documents.parquet")
+        documents(spark, sf)
         .select("doc_id", "text", F.explode(F.array(*map(F.lit, FORMS))).alias("form"))
         .select(
             F.concat(F.lit("in/"), F.col("doc_id"), F.lit("-"), form, F.lit(".srt")).alias("path"),

@@ -13,6 +13,15 @@ CUE_STEP_MS = 3000
 CUE_SHOWN_MS = 2500
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table that is read by fewer tasks than there are cores, as one file with one row
+    group is, is spread over all of them by a unique key. Large tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, key)
+
+
 def cues_from_turns(
     turns: DataFrame,
     file_id: Column | str = "conv_id",
