@@ -53,20 +53,13 @@ def cues_from_texts(
 
     Words are what spaces separate; line breaks stay in the content. No shuffle.
     """
-    words = F.split(as_col(text), " ", -1)
-    starts = F.sequence(F.lit(1), F.size("words"), F.lit(words_per_cue))
+    cue = rf"((?:[^ ]* ){{1,{words_per_cue}}})"
+    cues = F.regexp_extract_all(F.concat(as_col(text), F.lit(" ")), F.lit(cue), F.lit(1))
     return (
-        texts.select(as_col(file_id).alias("file_id"), *keep, words.alias("words"))
-        .select(
-            "file_id",
-            *keep,
-            F.posexplode(
-                F.transform(
-                    starts,
-                    lambda at: F.array_join(F.slice("words", at, F.lit(words_per_cue)), " "),
-                )
-            ).alias("pos", "content"),
+        texts.select(
+            as_col(file_id).alias("file_id"), *keep, F.posexplode(cues).alias("pos", "spaced")
         )
+        .withColumn("content", F.substr("spaced", F.lit(1), F.length("spaced") - 1))
         .select(
             "file_id",
             (F.col("pos") + 1).cast("bigint").alias("cue"),
