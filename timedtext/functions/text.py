@@ -153,31 +153,39 @@ def snap_to_space(text: Column, cuts: Column, profile: str = "v1") -> Column:
     return F.transform(near, choose)
 
 
-def word_ends(words: Column) -> Column:
-    """Where each word ends in the text the words make up."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+def snap_to_word(words: Column, cuts: Column) -> Column:
+    """Every cut of an ascending array becomes the end of the first given word that
+    reaches it, and of a full-width comma right after that word; cuts that no word
+    reaches become the end of all words.
 
-    def step(acc: Column, word: Column) -> Column:
-        at = acc["at"] + F.length(word)
-        return F.struct(at.alias("at"), F.concat(acc["ends"], F.array(at)).alias("ends"))
-
-    return F.aggregate(words, start, step, lambda acc: acc["ends"])
-
-
-def snap_to_word(words: Column, ends: Column, cuts: Column) -> Column:
-    """Every cut of an array becomes the end of the first given word that reaches it, and
-    of a full-width comma right after that word. Give ``words`` and ``ends`` (their
-    ``word_ends``) as plain columns: they are looked at once per cut."""
-    hits = F.transform(
-        cuts, lambda cut: F.array_position(F.transform(ends, lambda e: e >= cut), True).cast("int")
+    One pass over the words; ``words`` and ``cuts`` should be plain columns.
+    """
+    start = F.struct(
+        F.lit(0).alias("end"), F.lit(0).alias("index"), F.array().cast("array<int>").alias("done")
     )
 
-    def choose(hit: Column) -> Column:
-        comma = F.coalesce(F.get(words, hit) == F.lit(fixed.CHINESE_COMMA), F.lit(False))
-        reached = F.get(ends, hit - 1) + F.when(comma, 1).otherwise(0)
-        return F.when(hit > 0, reached).otherwise(F.element_at(ends, -1))
+    def step(acc: Column, word: Column) -> Column:
+        end = acc["end"] + F.length(word)
+        count = F.size(acc["done"])
+        reached = F.coalesce(F.get(cuts, count) <= end, F.lit(False))
+        comma = F.coalesce(
+            F.get(words, acc["index"] + 1) == F.lit(fixed.CHINESE_COMMA), F.lit(False)
+        )
+        value = end + F.when(comma, 1).otherwise(0)
+        hits = F.size(F.filter(cuts, lambda cut: cut <= end)) - count
+        return F.struct(
+            end.alias("end"),
+            (acc["index"] + 1).alias("index"),
+            F.when(reached, F.concat(acc["done"], F.array_repeat(value, hits)))
+            .otherwise(acc["done"])
+            .alias("done"),
+        )
+
+    def finish(acc: Column) -> Column:
+        rest = F.size(cuts) - F.size(acc["done"])
+        return F.concat(acc["done"], F.array_repeat(acc["end"], rest))
 
-    return F.transform(hits, choose)
+    return F.aggregate(words, start, step, finish)
 
 
 # --- subtitle time codes ----------------------------------------------------

@@ -14,7 +14,6 @@ from timedtext.functions.text import (
     snap_to_space,
     snap_to_word,
     whole_div,
-    word_ends,
 )
 from timedtext.operators.align import aligned_ends
 
@@ -61,10 +60,11 @@ def project_translation(
     )
     cuts = F.when(space & ~chinese, snap_to_space(text, F.col("raw_cuts"), profile))
     if words is not None:
-        rows = rows.withColumn("words", words).withColumn("word_ends", word_ends(F.col("words")))
+        rows = rows.withColumn("words", words)
         has_words = F.col("words").isNotNull() & (F.size("words") > 0) & (size > 0)
-        snapped = snap_to_word(F.col("words"), F.col("word_ends"), F.col("raw_cuts"))
-        cuts = cuts.when(chinese & has_words, snapped)
+        cuts = cuts.when(
+            chinese & has_words, snap_to_word(F.col("words"), F.col("raw_cuts"))
+        )
     rows = rows.withColumn("cuts", cuts.otherwise(F.col("raw_cuts")))
 
     def piece(end: Column, at: Column) -> Column:
