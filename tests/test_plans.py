@@ -5,7 +5,8 @@ import re
 import pytest
 from conftest import SF_DIR
 
-from timedtext.plans.queries import QUERIES
+from timedtext.operators.sentences import sentences
+from timedtext.plans.queries import QUERIES, turn_cues
 
 NO_PYTHON = re.compile("ArrowEvalPython|MapInPandas|BatchEvalPython|FlatMapGroupsInPandas")
 
@@ -59,10 +60,16 @@ def test_cue_rows_meet_by_block_only(no_broadcast, name):
 
 
 def test_cues_are_shuffled_once_for_both_uses(no_broadcast):
+    frame = sentences(turn_cues(no_broadcast, SF_DIR), block_rows=4)
+    frame.collect()
+    assert "ReusedExchange" in plan(no_broadcast, frame)
+
+
+def test_files_of_one_block_need_no_join(no_broadcast):
     frame = QUERIES["turn_sentences"](no_broadcast, SF_DIR)
     frame.collect()
-    text = plan(no_broadcast, frame)
-    assert "ReusedExchange" in text
+    final = plan(no_broadcast, frame).split("Initial Plan")[0]
+    assert "Join" not in final
 
 
 def test_only_needed_columns_are_read(spark):

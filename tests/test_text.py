@@ -26,8 +26,8 @@ def test_split_sentences(spark, text, n):
 
 
 def test_split_sentences_with_the_mark_itself_in_the_text(spark):
-    text = "One\0two. Three. "
-    assert value(spark, t.split_sentences(F.lit(text))) == ["One\0two.", "Three."]
+    text = "One\x01two. Three. "
+    assert value(spark, t.split_sentences(F.lit(text))) == ["One\x01two.", "Three."]
 
 
 def test_legacy_profile_keeps_blank_parts_and_exclamations(spark):

@@ -48,10 +48,10 @@ def split_at_boundaries(text: Column, profile: str = "v1") -> Column:
     boundaries become a character that no text should have; a text that has it is split
     by the pattern.
     """
-    marked = F.regexp_replace(text, fixed.BOUNDARY[profile], "\0")
+    marked = F.regexp_replace(text, fixed.BOUNDARY[profile], "\x01")
     return F.when(
-        F.contains(text, F.lit("\0")), F.split(text, fixed.BOUNDARY[profile], -1)
-    ).otherwise(F.split(marked, "\0", -1))
+        F.contains(text, F.lit("\x01")), F.split(text, fixed.BOUNDARY[profile], -1)
+    ).otherwise(F.split(marked, "\x01", -1))
 
 
 def split_sentences(text: Column | str, profile: str = "v1") -> Column:

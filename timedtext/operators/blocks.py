@@ -23,12 +23,17 @@ def block_of(position: Column, block_rows: int = BLOCK_ROWS, first: int = 1) ->
 
 
 def carried_sums(
-    rows: DataFrame, file_keys: Sequence[str], sums: dict[str, Column], block: str = "block"
+    rows: DataFrame,
+    file_keys: Sequence[str],
+    sums: dict[str, Column],
+    block: str = "block",
+    consecutive: bool = False,
 ) -> DataFrame:
     """What the earlier blocks of the file add up to, for every block but the first.
 
     One row per block and file; files of one block give no rows, so for them the join
-    with this table costs next to nothing.
+    with this table costs next to nothing. With ``consecutive`` blocks the rows of the
+    last block of a file may be left out: each block speaks for the one after it.
     """
     totals = rows.groupBy(*file_keys, block).agg(
         *[F.sum(value).alias(name) for name, value in sums.items()]
@@ -36,10 +41,11 @@ def carried_sums(
     earlier = (
         Window.partitionBy(*file_keys)
         .orderBy(block)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        .rowsBetween(Window.unboundedPreceding, 0 if consecutive else -1)
     )
     carried = [F.sum(name).over(earlier).alias(f"{name}_before") for name in sums]
-    return totals.select(*file_keys, block, *carried).where(
+    served = (F.col(block) + 1).alias(block) if consecutive else F.col(block)
+    return totals.select(*file_keys, served, *carried).where(
         F.col(f"{next(iter(sums))}_before").isNotNull()
     )
 

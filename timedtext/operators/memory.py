@@ -39,7 +39,7 @@ def lookup_translations(
     if on_miss not in fallback:
         raise ValueError(f"on_miss must be one of {sorted(fallback)}")
     blank = is_blank(text)
-    spread = F.concat(F.lit("\0"), F.xxhash64(*lines.columns).cast("string"))
+    spread = F.concat(F.lit("\x01"), F.xxhash64(*lines.columns).cast("string"))
     keyed = lines.withColumn("memory_key", F.when(blank, spread).otherwise(F.col(text)))
     words = ["words"] if "words" in memory.columns else []
     known = memory.select(

@@ -114,7 +114,12 @@ def fragments(
     )
     # Only the kind of the characters matters here, and no boundary may lie in them.
     context = F.regexp_replace(F.right(before, F.lit(look)), fixed.SPACE, "-")
-    cut = rows.withColumn("context", context).where(home == F.col("block"))
+    whole_block = in_block.orderBy("cue").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    cut = rows.select(
+        "*", context.alias("context"), F.max("cue").over(whole_block).alias("last_cue")
+    ).where(home == F.col("block"))
 
     parts = split_at_boundaries(F.concat("context", "piece"), profile)
     cut = cut.select(
@@ -122,14 +127,18 @@ def fragments(
         *keep,
         "cue",
         "block",
+        "last_cue",
         F.length("piece").cast("bigint").alias("size"),
         F.length("context").alias("skip"),
         parts.alias("parts"),
     )
+    # Only a full block has a block after it that needs its sums. Most files are shorter
+    # than a block, and for them nothing is cut a second time here.
     carried = carried_sums(
-        cut,
+        cut.where(F.col("last_cue") == (F.col("block") + 1) * block_rows),
         ["file_id", *keep],
         {"chars": F.col("size"), "closed": (F.size("parts") - 1).cast("bigint")},
+        consecutive=True,
     )
     # A boundary at the very end of the cue leaves an empty part, which says nothing.
     ends_closed = (F.size("parts") > 1) & (F.element_at("parts", -1) == "")
