@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows of file content are large: limit Arrow batches by size as well
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # sentences are many small groups: aggregate them by hash before falling back to a sort
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     "spark.sql.session.timeZone": "UTC",
 }
 
