@@ -103,7 +103,9 @@ def test_text_parts_in_order(spark, tmp_path):
     """A large file is written by several tasks; its parts read in order are the text."""
     cues = cue_table(spark, {"f": [f"line {n}" for n in range(200)], "g": ["one"]})
     parts = compose.compose_parts(cues, part_cues=10).withColumnRenamed("file_id", "name")
-    fs.write_text_parts(parts.withColumn("name", F.concat("name", F.lit(".srt"))), str(tmp_path / "out"), "name")
+    parts = parts.withColumn("name", F.concat("name", F.lit(".srt")))
+    fs.write_text_parts(parts, str(tmp_path / "out"), "name")
+    fs.write_text_parts(parts.where("name = 'g.srt'"), str(tmp_path / "out"), "name")  # again
     whole = {r.file_id: r.text for r in compose.compose_srt(cues).collect()}
     for name in ("f", "g"):
         folder = tmp_path / "out" / f"output={name}.srt"

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timedtext.functions import fixed
@@ -333,7 +333,5 @@ def translate_misses(
 
 def number_lines(bucketed: DataFrame) -> DataFrame:
     """Numbers distinct lines inside their hash buckets, which are even by nature."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("file_id").orderBy("text")
     return bucketed.withColumn("line_no", F.row_number().over(order).cast("bigint"))

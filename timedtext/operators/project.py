@@ -85,18 +85,15 @@ def project_translation(
     )
 
 
-def join_pieces(pieces: DataFrame, joiner: Column | str = " ", keep: Sequence[str] = ()) -> DataFrame:
-    """``(file_id, cue, translated)``: the pieces of each cue in the order of sentences."""
+def join_pieces(
+    pieces: DataFrame, tight: Column | bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(file_id, cue, translated)``: the pieces of each cue in the order of sentences,
+    with spaces between them, or with nothing where ``tight`` holds."""
+    tight = F.lit(tight) if isinstance(tight, bool) else tight
     ordered = F.sort_array(F.collect_list(F.struct("sen", "piece")))
     texts = F.transform(ordered, lambda p: p["piece"])
-    separator = F.lit(joiner) if isinstance(joiner, str) else joiner
-    # array_join takes only a fixed separator; a column one is folded in.
-    if isinstance(joiner, str):
-        translated = F.array_join(texts, joiner)
-    else:
-        translated = F.when(separator == "", F.array_join(texts, "")).otherwise(
-            F.array_join(texts, " ")
-        )
+    translated = F.when(tight, F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
     return (
         pieces.groupBy("file_id", "cue", *keep)
         .agg(translated.alias("translated"))

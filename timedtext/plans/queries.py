@@ -7,12 +7,12 @@ language. All rows and whole texts are used.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext import schemas
 from timedtext.functions import fixed
 from timedtext.functions.text import (
     encoded_name,
@@ -73,16 +73,17 @@ def word_cues(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataF
 
 
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The sentences of the documents as numbered lines with their languages."""
+    """The sentences of the documents as numbered lines."""
     flat = documents(spark, sf).withColumn("text", rstrip(flatten_lines("text")))
-    rows = sen.text_sentences(flat, "doc_id")
-    # languages are per document and row-local, so they travel with the text
-    return rows.select(
-        F.col("doc_id").alias("file_id"), F.col("sen").alias("line_no"), F.col("sentence").alias("line")
+    return sen.text_sentences(flat, "doc_id").select(
+        F.col("doc_id").alias("file_id"),
+        F.col("sen").alias("line_no"),
+        F.col("sentence").alias("line"),
     )
 
 
 def language_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the languages of the document."""
     parts = sen.split_sentences(rstrip(flatten_lines("text")))
     return (
         documents(spark, sf)
@@ -499,8 +500,6 @@ def status_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 

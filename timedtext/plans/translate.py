@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timedtext import schemas
@@ -64,8 +64,7 @@ def translate_split(
         LANGUAGES,
     )
     if mode == "lossless":
-        joiner = F.when(chinese, "").otherwise(" ")
-        translated = join_pieces(pieces, joiner, LANGUAGES)
+        translated = join_pieces(pieces, chinese, LANGUAGES)
     else:
         translated = pieces.select("file_id", "cue", F.col("piece").alias("translated"))
     return finish(cues.join(translated, ["file_id", "cue"], "left"), both)

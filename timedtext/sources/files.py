@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from timedtext import schemas
 from timedtext.functions import fixed
 from timedtext.functions.codecs import decode_bytes
 from timedtext.functions.text import as_col, is_blank, normalize_newlines
@@ -168,7 +167,7 @@ def write_text_parts(parts: DataFrame, directory: str, name: str = "output") ->
 
     Every output file becomes a directory ``output=<name>`` whose part files, read in
     order of their names, are the text. Nothing is held whole: parts of one file may be
-    written by several tasks.
+    written by several tasks. Writing a name again replaces its directory and no other.
     """
     ordered = parts.select(
         F.col(name).alias("output"), "part", F.regexp_replace("text", r"\n\z", "").alias("value")
@@ -177,7 +176,8 @@ def write_text_parts(parts: DataFrame, directory: str, name: str = "output") ->
         ordered.repartitionByRange("output", "part")
         .sortWithinPartitions("output", "part")
         .select("output", "value")
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("output")
         .text(directory)
     )
