@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timedtext.llm import line_dedup, quality
+from timedtext.llm import decontaminate, line_dedup, near_dup, packing, quality
 from timedtext.llm.common import table
 from timedtext.session import stage_table
 
@@ -23,9 +23,27 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_runs),
+    ("near_dup", near_duplicates),
+    ("decontaminate", benchmark_leaks),
+    ("packing", packed),
 ]
 
 # Near duplicates, decontamination and packing have no SQL form; see tests/llm/test_pipeline.py.
