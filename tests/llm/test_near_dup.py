@@ -1,10 +1,10 @@
 """Near duplicates against all pairs of small corpora."""
 
 import random
-import re
 
 import numpy as np
 import pytest
+from brute import near as brute
 
 from timedtext.llm import near_dup
 from timedtext.llm.common import table
@@ -12,36 +12,6 @@ from timedtext.llm.common import table
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def shingles(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
-    if len(words) < 5:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
-
-
-def brute(rows):
-    """doc_id -> (n_shingles of each text, component) by union of all linked pairs."""
-    sets = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in rows if i is not None}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, (i, s) in enumerate(sets):
-        for j, t in sets[:a]:
-            if i is None or j is None or not s or not t:
-                continue
-            if 100 * len(s & t) >= 75 * len(s | t):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return sorted(
-        ((i, len(s), find(i) if i is not None else None, i is None or find(i) == i) for i, s in sets),
-        key=repr,
-    )
-
-
 def found(frame):
     return sorted((tuple(r) for r in near_dup.near_components(frame).collect()), key=repr)
 

@@ -30,15 +30,18 @@ BASE = (
     ("general public license", "gpl"),
 )
 
-# Label, keyword that must occur, and how its name is written, in words of the reduced text.
+# Label, keyword that every spelling has (empty: none), and the spellings of the name, in words of
+# the reduced text.
 NAMES = (
     ("mit", "mit", "mit"),
     ("apache-1.1", "apache", "apache(?: software)? licen[sc]e(?: version)? 1 1|apache 1 1"),
     ("apache-2.0", "apache", "apache(?: software)? licen[sc]e(?: version)? 2(?: 0)?|apache 2(?: 0)?"),
     ("apache", "apache", "apache(?: software)?"),
     ("gpl-1.0", "general public", "(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version)? 1"),
-    ("gpl-2.0", "general public", "(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2|gpl(?: version| v)? ?2"),
-    ("gpl-3.0", "general public", "(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3|gpl(?: version| v)? ?3"),
+    ("gpl-2.0", "general public", "(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2"),
+    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:version |v)? ?2(?: 0)?"),
+    ("gpl-3.0", "general public", "(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3"),
+    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?(?:version |v)? ?3(?: 0)?"),
     ("gpl", "gpl", "(?:gnu )?gpl"),
     ("lgpl-2.1", "lesser general", "(?:gnu )?lesser general public licen[sc]e(?: version| v)? 2 1"),
     ("lgpl-3.0", "lesser general", "(?:gnu )?lesser general public licen[sc]e(?: version| v)? 3"),
@@ -74,12 +77,12 @@ NAMES = (
     ("odbl", "open database", "(?:odc )?open database"),
     ("odc-by", "open data commons", "open data commons attribution"),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "nd", "(?:cc|creative commons) (?:by nc nd|attribution noncommercial noderiv(?:ative)?s)(?: [1-4](?: [05])?)?"),
-    ("cc-by-nc-sa", "sa", "(?:cc|creative commons) (?:by nc sa|attribution noncommercial sharealike)(?: [1-4](?: [05])?)?"),
-    ("cc-by-nc", "nc", "(?:cc|creative commons) (?:by nc|attribution noncommercial)(?: [1-4](?: [05])?)?"),
-    ("cc-by-nd", "nd", "(?:cc|creative commons) (?:by nd|attribution noderiv(?:ative)?s)(?: [1-4](?: [05])?)?"),
-    ("cc-by-sa", "sa", "(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: [1-4](?: [05])?)?"),
-    ("cc-by", "by", "(?:cc|creative commons) (?:by|attribution)(?: [1-4](?: [05])?)?"),
+    ("cc-by-nc-nd", "", "(?:cc|creative commons) (?:by nc nd|attribution noncommercial noderiv(?:ative)?s)(?: [1-4](?: [05])?)?"),
+    ("cc-by-nc-sa", "", "(?:cc|creative commons) (?:by nc sa|attribution noncommercial sharealike)(?: [1-4](?: [05])?)?"),
+    ("cc-by-nc", "", "(?:cc|creative commons) (?:by nc|attribution noncommercial)(?: [1-4](?: [05])?)?"),
+    ("cc-by-nd", "", "(?:cc|creative commons) (?:by nd|attribution noderiv(?:ative)?s)(?: [1-4](?: [05])?)?"),
+    ("cc-by-sa", "", "(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: [1-4](?: [05])?)?"),
+    ("cc-by", "", "(?:cc|creative commons) (?:by|attribution)(?: [1-4](?: [05])?)?"),
 )
 
 # How a text speaks of a license: priority and words, with the name put in.
@@ -149,7 +152,7 @@ def detections(words: Column) -> Column:
         *(
             F.struct(
                 F.lit(label).alias("label"),
-                F.lit(f" {keyword} ").alias("keyword"),
+                F.lit(keyword).alias("keyword"),
                 F.lit(regex).alias("regex"),
                 F.lit(priority).alias("priority"),
             )
