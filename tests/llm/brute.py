@@ -55,7 +55,7 @@ def line_fails(line):
         sum(c in "|»›·•" for c in line) >= 3
         or sum(c in "#*$%&|<>" for c in line) >= 0.1 * len(line)
         or (len(line) <= 200 and re.search(boilerplate, line.lower()))
-        or (len(line) < 20 and line.rstrip(" ")[-1:] not in list(".!?…:;,\"'”’»)]。！？।؟۔"))
+        or (len(line) < 20 and line.rstrip(" \t\n\x0b\x0c\r")[-1:] not in list(".!?…:;,\"'”’»)]。！？।؟۔"))
     )
 
 

@@ -10,9 +10,9 @@ are confirmed on the full sets.
 No bucket is expanded to all pairs:
 
 1. Exact copies of a set are one class, represented by its smallest ``doc_id``.
-2. In each bucket every class is paired with two members that a hash of bucket and document
-   picks, so a cluster meets some forty pairs of different partners. Confirmed links give
-   components.
+2. In each bucket every class is paired with two members, those whose ids have the smallest and
+   the largest hash. They are the same few documents in most buckets of a cluster, so a class
+   has a handful of partners. Confirmed links give components.
 3. Only buckets of four or more that still hold two components are searched for the rest:
    members of all but the largest component are compared with the other components' members,
    in blocks of at most ``BLOCK`` rows and on registers alone; a pair leaves a task only if its
@@ -141,7 +141,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, part
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, keys array<bigint>"
+SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary"
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +151,11 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             sets = shingle_sets(texts)
             full = [s for s in sets if len(s)]
             regs = registers(full) if full else np.zeros((0, REGISTERS), "<u2")
-            keys = band_keys(regs)
-            at, a, b, sketches, bands = 0, [], [], [], []
+            at, a, b, sketches = 0, [], [], []
             for s in sets:
                 a.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 b.append(int(mix(s ^ SEEDS[0]).sum().view(np.int64)) if len(s) else 0)
                 sketches.append(regs[at].tobytes() if len(s) else None)
-                bands.append(keys[at] if len(s) else None)
                 at += bool(len(s))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -166,9 +164,25 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     pa.array(a, pa.int64()),
                     pa.array(b, pa.int64()),
                     pa.array(sketches, pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+            )
+
+
+def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each band of each sketch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            regs = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u2")
+            keys = band_keys(regs.reshape(-1, REGISTERS))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(part.column("doc_id").to_numpy(), BANDS)),
+                    pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
+                    pa.array(keys.ravel()),
+                ],
+                names=["doc_id", "band", "key"],
             )
 
 
@@ -319,11 +333,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     named = rows.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy(*sets).agg(F.min("doc_id").alias("doc_id"))
     classes = named.join(classes, [*sets, "doc_id"]).dropDuplicates([*sets, "doc_id"])
-    classes = stage_table(classes.select("doc_id", *sets, "sketch", "keys"), "classes")
+    classes = stage_table(classes.select("doc_id", *sets, "sketch"), "classes")
     named_docs = docs.filter("doc_id IS NOT NULL")
 
-    bands = classes.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    turn = F.xxhash64("key", "doc_id")
+    bands = classes.select("doc_id", "sketch").mapInArrow(band_rows, "doc_id bigint, band int, key bigint")
+    turn = F.xxhash64("doc_id")
     buckets = (
         bands.groupBy("key")
         .agg(
@@ -333,10 +347,9 @@ def near_components(docs: DataFrame) -> DataFrame:
         )
         .filter("n > 1")
     )
-    buckets = stage_table(buckets, "buckets")
+    shared = stage_table(bands.join(buckets, "key"), "buckets")
     pairs = (
-        bands.join(buckets, "key")
-        .select("doc_id", F.explode(F.array("first", "second")).alias("other"))
+        shared.select("doc_id", F.explode(F.array("first", "second")).alias("other"))
         .filter("doc_id <> other")
         .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
         .distinct()
@@ -350,9 +363,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     links = stage_table(confirm(stage_table(likely, "pairs"), named_docs), "links")
     roots = components(links)
 
-    labelled = bands.join(buckets.filter("n > 3").select("key", "n"), "key").join(
-        roots.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-    )
+    labelled = shared.filter("n > 3").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.select(
         "doc_id", "band", "key", "n", F.coalesce("root", "doc_id").alias("label")
     )

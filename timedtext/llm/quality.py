@@ -21,7 +21,7 @@ NAV_MARKS = "|»›·•"
 NAV_LEAST = 3
 SYMBOL_SHARE = 0.1
 SHORT_LINE = 20
-END_MARKS = r"""[.!?…:;,"'”’»)\]。！？।؟۔]$"""
+END_MARKS = r"""[.!?…:;,"'”’»)\]。！？।؟۔][\x20\x09-\x0D]*\z"""
 BOILERPLATE = (
     r"all rights reserved|privacy policy|terms of (use|service)|cookie|javascript|click here|"
     r"read more|sign up|log ?in|subscribe to|share this|skip to content|back to top"
@@ -77,7 +77,7 @@ def line_fails(line: Column) -> Column:
     navigation = count_of(line, NAV_MARKS) >= NAV_LEAST
     symbols = count_of(line, SYMBOLS) >= SYMBOL_SHARE * size
     boilerplate = (size <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE)
-    unended = (size < SHORT_LINE) & ~F.rtrim(line).rlike(END_MARKS)
+    unended = (size < SHORT_LINE) & ~line.rlike(END_MARKS)
     return (count_of(line, SPACE_CHARS) < size) & (navigation | symbols | boilerplate | unended)
 
 
@@ -175,7 +175,7 @@ of_lines AS (
       length(regexp_replace(line, '[^|»›·•]', '', 'g')) >= 3
       OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) >= 0.1 * size
       OR (size <= 200 AND regexp_matches(lower(line), 'all rights reserved|privacy policy|terms of (use|service)|cookie|javascript|click here|read more|sign up|log ?in|subscribe to|share this|skip to content|back to top'))
-      OR (size < 20 AND NOT regexp_matches(rtrim(line, ' '), '[.!?…:;,"''”’»)\]。！？।؟۔]$'))
+      OR (size < 20 AND NOT regexp_matches(line, '[.!?…:;,"''”’»)\]。！？।؟۔][\x20\x09-\x0D]*$'))
     ), 0) AS lost_chars
   FROM (SELECT * FROM lines) GROUP BY doc_id),
 joined AS (
