@@ -195,7 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 [*kept.columns, pa.array(values, LEAKS)], names=[*columns, leaks]
             )
 
-    schema = T.StructType(docs.schema.fields).add(leaks, LEAKS_TYPE)
+    schema = T.StructType([*docs.schema.fields, T.StructField(leaks, LEAKS_TYPE)])
     return found.mapInArrow(finish, schema)
 
 
