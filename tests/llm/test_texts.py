@@ -137,7 +137,7 @@ def test_language_cases(spark):
     rows = [(i, f"the words of text {i} and more", "en") for i in range(60)]
     rows += [(100 + i, f"die wörter im text {i} und mehr", "de") for i in range(60)]
     texts = [None, "", "123 %%", "É", "und die wörter", "the and of " * 40_000]
-    rows += [(300 + i, t, None) for i, t in enumerate(texts)] + [(None, "and the words", "en"), (1, "die wörter", "en")]
+    rows += [(300 + i, t, None) for i, t in enumerate(texts)] + [(None, "and the words", "en"), (1, "the words", "en")]
     docs = spark.createDataFrame([(*r, True, 1) for r in rows], "doc_id bigint, text string, lang string, held_out boolean, known int")
     model = language.fit(docs)
     got = {r.doc_id: r for r in language.identify(docs, F.lit(None).cast("boolean"), model).collect()}

@@ -29,6 +29,7 @@ SAMPLE = 3000
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 6
+STEPS = 12_000  # a small sample is gone through more often, up to so many steps
 RATE = 0.5
 ACCEPTED = 0.995  # share of right calibration rows that the threshold accepts
 NONE = "und"
@@ -114,8 +115,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     apart = len(rows) >= 50
     fit = [r for i, r in enumerate(rows) if not apart or i % 5]
     check = [r for i, r in enumerate(rows) if apart and not i % 5] or rows
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, min(200, STEPS // len(fit)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for i in rng.permutation(len(fit)):
             lang, at, share = fit[i]
             mean = share @ inner[at]
