@@ -15,9 +15,11 @@ No bucket is expanded to all pairs:
    has a handful of partners. Confirmed links give components.
 3. Only buckets of four or more that still hold two components are searched for the rest:
    members of all but the largest component are compared with the other components' members,
-   in blocks of at most ``BLOCK`` rows and on registers alone; a pair leaves a task only if its
-   estimate is near the threshold, from the first band that it shares. Its cost grows with
-   members outside the main component, not with the square of a cluster.
+   in blocks of at most ``BLOCK`` rows and on registers alone. First only the ``BEST`` partners
+   of each member by estimate are confirmed, which joins most of what belongs together; then,
+   in the buckets that still hold two components, every pair whose estimate is near the
+   threshold or above it, from the first band that it shares. The cost grows with the members
+   outside the main component, not with the square of a cluster.
 
 With 40 bands of five registers a pair at similarity 0.75 is missed with probability 2e-5, one
 at 0.8 with 1e-7; a pair also has to escape through every path of its component.
@@ -51,6 +53,7 @@ B = 1.001
 A = 20.0
 LOW = 0.62  # estimates below are not confirmed: four deviations under the threshold
 BLOCK = 2048
+BEST = 2
 CHUNK_BYTES = 256 * 1024
 
 SEEDS = np.random.default_rng(75).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -230,9 +233,17 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def rest_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs between components, from rows sorted by bucket and block."""
+def rest_of_buckets(best: int | None):
+    """Candidate pairs between components, from rows sorted by bucket and block: the best ones
+    of each member, or all from the first band that they share."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return candidate_pairs(batches, best)
+
+    return run
+
+
+def candidate_pairs(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
     def search(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         labels, part, band = rows["label"], rows["part"], int(rows["band"][0])
         names, sizes = np.unique(labels, return_counts=True)
@@ -252,12 +263,15 @@ def rest_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             at, same, n_same = (v[n_same >= REGISTERS // 2] for v in (at, same, n_same))
             if not len(at):
                 continue
-            shared = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band
-            at, n_same = at[shared], n_same[shared]
+            if best is None:
+                shared = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band
+                at, n_same = at[shared], n_same[shared]
             less = (regs[at] > regs[i]).sum(1)
             size = np.full(len(at), n[i], float)
             j = likely_similarity(REGISTERS - n_same - less, less, n_same, size, n[at].astype(float))
-            at = at[j >= LOW]
+            at, j = at[j >= LOW], j[j >= LOW]
+            if best is not None:
+                at = at[np.argsort(-j, kind="stable")[:best]]
             left.append(np.minimum(ids[i], ids[at]))
             right.append(np.maximum(ids[i], ids[at]))
         empty = [np.zeros(0, np.int64)]
@@ -316,13 +330,32 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.mapInArrow(packed, "doc_id bigint, z binary").join(ids, "doc_id", "left_semi")
     a, b = texts.toDF("a", "z_a"), texts.toDF("b", "z_b")
     found = pairs.join(a, "a").join(b, "b").select("a", "b", "z_a", "z_b")
-    return found.mapInArrow(confirmed, "a bigint, b bigint")
+    return stage_table(found.mapInArrow(confirmed, "a bigint, b bigint"), "links")
+
+
+def mixed_members(shared: DataFrame, roots: DataFrame, side: DataFrame) -> DataFrame:
+    """Members of the buckets of four or more with two components, by bucket and block."""
+    labelled = shared.filter("n > 3").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled = labelled.select(
+        "doc_id", "band", "key", "n", F.coalesce("root", "doc_id").alias("label")
+    )
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    return (
+        labelled.join(mixed.filter("x < y").select("key"), "key")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("block_a", F.least("part", "other"))
+        .withColumn("block_b", F.greatest("part", "other"))
+        .join(side, "doc_id")
+        .select("doc_id", "label", "part", "band", "n_shingles", "block_a", "block_b", "sketch", "key")
+        .repartition("key", "block_a", "block_b")
+        .sortWithinPartitions("key", "block_a", "block_b")
+    )
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -360,31 +393,18 @@ def near_components(docs: DataFrame) -> DataFrame:
         .join(side.toDF("b", "n_b", "sketch_b"), "b")
         .mapInArrow(estimated, "a bigint, b bigint")
     )
-    links = stage_table(confirm(stage_table(likely, "pairs"), named_docs), "links")
+    # Texts of all candidates are fetched once. The join is always a merge of two sorted sides,
+    # so that its cost follows the input and no side is broadcast.
+    ids = shared.select("doc_id").distinct().hint("merge")
+    texts = named_docs.mapInArrow(packed, "doc_id bigint, z binary").join(ids, "doc_id", "left_semi")
+    texts = stage_table(texts, "texts")
+    links = confirm(stage_table(likely, "pairs"), texts)
     roots = components(links)
-
-    labelled = shared.filter("n > 3").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.select(
-        "doc_id", "band", "key", "n", F.coalesce("root", "doc_id").alias("label")
-    )
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    part = F.pmod(F.xxhash64("doc_id", "key"), blocks)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    members = (
-        labelled.join(mixed.filter("x < y").select("key"), "key")
-        .withColumn("part", part)
-        .withColumn("other", other)
-        .withColumn("block_a", F.least("part", "other"))
-        .withColumn("block_b", F.greatest("part", "other"))
-        .join(side, "doc_id")
-        .select("doc_id", "label", "part", "band", "n_shingles", "block_a", "block_b", "sketch", "key")
-        .repartition("key", "block_a", "block_b")
-        .sortWithinPartitions("key", "block_a", "block_b")
-    )
-    more = members.mapInArrow(rest_of_buckets, "a bigint, b bigint").distinct()
-    more = stage_table(confirm(stage_table(more, "pairs"), named_docs), "links")
-    roots = components(links.union(more))
+    for best in (BEST, None):
+        members = mixed_members(shared, roots, side)
+        more = members.mapInArrow(rest_of_buckets(best), "a bigint, b bigint").distinct()
+        links = links.union(confirm(stage_table(more, "pairs"), texts))
+        roots = components(links)
 
     of_class = classes.select(*sets, F.col("doc_id").alias("node")).join(roots, "node", "left")
     of_class = of_class.groupBy(*sets).agg(F.min(F.coalesce("root", "node")).alias("component"))
