@@ -77,13 +77,13 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, share = [], []
             for a, b in zip(start, end, strict=True):
                 found, n = np.unique(np.concatenate([g[a:b] for g in grams]), return_counts=True)
-                at.append(found)
-                share.append(n / n.sum())
+                at.append(found.astype(np.int32))
+                share.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(first, len(texts)),
-                    pa.array(at, pa.list_(pa.int64())),
-                    pa.array(share, pa.list_(pa.float64())),
+                    pa.array(at, pa.list_(pa.int32())),
+                    pa.array(share, pa.list_(pa.float32())),
                 ],
                 names=["lang", "at", "share"],
             )
@@ -198,13 +198,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         .orderBy("turn", "tie", "lang")
         .limit(sample)
         .select("lang", "text")
-        .mapInArrow(counted, "lang string, at array<bigint>, share array<double>")
+        .mapInArrow(counted, "lang string, at array<int>, share array<float>")
     )
-    arrow = rows.toArrow()
     return train(
         [
-            (lang, np.array(at), np.array(share))
-            for lang, at, share in zip(*(c.to_pylist() for c in arrow.columns), strict=True)
+            (lang.as_py(), at.values.to_numpy(), share.values.to_numpy())
+            for batch in rows.toArrow().to_batches()
+            for lang, at, share in zip(*batch.columns, strict=True)
         ]
     )
 
