@@ -38,13 +38,16 @@ def test_detect(spark):
         "crlf few": ("ab\r\n" * 33).encode(),
         "empty": b"",
     }
-    rows = encoding.detect_encoding(files(spark, data)).collect()
+    rows = encoding.detect_encoding(files(spark, data), **encoding.COMPAT).collect()
     expected = {k: plain_detect(v, fixed.ENCODINGS, 100) for k, v in data.items()}
     assert {r.path: r.encoding for r in rows} == expected
     assert expected["mixed"] == expected["bom"] == "utf-8" and expected["short"] is None
     marked = encoding.detect_encoding(files(spark, data), bom_first=True, min_chars=0).collect()
     marked = {r.path: r.encoding for r in marked}
     assert marked["bom"] == "utf-8-sig" and marked["short wide"] == "utf-8" and marked["empty"] is None
+    lossless = {r.path: r.encoding for r in encoding.detect_encoding(files(spark, data)).collect()}
+    assert lossless["bom"] == "utf-8-sig" and lossless["short"] == lossless["empty"] == "utf-8"
+    assert all(lossless.values())
 
 
 def test_detect_with_given_candidates(spark):
@@ -75,12 +78,14 @@ def test_failures_are_rows(spark):
     rows = {r.path: r for r in encoding.transcode(table, "utf-8", "utf-8").collect()}
     assert not rows["bad"].success and rows["bad"].content is None and rows["good"].success
     assert not encoding.transcode(table, "no-such-codec", "utf-8").where("success").collect()
-    assert not encoding.transcode(files(spark, {"s": b"abc"}), "utf-8").first().success
+    short = files(spark, {"s": b"abc"})
+    assert not encoding.transcode(short, "utf-8", **encoding.COMPAT).first().success
+    assert bytes(encoding.transcode(short, "utf-16-le").first().content) == "abc".encode("utf-16-le")
 
 
 def test_bom_is_put_also_before_a_bom(spark):
     table = files(spark, {"x": b"\xef\xbb\xbf" + MIXED.encode()})
-    row = encoding.transcode(table, "utf-8-sig").first()
+    row = encoding.transcode(table, "utf-8-sig", **encoding.COMPAT).first()
     assert row.source == "utf-8" and bytes(row.content).startswith(b"\xef\xbb\xbf" * 2)
 
 

@@ -20,8 +20,8 @@ def test_cues_without_blank_lines_between(spark):
     rows, status = parse(spark, SAMPLE_D)
     assert status.status == "success"
     assert [(r.cue, r["index"], r.start_ms, r.end_ms, r.content) for r in rows] == [
-        (1, 1, 0, 2430, "Coding has been\nthe bread and butter for"),
-        (2, 2, 2430, 4290, "developers since\nthe dawn of computing."),
+        (1, 1, 0, 2430, "Baking has been\na quiet little habit for"),
+        (2, 2, 2430, 4290, "millers who knew\nthe weight of a stone."),
     ]
 
 

@@ -6,6 +6,7 @@ from helpers import SET_A, SET_B, cue_table
 
 from timedtext import schemas
 from timedtext.operators import compose, ledger, memory
+from timedtext.operators.encoding import COMPAT
 from timedtext.operators import sentences as sen
 from timedtext.plans.encode import encode_corpus
 from timedtext.plans.translate import (
@@ -42,12 +43,12 @@ def test_split_translation(spark):
     )
     rows = translate_split(cues, known, both=False).collect()
     assert texts_of(rows) == [
-        "THIS IS THE FIRST LINE. AND THIS CONTINUES.",
-        "THIS IS THE SECOND SUBTITLE.",
-        "THIS IS THE THIRD SUBTITLE WITH MULTIPLE LINES OF TEXT.",
+        "THE OLD KETTLE IS WARM. NOW ITS LID DANCES.",
+        "NOBODY POURS ANY TEA AT SIX.",
+        "THREE OLD CUPS ARE ON SHELF TOP BETWEEN PLATES OR JARS.",
     ]
     compat = translate_split(cues, known, both=True, mode="compat").collect()
-    assert texts_of(compat)[0] == "AND THIS CONTINUES.\nThis is the first line. And this continues."
+    assert texts_of(compat)[0] == "NOW ITS LID DANCES.\nThe old kettle is warm. Now its lid dances."
     assert {r.status for r in rows} == {"aligned"}
 
 
@@ -77,13 +78,13 @@ def test_unaligned_cues_stay(spark):
 
 def test_naive_translation(spark):
     cues = with_languages(cue_table(spark, {"b": SET_B}))
-    known = upper_memory(spark, ["Hello world", "This is a test.With multiple lines."])
+    known = upper_memory(spark, ["Quiet night", "We all sit now.With between plates."])
     assert texts_of(translate_naive(cues, known).collect()) == [
-        "HELLO WORLD\nHello world",
-        "THIS IS A TEST.WITH MULTIPLE LINES.\nThis is a test. With multiple lines.",
-        "\nFinal subtitle",
+        "QUIET NIGHT\nQuiet night",
+        "WE ALL SIT NOW.WITH BETWEEN PLATES.\nWe all sit now. With between plates.",
+        "\nLast lamps out",
     ]
-    assert texts_of(translate_cues(cues, known, "naive", False, on_miss="source").collect())[2] == "Final subtitle"
+    assert texts_of(translate_cues(cues, known, "naive", False, on_miss="source").collect())[2] == "Last lamps out"
 
 
 def write_files(directory, files):
@@ -110,7 +111,7 @@ def corpus(spark, tmp_path):
 
 def test_corpus_is_resumed(spark, corpus):
     root, known = corpus
-    job = Translation("en", "es", str(root / "out"), both=False)
+    job = Translation("en", "es", str(root / "out"), both=False, sink="files")
     done = translate_corpus(spark, str(root / "in"), known, job, str(root / "ledger"))
     rows = {r.path.rsplit("/", 1)[1]: r for r in done.collect()}
     assert {k: r.status for k, r in rows.items()} == {
@@ -119,7 +120,7 @@ def test_corpus_is_resumed(spark, corpus):
     assert rows["a.srt"].output == f"{root}/out/a_en_es_only.srt" and rows["a.srt"].progress == 100.0
     assert rows["bad.srt"].message.startswith("Failed to decode") and rows["bad.srt"].output is None
     assert sorted(os.listdir(root / "out")) == ["a_en_es_only.srt", "b_en_es_only.srt"]
-    assert "THIS IS THE SECOND SUBTITLE." in read(root / "out", "a_en_es_only.srt")
+    assert "NOBODY POURS ANY TEA AT SIX." in read(root / "out", "a_en_es_only.srt")
 
     # a finished file is not done again, a repaired one is
     (root / "out" / "a_en_es_only.srt").write_text("kept")
@@ -133,18 +134,18 @@ def test_corpus_is_resumed(spark, corpus):
 
 def test_naive_corpus_in_parts(spark, corpus):
     root, _ = corpus
-    known = upper_memory(spark, ["Hello world"])
+    known = upper_memory(spark, ["Quiet night"])
     job = Translation("en", "es", str(root / "out"), mode="naive", sink="parts", on_miss="source")
     done = translate_corpus(spark, str(root / "in"), known, job, str(root / "ledger"), pattern="b.srt")
     assert done.count() == 1
     folder = root / "out" / "output=b_en_es_both.srt"
     text = "".join(read(folder, p) for p in sorted(os.listdir(folder)) if p.startswith("part"))
-    assert text.startswith("1\n00:00:00,000 --> 00:00:02,000\nHELLO WORLD\nHello world\n\n2\n")
+    assert text.startswith("1\n00:00:00,000 --> 00:00:02,000\nQUIET NIGHT\nQuiet night\n\n2\n")
 
 
 def test_stream_takes_new_files_only(spark, corpus):
     root, known = corpus
-    job = Translation("en", "es", str(root / "out"), both=False)
+    job = Translation("en", "es", str(root / "out"), both=False, sink="files")
 
     def run():
         query = translate_stream(
@@ -159,13 +160,14 @@ def test_stream_takes_new_files_only(spark, corpus):
     done = run()
     assert ledger.status_summary(done).first().success == 3
     assert read(root / "out", "a_en_es_only.srt") == "kept"
-    assert "THE FIRST LINE" in read(root / "out", "c_en_es_only.srt")
+    assert "THE OLD KETTLE" in read(root / "out", "c_en_es_only.srt")
 
 
 def test_encode_corpus(spark, tmp_path):
     text = srt(spark, [(0, 1000, "Café " * 30)])
     write_files(tmp_path / "in", {"sample.srt": text, "tiny.srt": b"abc", "skip.txt": text})
-    done = encode_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["utf-8", "utf-8-sig", "cp1252"])
+    job = (spark, str(tmp_path / "in"), str(tmp_path / "out"), ["utf-8", "utf-8-sig", "cp1252"])
+    done = encode_corpus(*job, **COMPAT)
     rows = {(r.path.rsplit("/", 1)[1], r.target): r for r in done.collect()}
     assert rows["sample.srt", "utf-8"].skipped and rows["sample.srt", "cp1252"].success
     assert not rows["tiny.srt", "cp1252"].success  # too short to detect
@@ -173,6 +175,16 @@ def test_encode_corpus(spark, tmp_path):
     assert (tmp_path / "out" / "sample-cp1252.srt").read_bytes() == text.decode().encode("cp1252")
     totals = {r.target: (r.converted, r.attempted) for r in ledger.conversion_summary(done).collect()}
     assert totals == {"utf-8": (1, 2), "utf-8-sig": (1, 2), "cp1252": (1, 2)}
+    assert encode_corpus(*job).where("not success").isEmpty()  # by default of any length
+    assert (tmp_path / "out" / "tiny-cp1252.srt").read_bytes() == b"abc"
+
+
+def test_outputs_that_meet_fail(spark, tmp_path):
+    write_files(tmp_path / "in", {"a.srt": b"one", "a-utf-8.srt": b"two"})
+    done = encode_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["cp1252"])
+    assert [r.success for r in done.collect()] == [False, False]
+    with pytest.raises(ValueError):
+        encode_corpus(spark, str(tmp_path / "in"), "hdfs://nn/out", ["cp1252"])
 
 
 def test_ledger(spark):
@@ -200,7 +212,7 @@ def test_memory_grows_by_the_hook(spark):
 
     cues = with_languages(cue_table(spark, {"b": SET_B}))
     rows = sen.sentence_cues(cues, keep=("src_lang", "tgt_lang")).where("kept")
-    known = upper_memory(spark, ["Hello world This is a test."])
+    known = upper_memory(spark, ["Quiet night We all sit now."])
     misses = memory.memory_misses(rows, known, "sentence")
     more = known.unionByName(translate_misses(misses, lambda t, s, g: t.lower(), 2))
     assert memory.memory_misses(rows, more, "sentence").isEmpty()

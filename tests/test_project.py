@@ -49,7 +49,7 @@ def test_sentence_without_a_cue(spark):
 
 
 def test_three_parts_of_a_long_sentence(spark):
-    text = "This is a long sentence that spans multiple subtitles"
+    text = "We were told that every boat had left the port by now"
     row = [("f", 1, text, 0, 53, 1, True, [(1, 15), (2, 30), (3, 52)], text)]
     table = spark.createDataFrame(
         row,
@@ -76,7 +76,7 @@ def lines_and_texts(spark):
         "file_id string, line_no bigint, line string",
     )
     texts = spark.createDataFrame(
-        [("a", "Hola mundo\nEsta es una prueba."), ("b", "eins\nzwei\n"), ("c", "uno")],
+        [("a", "Noche clara\nTodos se sientan ya."), ("b", "eins\nzwei\n"), ("c", "uno")],
         "file_id string, text string",
     )
     return lines, texts
@@ -85,7 +85,7 @@ def lines_and_texts(spark):
 def test_attach_lines(spark):
     lines, texts = lines_and_texts(spark)
     rows = project.attach_lines(lines, texts.where("file_id <> 'c'")).orderBy("file_id", "line_no")
-    assert [r.translated for r in rows.collect()] == ["Hola mundo", "Esta es una prueba.", "eins", ""]
+    assert [r.translated for r in rows.collect()] == ["Noche clara", "Todos se sientan ya.", "eins", ""]
     kept = project.attach_lines(lines, texts, "skip")
     assert {r.file_id for r in kept.collect()} == {"a", "c"}
     with pytest.raises(ValueError):
@@ -96,15 +96,15 @@ def test_count_guard(spark):
     lines, texts = lines_and_texts(spark)
     rows = {r.file_id: r for r in project.count_guard(lines, project.split_lines(texts)).collect()}
     assert rows["a"].status == "success" and rows["a"].message is None
-    assert rows["b"].message == "Subtitle count mismatch: 1 vs 3"
+    assert rows["b"].message == "3 lines for 1 cues"
     alone = project.count_guard(cue_table(spark, {"z": SET_B}), project.split_lines(texts.limit(0)))
-    assert alone.first().message == "Subtitle count mismatch: 3 vs 0"
+    assert alone.first().message == "0 lines for 3 cues"
 
 
 def test_compose_cues(spark):
     cues = cue_table(spark, {"b": SET_B}).withColumn("translated", F.lit("Hola"))
     rows = project.compose_cues(cues).orderBy("cue").collect()
-    assert rows[1].content == "Hola\nThis is a test. With multiple lines."
+    assert rows[1].content == "Hola\nWe all sit now. With between plates."
     assert project.compose_cues(cues, both=False).first().content == "Hola"
 
 

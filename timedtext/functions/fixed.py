@@ -92,5 +92,6 @@ BOUNDARY_LOOKBACK = 4
 STATUS_SUCCESS = "success"
 STATUS_RATE_LIMITED = "rate_limited"
 STATUS_ERROR = "error"
+STATUS_PARTIAL = "partial"  # written, but not all of it translated or written
 
 # --- end of fixed values ----------------------------------------------------

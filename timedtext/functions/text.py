@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,11 +124,110 @@ def encoded_name(path: Column | str, target: Column) -> Column:
 
 # --- cutting a translated sentence ------------------------------------------
 
+# Above this many cuts the work per cut must not depend on the length of the text.
+MANY_CUTS = 32
+FOLD_BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """All states of an associative fold, one per value.
+
+    Values are folded in blocks, so that an array of n is copied some n * block times at
+    most and not n * n times.
+    """
+    kind = F.slice(F.array(start), F.lit(1), F.lit(0))
+
+    def fold(items: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("last"), kind.alias("done"))
+
+        def add(acc: Column, item: Column) -> Column:
+            return let(
+                step(acc["last"], item),
+                lambda now: F.struct(now.alias("last"), F.concat(acc["done"], F.array(now)).alias("done")),
+            )
+
+        return F.aggregate(items, zero, add, lambda acc: acc["done"])
+
+    def by_blocks(items: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), whole_div(F.size(items) - 1, FOLD_BLOCK).cast("int")),
+            lambda b: F.slice(items, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)),
+        )
+        totals = F.transform(blocks, lambda block: F.aggregate(block, start, step))
+        return let(
+            F.struct(blocks.alias("blocks"), fold(totals, start).alias("upto")),
+            lambda s: F.flatten(
+                F.transform(
+                    s["blocks"],
+                    lambda block, b: fold(
+                        block, F.when(b == 0, start).otherwise(F.get(s["upto"], F.greatest(b - 1, F.lit(0))))
+                    ),
+                )
+            ),
+        )
+
+    return let(values, lambda items: F.when(F.size(items) == 0, kind).otherwise(by_blocks(items)))
+
+
+def characters(text: Column) -> Column:
+    return F.split(text, "", -1)
+
+
+def cut_text(chars: Column, begin: Column, end: Column) -> Column:
+    """The characters from ``begin`` to ``end`` of a text given as an array."""
+    return F.array_join(F.slice(chars, begin + 1, F.greatest(end - begin, F.lit(0))), "")
+
+
+def spaces_around(text: Column, cuts: Column) -> Column:
+    """For every cut of an ascending array: the last space up to it (0: none) and the first
+    after it (0: none), as positions from 1. Each stretch between cuts is looked at once."""
+
+    def of_chars(chars: Column) -> Column:
+        def stretch(i: Column) -> Column:
+            begin = F.when(i == 0, 0).otherwise(F.get(cuts, F.greatest(i - 1, F.lit(0))))
+            end = F.coalesce(F.get(cuts, i), F.size(chars))
+            part = F.slice(chars, begin + 1, F.greatest(end - begin, F.lit(0)))
+
+            def seek(piece: Column) -> Column:
+                first = F.array_position(piece, " ").cast("int")
+                back = F.array_position(F.reverse(piece), " ").cast("int")
+                return F.struct(
+                    F.when(first > 0, begin + first).otherwise(0).alias("first"),
+                    F.when(back > 0, begin + F.size(piece) - back + 1).otherwise(0).alias("last"),
+                )
+
+            return let(part, seek)
+
+        return let(F.transform(F.sequence(F.lit(0), F.size(cuts)), stretch), join)
+
+    def join(parts: Column) -> Column:
+        lasts = running(F.transform(parts, lambda p: p["last"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        nearest = F.transform(F.reverse(parts), lambda p: p["first"])
+        firsts = F.reverse(
+            running(nearest, F.lit(0), lambda a, b: F.when(b == 0, a).otherwise(b))
+        )
+        return let(
+            F.struct(lasts.alias("lasts"), firsts.alias("firsts")),
+            lambda s: F.transform(
+                cuts,
+                lambda _, i: F.struct(
+                    F.get(s["lasts"], i).alias("last"), F.get(s["firsts"], i + 1).alias("first")
+                ),
+            ),
+        )
+
+    return let(characters(text), of_chars)
+
 
 def snap_to_space(text: Column, cuts: Column, profile: str = "v1") -> Column:
     """Every cut of an array becomes the position after the nearest space; the left one
     wins a tie."""
-    near = F.transform(
+    few = F.transform(
         cuts,
         lambda cut: F.struct(
             cut.alias("cut"),
@@ -137,6 +236,16 @@ def snap_to_space(text: Column, cuts: Column, profile: str = "v1") -> Column:
             F.instr(F.substr(text, cut + 1), F.lit(" ")).alias("ahead"),
         ),
     )
+    many = F.zip_with(
+        cuts,
+        spaces_around(text, cuts),
+        lambda cut, at: F.struct(
+            cut.alias("cut"),
+            F.when(at["last"] > 0, cut - at["last"] + 1).otherwise(0).alias("back"),
+            F.when(at["first"] > 0, at["first"] - cut).otherwise(0).alias("ahead"),
+        ),
+    )
+    near = F.when(F.size(cuts) > MANY_CUTS, many).otherwise(few)
 
     def choose(at: Column) -> Column:
         cut, back, ahead = at["cut"], at["back"], at["ahead"]
@@ -158,34 +267,47 @@ def snap_to_word(words: Column, cuts: Column) -> Column:
     reaches it, and of a full-width comma right after that word; cuts that no word
     reaches become the end of all words.
 
-    One pass over the words; ``words`` and ``cuts`` should be plain columns.
+    Word ends and cuts are merged by sorting; ``words`` and ``cuts`` should be plain columns.
     """
-    start = F.struct(
-        F.lit(0).alias("end"), F.lit(0).alias("index"), F.array().cast("array<int>").alias("done")
-    )
-
-    def step(acc: Column, word: Column) -> Column:
-        end = acc["end"] + F.length(word)
-        count = F.size(acc["done"])
-        reached = F.coalesce(F.get(cuts, count) <= end, F.lit(False))
-        comma = F.coalesce(
-            F.get(words, acc["index"] + 1) == F.lit(fixed.CHINESE_COMMA), F.lit(False)
+    sizes = F.transform(words, lambda w: F.length(w))
+    ends = running(sizes, F.lit(0), lambda a, b: a + b)
+
+    def merge(ends: Column) -> Column:
+        values = F.transform(
+            ends,
+            lambda end, i: end
+            + F.when(F.coalesce(F.get(words, i + 1) == F.lit(fixed.CHINESE_COMMA), F.lit(False)), 1).otherwise(0),
         )
-        value = end + F.when(comma, 1).otherwise(0)
-        hits = F.size(F.filter(cuts, lambda cut: cut <= end)) - count
-        return F.struct(
-            end.alias("end"),
-            (acc["index"] + 1).alias("index"),
-            F.when(reached, F.concat(acc["done"], F.array_repeat(value, hits)))
-            .otherwise(acc["done"])
-            .alias("done"),
+        # a cut comes before the end at the same place: that word reaches it
+        marks = F.concat(
+            F.transform(cuts, lambda c, i: F.struct(c.alias("at"), F.lit(0).alias("kind"), i.alias("value"))),
+            F.zip_with(
+                ends, values, lambda e, v: F.struct(e.alias("at"), F.lit(1).alias("kind"), v.alias("value"))
+            ),
         )
 
-    def finish(acc: Column) -> Column:
-        rest = F.size(cuts) - F.size(acc["done"])
-        return F.concat(acc["done"], F.array_repeat(acc["end"], rest))
-
-    return F.aggregate(words, start, step, finish)
+        def look_ahead(marks: Column) -> Column:
+            """From the end: the value of the nearest word end behind each mark."""
+            back = F.reverse(marks)
+            upto = running(
+                F.transform(back, lambda m: F.when(m["kind"] == 1, m["value"]).otherwise(-1)),
+                F.lit(-1),
+                lambda a, b: F.when(b < 0, a).otherwise(b),
+            )
+            found = F.filter(
+                F.zip_with(
+                    back, upto, lambda m, v: F.when(m["kind"] == 0, F.struct(m["value"].alias("i"), v.alias("v")))
+                ),
+                lambda x: x.isNotNull(),
+            )
+            total = F.coalesce(F.array_max(ends), F.lit(0))
+            return F.transform(
+                F.sort_array(found), lambda x: F.when(x["v"] < 0, total).otherwise(x["v"])
+            )
+
+        return let(F.sort_array(marks), look_ahead)
+
+    return let(ends, merge)
 
 
 # --- subtitle time codes ----------------------------------------------------

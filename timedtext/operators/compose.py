@@ -14,16 +14,19 @@ SLICE_MS = 3_600_000
 PART_CUES = 16384
 
 
+def is_written() -> Column:
+    """Which cues are written: not blank, from zero on, and not ending before they start."""
+    return ~is_blank("content") & (F.col("start_ms") >= 0) & (F.col("start_ms") <= F.col("end_ms"))
+
+
 def number_by_time(cues: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     """Adds ``number``: 1, 2, .. by start, end and position, without the cues that are
-    not written (blank content, start below zero or after the end).
+    not written (``is_written``; the jobs count them in their ledger).
 
     Cues are ranked inside slices of time; the numbers of the slices before are added
     from one small row per slice.
     """
-    written = cues.where(
-        ~is_blank("content") & (F.col("start_ms") >= 0) & (F.col("start_ms") <= F.col("end_ms"))
-    ).withColumn("slice", whole_div(F.col("start_ms"), slice_ms))
+    written = cues.where(is_written()).withColumn("slice", whole_div(F.col("start_ms"), slice_ms))
     before = carried_sums(
         written.select("file_id", "slice"), ["file_id"], {"n": F.lit(1)}, block="slice"
     )

@@ -13,14 +13,19 @@ from timedtext.functions.codecs import BOM, decode_bytes, encode_text, known_cod
 from timedtext.functions.text import encoded_name, normalize_newlines, parent
 
 
+ANY_LENGTH = -1
+COMPAT = {"min_chars": fixed.MIN_DETECT_CHARS, "bom_first": False}
+
+
 def detect_encoding(
     files: DataFrame,
     candidates: Sequence[str] | None = None,
-    min_chars: int = fixed.MIN_DETECT_CHARS,
-    bom_first: bool = False,
+    min_chars: int = ANY_LENGTH,
+    bom_first: bool = True,
 ) -> DataFrame:
     """Adds ``encoding``: the first candidate that decodes the whole content and gives
-    more than ``min_chars`` characters; null if none does.
+    more than ``min_chars`` characters (by default any number, also none); null if none does.
+    ``COMPAT`` has the options of the original rules, which take no text of 100 or less.
 
     Valid UTF-8 is found in the JVM where it is the first candidate; only other files meet
     the Python codecs, which stop at the first that fits. ``bom_first`` names files with a
@@ -98,12 +103,12 @@ def target_encodings(
 
 
 def transcode(
-    files: DataFrame, target: Column | str, source: Column | str | None = None
+    files: DataFrame, target: Column | str, source: Column | str | None = None, **detection
 ) -> DataFrame:
     """Content in another encoding: adds ``source``, ``target``, replaces ``content`` and
     sets ``success``. Line ends become LF. The source is the given name or column, else
-    it is detected. Unknown codecs and undecodable files give ``success`` false."""
-    read = read_text(files, source)
+    it is detected (``detection``: options of ``detect_encoding``). Unknown codecs and undecodable files give ``success`` false."""
+    read = read_text(files, source, **detection)
     return write_text(read.withColumn("target", named(target))).drop("text")
 
 
@@ -111,9 +116,9 @@ def named(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
-def read_text(files: DataFrame, source: Column | str | None) -> DataFrame:
+def read_text(files: DataFrame, source: Column | str | None, **detection) -> DataFrame:
     if source is None:
-        files = detect_encoding(files).withColumnRenamed("encoding", "source")
+        files = detect_encoding(files, **detection).withColumnRenamed("encoding", "source")
     else:
         files = files.withColumn("source", named(source))
     text = normalize_newlines(decode_bytes(F.col("content"), F.col("source")))
@@ -132,6 +137,7 @@ def transcode_fanout(
     output_dir: str | None = None,
     source: Column | str | None = None,
     skip_same: bool = True,
+    **detection,
 ) -> DataFrame:
     """Every file in every target: ``(path, source, target, output_path, content, success,
     skipped)``.
@@ -143,7 +149,7 @@ def transcode_fanout(
     if targets is None:
         targets = fixed.FANOUT_TARGETS
     wanted = targets if isinstance(targets, Column) else F.array(*map(F.lit, targets))
-    read = read_text(files, source).select(
+    read = read_text(files, source, **detection).select(
         "path", "source", "text", F.explode(wanted).alias("target")
     )
     folder = F.lit(output_dir.rstrip("/")) if output_dir else parent("path")

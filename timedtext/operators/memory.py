@@ -22,13 +22,17 @@ def build_memory(pairs: DataFrame) -> DataFrame:
 
 
 def lookup_translations(
-    lines: DataFrame, memory: DataFrame, text: str = "text", on_miss: str = "empty"
+    lines: DataFrame,
+    memory: DataFrame,
+    text: str = "text",
+    on_miss: str = "empty",
+    flag: str | None = None,
 ) -> DataFrame:
     """Adds ``translated`` (and ``words``, where the memory has them) to lines with
     ``src_lang`` and ``tgt_lang``.
 
     Blank lines give an empty text. A miss gives an empty text (``empty``), the source
-    (``source``) or null (``null``).
+    (``source``) or null (``null``). ``flag`` names a further column that is true for misses.
 
     One equi-join: Spark broadcasts a memory below its size threshold, else both sides
     are shuffled, and a text that fills a large part of all lines is split by the
@@ -55,8 +59,12 @@ def lookup_translations(
         & (F.col("tgt_lang") == F.col("memory_tgt"))
     )
     found = F.coalesce(F.col("memory_translated"), fallback[on_miss])
+    missed = (~blank & F.col("memory_text").isNull()).alias(flag or "missed")
     return keyed.join(known, match, "left").select(
-        *lines.columns, F.when(blank, "").otherwise(found).alias("translated"), *words
+        *lines.columns,
+        F.when(blank, "").otherwise(found).alias("translated"),
+        *words,
+        *([missed] if flag else []),
     )
 
 
@@ -106,7 +114,7 @@ def extract_translations(responses: DataFrame) -> DataFrame:
         "layout",
         "translated",
         F.when(F.col("translated").isNull(), "error").otherwise("success").alias("status"),
-        F.when(F.col("doc").isNull(), "Failed to decode translation response")
-        .when(F.col("translated").isNull(), "Failed to parse translation response")
+        F.when(F.col("doc").isNull(), "Not JSON")
+        .when(F.col("translated").isNull(), "No translation in the response")
         .alias("message"),
     )

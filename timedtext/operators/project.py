@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timedtext.functions import fixed
 from timedtext.functions.text import (
+    MANY_CUTS,
     as_col,
+    characters,
     compose_content,
+    cut_text,
+    let,
     snap_to_space,
     snap_to_word,
     whole_div,
@@ -51,9 +55,10 @@ def project_translation(
         .withColumn("ends", aligned_ends())
         .withColumn("n", F.size("ends"))
         .withColumn("whole", F.get("ends", n - 1)["rel"])
+        .withColumn("size", F.length(text))
     )
     inner = F.slice("ends", F.lit(1), F.greatest(n - 1, F.lit(0)))
-    size = F.length(text)
+    size = F.col("size")
     rows = rows.withColumn(
         "raw_cuts",
         F.transform(inner, lambda e: whole_div(size * e["rel"], F.col("whole")).cast("int")),
@@ -67,16 +72,22 @@ def project_translation(
         )
     rows = rows.withColumn("cuts", cuts.otherwise(F.col("raw_cuts")))
 
-    def piece(end: Column, at: Column) -> Column:
-        begin = F.when(at == 0, 0).otherwise(F.get("cuts", at - 1))
-        upto = F.when(at == n - 1, F.length(text)).otherwise(F.get("cuts", at))
-        cut = F.substr(text, begin + 1, F.greatest(upto - begin, F.lit(0)))
-        if mode == "compat":
-            alone = F.substr(text, F.lit(1), end["rel"].cast("int"))
-            cut = F.when(n == 1, alone).otherwise(cut)
-        return F.struct(end["cue"].alias("cue"), cut.alias("piece"))
-
-    pieces = F.transform("ends", piece)
+    def pieces_by(take: Callable[[Column, Column], Column]) -> Column:
+        def piece(end: Column, at: Column) -> Column:
+            begin = F.when(at == 0, 0).otherwise(F.get("cuts", F.greatest(at - 1, F.lit(0))))
+            upto = F.when(at == n - 1, size).otherwise(F.get("cuts", at))
+            cut = take(begin, upto)
+            if mode == "compat":
+                alone = F.substr(text, F.lit(1), end["rel"].cast("int"))
+                cut = F.when(n == 1, alone).otherwise(cut)
+            return F.struct(end["cue"].alias("cue"), cut.alias("piece"))
+
+        return F.transform("ends", piece)
+
+    # a substring is found by walking to it, so a long row is cut from its characters
+    few = pieces_by(lambda a, b: F.substr(text, a + 1, F.greatest(b - a, F.lit(0))))
+    many = let(characters(text), lambda chars: pieces_by(lambda a, b: cut_text(chars, a, b)))
+    pieces = F.when(n > MANY_CUTS, many).otherwise(few)
     if mode == "lossless":
         inside = F.array(F.struct(F.col("first_cue").alias("cue"), text.alias("piece")))
         pieces = F.when(n == 0, inside).otherwise(pieces)
@@ -86,18 +97,22 @@ def project_translation(
 
 
 def join_pieces(
-    pieces: DataFrame, tight: Column | bool = False, keep: Sequence[str] = ()
+    pieces: DataFrame,
+    tight: Column | bool = False,
+    keep: Sequence[str] = (),
+    flags: Sequence[str] = (),
 ) -> DataFrame:
-    """``(file_id, cue, translated)``: the pieces of each cue in the order of sentences,
-    with spaces between them, or with nothing where ``tight`` holds."""
+    """``(file_id, cue, translated, *flags)``: the pieces of each cue in the order of
+    sentences, with spaces between them, or with nothing where ``tight`` holds. A flag is
+    true where it is for any piece."""
     tight = F.lit(tight) if isinstance(tight, bool) else tight
     ordered = F.sort_array(F.collect_list(F.struct("sen", "piece")))
     texts = F.transform(ordered, lambda p: p["piece"])
     translated = F.when(tight, F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
     return (
         pieces.groupBy("file_id", "cue", *keep)
-        .agg(translated.alias("translated"))
-        .select("file_id", "cue", "translated")
+        .agg(translated.alias("translated"), *(F.bool_or(f).alias(f) for f in flags))
+        .select("file_id", "cue", "translated", *flags)
     )
 
 
@@ -139,7 +154,7 @@ def count_guard(cues: DataFrame, lines: DataFrame) -> DataFrame:
     both = left.join(right, "file_id", "full").fillna(0, ["n_cues", "n_lines"])
     same = F.col("n_cues") == F.col("n_lines")
     text = F.concat(
-        F.lit("Subtitle count mismatch: "), F.col("n_cues"), F.lit(" vs "), F.col("n_lines")
+        F.col("n_lines"), F.lit(" lines for "), F.col("n_cues"), F.lit(" cues")
     )
     return both.select(
         "file_id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timedtext.operators.encoding import target_encodings, transcode_fanout
 from timedtext.session import stage_table
-from timedtext.sources.files import scan_files, write_named_files
+from timedtext.sources.files import relative_folder, scan_files, write_named_files
 
 
 def encode_corpus(
@@ -22,22 +22,34 @@ def encode_corpus(
     source: Column | str | None = None,
     pattern: str = "*.srt",
     skip_same: bool = True,
+    recursive: bool = False,
+    **detection,
 ) -> DataFrame:
     """Converts every file to every target; gives one row per file and target.
 
     The conversions are computed once into a staged table; the files and the result both
-    come from it.
+    come from it. Files keep their folder below the input directory. Where two inputs would
+    give one output, none is written and both fail. ``detection`` has the options of
+    ``detect_encoding``.
     """
     wanted = target_encodings(targets, recommended_for, everything)
-    files = scan_files(spark, input_dir, pattern).select("path", "content")
+    files = scan_files(spark, input_dir, pattern, recursive).select("path", "content")
+    name = F.regexp_extract("output_path", r"([^/]*)\z", 1)
     done = stage_table(
-        transcode_fanout(files, wanted, None, source, skip_same).withColumn(
-            "output_path", F.regexp_extract("output_path", r"([^/]*)\z", 1)
+        transcode_fanout(files, wanted, None, source, skip_same, **detection).withColumn(
+            "output_path", F.concat(relative_folder(F.col("path"), [input_dir]), name)
         ),
         "conversions",
     )
+    shared = done.where("content IS NOT NULL").groupBy("output_path").agg(F.count("*").alias("n"))
+    shared = shared.where("n > 1").select("output_path", F.lit(True).alias("shared"))
+    done = done.join(shared, "output_path", "left").withColumn(
+        "success", F.col("success") & (F.col("shared").isNull() | F.col("skipped"))
+    )
     write_named_files(
-        done.where("content IS NOT NULL").select(F.col("output_path").alias("path"), "content"),
+        done.where("content IS NOT NULL AND shared IS NULL").select(
+            F.col("output_path").alias("path"), "content"
+        ),
         output_dir,
     )
-    return done.drop("content")
+    return done.select("path", "source", "target", "output_path", "success", "skipped")

@@ -88,12 +88,16 @@ ALIGNMENT_SQL = """SELECT file_id, sen, cue, rel,
   CASE WHEN sen IS NULL THEN 'unaligned' ELSE 'aligned' END AS status
 FROM aligned"""
 
+WIDE = "4294967296::BIGINT"
+
 SNAP = {
     "none": "cut0",
-    "space": """CASE WHEN length(t) = 0 THEN 0 WHEN lft = -1 AND rgt = -1 THEN cut0
-      WHEN lft = -1 THEN rgt + cut0 + 1 WHEN rgt = -1 THEN lft + 1
-      WHEN cut0 - lft > rgt THEN rgt + cut0 + 1 ELSE lft + 1 END""",
-    "space_v0": "CASE WHEN cut0 - lft > rgt THEN rgt + cut0 + 1 ELSE lft + 1 END",
+    # the smallest distance first; of two, the even number is the left one's
+    "space": f"""coalesce(least(2 * (cut0 - lft) * {WIDE} + lft + 1,
+      (2 * (rgt - cut0) + 1) * {WIDE} + rgt + 1) % {WIDE}, cut0)""",
+    "space_v0": f"""CASE WHEN rgt IS NULL THEN cut0
+      ELSE least(2 * (cut0 - coalesce(lft, -1)) * {WIDE} + coalesce(lft, -1) + 1,
+        (2 * (rgt - cut0) + 1) * {WIDE} + rgt + 1) % {WIDE} END""",
     "words": f"""CASE WHEN length(t) = 0 THEN cut0 ELSE greatest(cut0, 1)
       + CASE WHEN substr(t, greatest(cut0, 1) + 1, 1) = '{fixed.CHINESE_COMMA}' THEN 1 ELSE 0 END END""",
 }
@@ -109,11 +113,13 @@ def pieces_cte(snap: str, alone: str = "substr(t, 1, rel)") -> str:
   FROM aligned a JOIN translated s ON a.file_id = s.file_id AND a.sen = s.sen
   WINDOW w AS (PARTITION BY a.file_id, a.sen)),
 raw_cuts AS (SELECT *, (length(t) * rel) // whole AS cut0 FROM spans),
+letters AS (
+  SELECT file_id, sen, unnest(string_split(t, '')) AS letter, unnest(range(0, length(t))) AS p FROM translated),
+blanks AS (SELECT file_id, sen, p FROM letters WHERE letter = ' '),
 near AS (
-  SELECT *, instr(substr(t, cut0 + 1), ' ') - 1 AS rgt,
-    CASE WHEN instr(reverse(substr(t, 1, cut0)), ' ') = 0 THEN -1
-         ELSE cut0 - instr(reverse(substr(t, 1, cut0)), ' ') END AS lft
-  FROM raw_cuts),
+  SELECT r.*, l.p AS lft, g.p AS rgt FROM raw_cuts r
+  ASOF LEFT JOIN blanks l ON r.file_id = l.file_id AND r.sen = l.sen AND r.cut0 > l.p
+  ASOF LEFT JOIN blanks g ON r.file_id = g.file_id AND r.sen = g.sen AND r.cut0 <= g.p),
 cuts AS (SELECT *, {SNAP[snap]} AS cut FROM near),
 bounds AS (
   SELECT *, coalesce(lag(cut) OVER (PARTITION BY file_id, sen ORDER BY cue), 0) AS prev,
@@ -234,22 +240,22 @@ def undefined_bytes(name: str) -> str:
     return "|".join(bad)
 
 
-def detection() -> str:
+def detection(min_chars: int = fixed.MIN_DETECT_CHARS) -> str:
     """Candidates in order: UTF-8, then single-byte codecs up to the first that defines
     every byte. A codec fits if the file is long enough and has no undefined byte."""
     cases = []
     for name in fixed.ENCODINGS[2:]:
         bad = undefined_bytes(name)
         test = f"AND NOT regexp_matches(hex, '^(?:..)*(?:{bad})')" if bad else ""
-        cases.append(f"WHEN length(hex) > {2 * fixed.MIN_DETECT_CHARS} {test} THEN '{name}'")
+        cases.append(f"WHEN length(hex) > {2 * min_chars} {test} THEN '{name}'")
         if not bad:
             break
     return f"""WITH forms AS (
-  SELECT 'in/' || doc_id || '-utf-8.srt' AS path, length(text) > {fixed.MIN_DETECT_CHARS} AS utf8,
+  SELECT 'in/' || doc_id || '-utf-8.srt' AS path, length(text) > {min_chars} AS utf8,
     hex(encode(text)) AS hex FROM documents
   UNION ALL
   SELECT 'in/' || doc_id || '-iso8859-1.srt',
-    length(text) > {fixed.MIN_DETECT_CHARS} AND NOT regexp_matches(text, '[^\\x00-\\x7F]'),
+    length(text) > {min_chars} AND NOT regexp_matches(text, '[^\\x00-\\x7F]'),
     array_to_string(list_transform(string_split(text, ''), lambda c: printf('%02X', ord(c))), '') FROM documents
   UNION ALL
   SELECT 'in/' || doc_id || '-utf-16.srt', false,
@@ -341,7 +347,7 @@ WHERE NOT EXISTS (SELECT 1 FROM memory m WHERE m.src_lang = spoken.src_lang
 WHERE c.file_id IN (SELECT file_id FROM counts WHERE n_cues = n_lines)""",
     "count_guard": f"""WITH {TRANSLATED_TEXTS} SELECT file_id, n_cues, n_lines,
   CASE WHEN n_cues = n_lines THEN 'success' ELSE 'error' END AS status,
-  CASE WHEN n_cues <> n_lines THEN 'Subtitle count mismatch: ' || n_cues || ' vs ' || n_lines END AS message
+  CASE WHEN n_cues <> n_lines THEN n_lines || ' lines for ' || n_cues || ' cues' END AS message
 FROM counts""",
     "compose_content": f"""SELECT conv_id AS file_id, CAST(turn + 1 AS BIGINT) AS cue,
   {stand_in(f"replace(text, {NL}, '')")} || {NL} || replace(text, {NL}, ' ') AS content FROM conversations""",
@@ -367,8 +373,8 @@ SELECT request_id, 'array' AS layout, glued AS translated, 'success' AS status,
 UNION ALL SELECT request_id, 'array_all', glued || 'tail', 'success', NULL FROM turns
 UNION ALL SELECT request_id, 'sentences', glued, 'success', NULL FROM turns
 UNION ALL SELECT request_id, 'cloud', text, 'success', NULL FROM turns
-UNION ALL SELECT request_id, 'array', NULL, 'error', 'Failed to decode translation response' FROM turns
-UNION ALL SELECT request_id, 'cloud', NULL, 'error', 'Failed to parse translation response' FROM turns""",
+UNION ALL SELECT request_id, 'array', NULL, 'error', 'Not JSON' FROM turns
+UNION ALL SELECT request_id, 'cloud', NULL, 'error', 'No translation in the response' FROM turns""",
     "compose_srt": f"""WITH {WORD_CUES},
 written AS (
   SELECT file_id, cue, content, row_number() OVER (PARTITION BY file_id ORDER BY cue) AS number
@@ -400,6 +406,19 @@ keyed AS (
   FROM langs)
 SELECT k.lang, CAST(r.rank AS BIGINT) AS rank, r.encoding FROM keyed k JOIN known r ON k.key = r.lang""",
     "detect_encoding": detection(),
+    "detect_lossless": detection(-1)
+    + " UNION ALL SELECT 'in/' || doc_id || '-bom.srt', 'utf-8-sig' FROM documents",
+    "encode_detected": """SELECT 'text' || doc_id || '-utf-8.srt' AS name,
+  CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS digest FROM documents""",
+    "ledger_two_pairs": """SELECT DISTINCT conv_id AS file_id, tgt_lang, 'success' AS status, 100.0::DOUBLE AS progress
+FROM conversations, (VALUES ('fr'), ('de')) t(tgt_lang)
+UNION ALL SELECT NULL, tgt_lang, 'error', 0.0::DOUBLE FROM (VALUES ('fr'), ('de')) t(tgt_lang)""",
+    "ledger_mixed": "SELECT DISTINCT conv_id AS file_id, 1::BIGINT AS n_rows FROM conversations",
+    "translate_all_missed": """SELECT DISTINCT conv_id AS file_id, 'fr' AS tgt_lang, 'error' AS status,
+  0.0::DOUBLE AS progress, true AS no_output FROM conversations UNION ALL SELECT NULL, 'fr', 'error', 0.0::DOUBLE, true""",
+    "same_name_inputs": "SELECT DISTINCT folder, conv_id AS file_id FROM conversations, (VALUES ('a'), ('b')) t(folder)",
+    "translate_parts": TURN_TRANSLATED,
+    "translate_directory_hook": TURN_TRANSLATED,
     "transcode_ascii": f"""SELECT 'in/' || doc_id || '-UTF-8.srt' AS path, true AS success,
   length({ascii_text()}) AS n_bytes, md5({ascii_text()}) AS digest FROM documents""",
     "transcode_latin1": f"""SELECT 'in/' || doc_id || '-UTF-8.srt' AS path, true AS success,

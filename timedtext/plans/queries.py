@@ -29,6 +29,7 @@ from timedtext.operators import sentences as sen
 from timedtext.plans.encode import encode_corpus
 from timedtext.plans.translate import (
     Translation,
+    read_ledger,
     translate_corpus,
     translate_naive,
     translate_split,
@@ -450,7 +451,8 @@ def recommended_encodings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.detect_encoding(document_files(spark, sf)).select("path", "encoding")
+    files = document_files(spark, sf)
+    return encoding.detect_encoding(files, **encoding.COMPAT).select("path", "encoding")
 
 
 def digest(rows: DataFrame, *columns: str) -> DataFrame:
@@ -539,7 +541,7 @@ def written_cues(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def corpus_job(spark: SparkSession, sf: str) -> Translation:
-    return Translation("en", "fr", fresh_dir(spark, "translated"), cut="lossless")
+    return Translation("en", "fr", fresh_dir(spark, "translated"), cut="lossless", sink="files")
 
 
 def translate_directory(spark: SparkSession, sf: str) -> DataFrame:
@@ -586,6 +588,108 @@ def encode_directory(spark: SparkSession, sf: str) -> DataFrame:
     return digest(scan_files(spark, output).select(name, "content"), "name")
 
 
+def detect_lossless(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection by default: texts of any length, and a byte-order mark before all else."""
+    plain = document_files(spark, sf).select("path", "content")
+    marked = plain_files(spark, sf).select(
+        F.regexp_replace("path", "UTF-8", "bom").alias("path"),
+        F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), "content").alias("content"),
+    )
+    return encoding.detect_encoding(plain.unionByName(marked)).select("path", "encoding")
+
+
+def encode_detected(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with a byte-order mark, of any length, converted from what is detected."""
+    source, output = fresh_dir(spark, "marked"), fresh_dir(spark, "encoded")
+    files = documents(spark, sf).select(
+        F.concat(F.lit("text"), F.col("doc_id"), F.lit(".srt")).alias("path"),
+        F.concat(F.lit("\ufeff"), "text").alias("content"),
+    )
+    write_named_files(files, source)
+    encode_corpus(spark, source, output, ["utf-8"])
+    name = F.regexp_extract("path", r"([^/]*)\z", 1).alias("name")
+    return digest(scan_files(spark, output).select(name, "content"), "name")
+
+
+def ledger_rows(done: DataFrame) -> DataFrame:
+    return done.select(file_no(F.col("path")).alias("file_id"), "tgt_lang", "status", "progress")
+
+
+def german(known: DataFrame) -> DataFrame:
+    return known.withColumn("tgt_lang", F.lit("de"))
+
+
+def ledger_two_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams for two language pairs write one ledger; no row is lost."""
+    source, path, known = corpus_files(spark, sf), fresh_dir(spark, "ledger"), turn_memory(spark, sf)
+    for target, pairs in (("fr", known), ("de", german(known))):
+        job = Translation("en", target, fresh_dir(spark, "translated"))
+        translate_stream(spark, source, pairs, job, path, fresh_dir(spark, "stream")).awaitTermination()
+    return ledger_rows(read_ledger(spark, path))
+
+
+def ledger_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch, stream and batch on one ledger: what is done is not done again, so every file
+    with a success has one row in it."""
+    source, path, known = corpus_files(spark, sf), fresh_dir(spark, "ledger"), turn_memory(spark, sf)
+    job = corpus_job(spark, sf)
+    translate_corpus(spark, source, known, job, path, pattern="*[0-4].srt")
+    translate_stream(spark, source, known, job, path, fresh_dir(spark, "stream")).awaitTermination()
+    translate_corpus(spark, source, known, job, path)
+    rows = spark.read.parquet(path).where("status = 'success'")
+    return rows.groupBy(file_no(F.col("path")).alias("file_id")).agg(F.count("*").alias("n_rows"))
+
+
+def translate_all_missed(spark: SparkSession, sf: str) -> DataFrame:
+    """A memory of another language pair: nothing is translated, and nothing is a success."""
+    job = Translation("en", "fr", fresh_dir(spark, "translated"), both=False)
+    known = german(turn_memory(spark, sf))
+    done = translate_corpus(spark, corpus_files(spark, sf), known, job, fresh_dir(spark, "ledger"))
+    return ledger_rows(done).withColumn("no_output", F.lit(done.where("output IS NOT NULL").isEmpty()))
+
+
+def same_name_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one name in two folders give two outputs, in folders of the same names."""
+    source = fresh_dir(spark, "corpus")
+    texts = compose.compose_srt(turn_cues(spark, sf)).select(
+        F.explode(F.array(F.lit("a"), F.lit("b"))).alias("folder"), "file_id", "text"
+    )
+    path = F.concat("folder", F.lit("/talk"), F.col("file_id"), F.lit(".srt"))
+    write_named_files(texts.select(path.alias("path"), F.col("text").alias("content")), source)
+    job = corpus_job(spark, sf)
+    translate_corpus(
+        spark, source, turn_memory(spark, sf), job, fresh_dir(spark, "ledger"), recursive=True
+    )
+    folder = F.regexp_extract("path", r"([^/]*)/[^/]*\z", 1).alias("folder")
+    written = scan_files(spark, job.output_dir, recursive=True)
+    return written.select(folder, file_no(F.col("path")).alias("file_id"))
+
+
+def translate_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Written by Spark's text sink, a folder per file, and read back."""
+    job = Translation("en", "fr", fresh_dir(spark, "translated"))
+    translate_corpus(
+        spark, corpus_files(spark, sf), turn_memory(spark, sf), job, fresh_dir(spark, "ledger")
+    )
+    parts = decode_files(scan_files(spark, job.output_dir, "part-*", recursive=True))
+    name = F.regexp_extract("path", r"output=([^/]*)", 1)
+    files = parts.groupBy(file_no(name).alias("file_id")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda p: p["text"]), "").alias("text"),
+        F.max("status").alias("status"),
+    )
+    return parse_cues(files, "file_id").select("file_id", "cue", "start_ms", "end_ms", "content")
+
+
+def translate_directory_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a directory with an empty memory: all sentences go to the user's translator."""
+    job = corpus_job(spark, sf)
+    empty = turn_memory(spark, sf).where("false")
+    translate_corpus(
+        spark, corpus_files(spark, sf), empty, job, fresh_dir(spark, "ledger"), hook=replace_hook
+    )
+    return written_cues(spark, job.output_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -640,5 +744,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         translate_ledger,
         stream_files,
         encode_directory,
+        detect_lossless,
+        encode_detected,
+        ledger_two_pairs,
+        ledger_mixed,
+        translate_all_missed,
+        same_name_inputs,
+        translate_parts,
+        translate_directory_hook,
     )
 } | {"translate_naive": naive}

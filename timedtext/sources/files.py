@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,16 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from timedtext.functions import fixed
 from timedtext.functions.codecs import decode_bytes
-from timedtext.functions.text import as_col, is_blank, normalize_newlines
+from timedtext.functions.text import as_col, is_blank, let, normalize_newlines
 
 # --- fixed values -----------------------------------------------------------
 # Where a cue begins, and the fields of one cue.
-TIME = r"\d{1,6}:\d{1,9}:\d{1,9}[,.:]\d{1,9}"
+TIME = r"\d+:\d+:\d+[,.:]\d+"
 CUE_BREAK = rf"\n+(?=-?\d+\n{TIME} *--> *{TIME})"
 CUE = (
     r"\A(-?\d+)\n"
-    r"(\d{1,6}):(\d{1,9}):(\d{1,9})[,.:](\d{1,9}) *--> *"
-    r"(\d{1,6}):(\d{1,9}):(\d{1,9})[,.:](\d{1,9})"
+    r"(\d+):(\d+):(\d+)[,.:](\d+) *--> *"
+    r"(\d+):(\d+):(\d+)[,.:](\d+)"
     r"[ \t]*([^\n]*)(?:\n([\s\S]*?))?\n*\z"
 )
 # --- end of fixed values ----------------------------------------------------
@@ -46,9 +47,8 @@ def decode_files(files: DataFrame, encoding: Column | str = "UTF-8") -> DataFram
     name = F.lit(encoding) if isinstance(encoding, str) else encoding
     text = decode_bytes(F.col("content"), name)
     failed = F.concat(
-        F.lit("Failed to decode subtitle file with encoding "),
+        F.lit("Failed to decode: the bytes are not "),
         name,
-        F.lit(". Try UTF-8-sig or another encoding."),
     )
     decoded = files.withColumn("text", normalize_newlines(text))
     bad = F.col("text").isNull()
@@ -66,18 +66,74 @@ def cue_chunks(text: Column) -> Column:
     )
 
 
+# All fields of a cue in one pass: nine numbers, then the note and the content as lines.
+FIELDS = "\x01".join(f"${n}" for n in range(1, 10)) + "\x01$10\n$11"
+
+
+def parsed_chunks(text: Column) -> Column:
+    """Array of the cues of a text; ``good`` is false for what is no cue or has a time that
+    does not fit a BIGINT."""
+
+    def of_fields(field: Column) -> Column:
+        def time(n: int) -> Column:
+            hours, minutes, seconds, millis = (
+                F.get(field, F.lit(n + k)).try_cast("bigint") for k in range(4)
+            )
+            total = F.try_add(F.try_multiply(hours, F.lit(60)), minutes)
+            total = F.try_add(F.try_multiply(total, F.lit(60)), seconds)
+            return F.try_add(F.try_multiply(total, F.lit(1000)), millis)
+
+        rest = F.get(field, F.lit(9))
+        return F.struct(
+            time(1).alias("start_ms"),
+            time(5).alias("end_ms"),
+            F.regexp_replace(rest, r"\A[^\n]*\n?", "").alias("content"),
+            F.substring_index(rest, "\n", 1).alias("proprietary"),
+            F.get(field, F.lit(0)).try_cast("bigint").alias("index"),
+            (F.size(field) == 10).alias("is_cue"),
+        )
+
+    def of_chunk(chunk: Column) -> Column:
+        fields = F.split(F.regexp_replace(chunk, CUE, FIELDS), "\x01", 10)
+        return let(F.when(F.rlike(chunk, F.lit(CUE)), fields).otherwise(F.array(chunk)), of_fields)
+
+    return F.transform(cue_chunks(text), of_chunk)
+
+
+def parse_problem(parsed: Column) -> Column:
+    """Why the cues of a file cannot be used, or null."""
+    bad_time = F.exists(parsed, lambda c: c["start_ms"].isNull() | c["end_ms"].isNull())
+    return F.when(
+        (F.size(parsed) > 0) & ~F.get(parsed, F.lit(0))["is_cue"],
+        "Failed to parse: the text does not start with a cue",
+    ).when(bad_time, "Failed to parse: a cue time is out of range")
+
+
+def with_problem(decoded: DataFrame) -> DataFrame:
+    """Adds ``parsed`` and completes ``status`` and ``message``."""
+    problem = parse_problem(F.col("parsed"))
+    good = F.col("status") == fixed.STATUS_SUCCESS
+    return (
+        decoded.withColumn("parsed", parsed_chunks(F.col("text")))
+        .withColumn("problem", F.when(good, problem))
+        .withColumn("message", F.coalesce("problem", "message"))
+        .withColumn(
+            "status",
+            F.when(F.col("problem").isNotNull(), fixed.STATUS_ERROR).otherwise(F.col("status")),
+        )
+        .drop("problem")
+    )
+
+
 def parse_status(decoded: DataFrame) -> DataFrame:
-    """Status per file after parsing: text in front of the first cue, or no cue at all
-    in a file that is not blank, is an error."""
-    first = F.get(cue_chunks(F.col("text")), F.lit(0))
-    wrong = first.isNotNull() & ~F.rlike(first, F.lit(CUE))
-    failed = (F.col("status") == fixed.STATUS_SUCCESS) & wrong
-    return decoded.withColumn(
-        "message",
-        F.when(failed, "Failed to parse SRT file: no cue at the start").otherwise(
-            F.col("message")
-        ),
-    ).withColumn("status", F.when(failed, fixed.STATUS_ERROR).otherwise(F.col("status")))
+    """Status per file after parsing: text in front of the first cue, no cue at all in a file
+    that is not blank, or a time out of range, is an error."""
+    return with_problem(decoded).drop("parsed")
+
+
+def cue_fields(cue: Column) -> list[Column]:
+    names = ("start_ms", "end_ms", "content", "proprietary", "index")
+    return [cue[name].alias(name) for name in names]
 
 
 def parse_cues(
@@ -89,28 +145,32 @@ def parse_cues(
     Cues need no blank line between them; ``.`` and ``:`` pass for the decimal comma.
     Row-local: no shuffle.
     """
-    chunks = cue_chunks(F.col("text"))
-    good = (F.size(chunks) > 0) & F.rlike(F.get(chunks, F.lit(0)), F.lit(CUE))
-    rows = decoded.where(F.col("text").isNotNull() & good).select(
-        as_col(file_id).alias("file_id"), *keep, F.posexplode(chunks).alias("pos", "chunk")
+    rows = decoded.select(
+        as_col(file_id).alias("file_id"), *keep, parsed_chunks(F.col("text")).alias("parsed")
+    )
+    rows = rows.where(F.col("parsed").isNotNull() & parse_problem(F.col("parsed")).isNull())
+    return rows.select("file_id", *keep, F.posexplode("parsed").alias("pos", "c")).select(
+        "file_id", (F.col("pos") + 1).cast("bigint").alias("cue"), *cue_fields(F.col("c")), *keep
     )
 
-    def field(n: int) -> Column:
-        return F.regexp_extract("chunk", CUE, n)
-
-    def time(n: int) -> Column:
-        hours, minutes, seconds, millis = (field(n + k).cast("bigint") for k in range(4))
-        return ((hours * 60 + minutes) * 60 + seconds) * 1000 + millis
 
+def parse_files(decoded: DataFrame, file_id: Column | str = "path") -> DataFrame:
+    """Cues and statuses in one pass: the rows of ``parse_cues`` with ``status`` and
+    ``message``, and one row without a cue for a file that has none or cannot be used."""
+    rows = with_problem(decoded).select(
+        as_col(file_id).alias("file_id"),
+        "status",
+        "message",
+        F.when(F.col("status") == fixed.STATUS_SUCCESS, F.col("parsed")).alias("parsed"),
+    )
     return rows.select(
+        "file_id", "status", "message", F.posexplode_outer("parsed").alias("pos", "c")
+    ).select(
         "file_id",
         (F.col("pos") + 1).cast("bigint").alias("cue"),
-        time(2).alias("start_ms"),
-        time(6).alias("end_ms"),
-        field(11).alias("content"),
-        field(10).alias("proprietary"),
-        field(1).try_cast("bigint").alias("index"),
-        *keep,
+        *cue_fields(F.col("c")),
+        "status",
+        "message",
     )
 
 
@@ -121,7 +181,7 @@ class NamedFiles(DataSource):
     """``df.write.format("named_files")``: one file per row, ``(path, content BINARY)``.
 
     The directory is the path given to ``save``; it must be one that all executors see
-    (a mounted shared folder). Files are written under a temporary name and then renamed,
+    (a mounted shared folder), and no other file system (use ``write_text_parts`` there). Files are written under a temporary name and then renamed,
     so a repeated task leaves the same files.
     """
 
@@ -138,7 +198,7 @@ class NamedFiles(DataSource):
 
 class NamedFilesWriter(DataSourceWriter):
     def __init__(self, root: str) -> None:
-        self.root = root.removeprefix("file:")
+        self.root = re.sub(r"^file:(//)?(?=/)", "", root)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -156,12 +216,38 @@ class NamedFilesWriter(DataSourceWriter):
 
 def write_named_files(files: DataFrame, directory: str) -> None:
     """Writes ``(path, content)`` rows as files of a shared directory."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", directory)
+    if scheme and scheme[1].lower() != "file":
+        raise ValueError(f"named files need a mounted folder, not {directory!r}")
     files.sparkSession.dataSource.register(NamedFiles)
     files.select("path", F.col("content").cast("binary").alias("content")).write.format(
         "named_files"
     ).mode("append").save(directory)
 
 
+# What Spark writes as %XX in the name of a partition folder; the percent sign first.
+ESCAPED = "%\"#'*/:=?\\\x7f{[]^"
+
+
+def part_folder(name: Column) -> Column:
+    """The folder, under the output directory, that ``write_text_parts`` gives a name."""
+    for char in ESCAPED:
+        name = F.replace(name, F.lit(char), F.lit(f"%{ord(char):02X}"))
+    return F.concat(F.lit("output="), name)
+
+
+def relative_folder(path: Column, roots: Sequence[str]) -> Column:
+    """The folder of a file below the first of the roots that holds it, with a slash at its
+    end; empty for files of the root itself and for other files."""
+    folder = F.lit("")
+    for root in reversed(roots):
+        top = re.sub(r"^file:(//)?(?=/)", "", root).rstrip("/") + "/"
+        at = F.instr(path, F.lit(top))
+        below = F.substr(path, at + F.lit(len(top)))
+        folder = F.when(at > 0, F.regexp_replace(below, r"[^/]*\z", "")).otherwise(folder)
+    return folder
+
+
 def write_text_parts(parts: DataFrame, directory: str, name: str = "output") -> None:
     """Writes ``(name, part, text)`` rows with Spark's own text sink, for any file system.
 
@@ -172,6 +258,7 @@ def write_text_parts(parts: DataFrame, directory: str, name: str = "output") ->
     ordered = parts.select(
         F.col(name).alias("output"), "part", F.regexp_replace("text", r"\n\z", "").alias("value")
     )
+    # the names of part files follow the order of ranges, so that they give the order of parts
     (
         ordered.repartitionByRange("output", "part")
         .sortWithinPartitions("output", "part")

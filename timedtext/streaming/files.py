@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from timedtext import schemas
-from timedtext.plans.translate import Translation, translate_files
+from timedtext.operators.ledger import pending_files
+from timedtext.plans.translate import (
+    Hook,
+    Translation,
+    read_ledger,
+    translate_files,
+    write_ledger,
+)
 from timedtext.session import shared_dir
 
 
@@ -24,6 +34,18 @@ def stream_files(
     )
 
 
+def run_name(spark: SparkSession, path: str) -> str:
+    """A name that is made once and stored at a path."""
+    try:
+        return spark.read.schema("name string").parquet(path).first().name
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "name string").coalesce(1).write.parquet(path)
+    return name
+
+
 def translate_stream(
     spark: SparkSession,
     input_dir: str,
@@ -33,19 +55,25 @@ def translate_stream(
     checkpoint: str | None = None,
     pattern: str = "*.srt",
     files_per_batch: int = 10_000,
+    hook: Hook | None = None,
+    learned_path: str | None = None,
 ) -> StreamingQuery:
-    """Translates what is new in a directory, then stops.
+    """Translates what is new in a directory and has no success in the ledger, then stops.
 
     The stream checkpoint remembers finished files. A batch that is run again after a
-    failure writes the same output files and replaces its own ledger rows.
+    failure writes the same output files and replaces its own ledger rows: the run's name is
+    kept in the checkpoint, so a new checkpoint is a new run.
     """
     checkpoint = checkpoint or (
         f"{shared_dir(spark)}/stream-{job.src_lang}-{job.tgt_lang}"
     )
+    name = run_name(spark, f"{checkpoint.rstrip('/')}/run")
 
     def run(files: DataFrame, batch: int) -> None:
-        updates = translate_files(files, memory, job)
-        updates.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch}")
+        ledger = read_ledger(spark, ledger_path, without=(name, batch))
+        pending = pending_files(files, ledger, job.src_lang, job.tgt_lang)
+        updates = translate_files(pending, memory, job, [input_dir], hook, learned_path)
+        write_ledger(updates, ledger_path, job, name, batch)
 
     return (
         stream_files(spark, input_dir, pattern, files_per_batch)
