@@ -82,14 +82,15 @@ def best_paths(nodes: DataFrame) -> DataFrame:
         inner, whole["tree"].eqNullSafe(inner["tree_i"]) & (whole["node"] == inner["inner"]), "left_anti"
     )
     best = leaves.groupBy("tree").agg(F.max(F.struct("score", (-F.col("node")).alias("turned"))).alias("best"))
-    marked = best.select("tree", (-F.col("best")["turned"]).alias("node"))
+    marked = stage_table(best.select("tree", (-F.col("best")["turned"]).alias("node")), "path")
     for level in reversed(levels):
         up = level.filter("up IS NOT NULL").select(F.col("tree").alias("tree_u"), F.col("node").alias("node_u"), "up")
         above = marked.join(up, marked["tree"].eqNullSafe(up["tree_u"]) & (marked["node"] == up["node_u"]))
         marked = marked.union(above.select("tree", F.col("up").alias("node"))).distinct()
+        marked = stage_table(marked, "path")  # used twice by the next round: keeps the plan small
     depth = whole.select(F.col("tree").alias("tree_d"), F.col("node").alias("node_d"), F.col("steps").alias("depth"))
     found = marked.join(depth, marked["tree"].eqNullSafe(depth["tree_d"]) & (marked["node"] == depth["node_d"]))
-    return found.select("tree", "node", "depth")
+    return stage_table(found.select("tree", "node", "depth"), "path")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
