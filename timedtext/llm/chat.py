@@ -20,6 +20,8 @@ not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,8 +67,14 @@ def best_paths(nodes: DataFrame) -> DataFrame:
     # ``score`` and ``steps`` cover the nodes from this one up to, but without, ``up``.
     levels = [stage_table(level, "level")]
     n = levels[0].count()
+
+    def finished(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, (x.filter("up IS NULL") for x in tables))
+
+    # Only nodes that have not reached their root go on, so a long tree costs the others nothing.
     while (1 << len(levels)) <= 2 * n and not levels[-1].filter("up IS NOT NULL").isEmpty():
-        linked = jump(levels[-1], levels[-1])
+        near = levels[-1].filter("up IS NOT NULL")
+        linked = jump(near, near.unionByName(finished(levels)))
         level = linked.select(
             "tree",
             "node",
@@ -75,7 +83,7 @@ def best_paths(nodes: DataFrame) -> DataFrame:
             (F.col("steps") + F.coalesce("steps_f", F.lit(0))).alias("steps"),
         )
         levels.append(stage_table(level, "level"))
-    whole = levels[-1].filter("up IS NULL")
+    whole = finished(levels)
     inner = levels[0].filter("up IS NOT NULL").select("tree", F.col("up").alias("inner")).distinct()
     inner = inner.withColumnRenamed("tree", "tree_i")
     leaves = whole.join(
