@@ -89,3 +89,12 @@ def test_content_is_not_read_for_finished_files(spark, tmp_path):
     done = spark.createDataFrame([], schemas.LEDGER)
     names = pending_files(scan_files(spark, str(tmp_path)), done, "en", "fr").select("path")
     assert "content" not in re.findall(r"ReadSchema: (\S+)", plan(spark, names))[0]
+
+
+def test_files_are_scanned_and_parsed_once(spark, tmp_path):
+    from timedtext.sources.files import decode_files, parse_files, scan_files
+
+    (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nx\n")
+    text = plan(spark, parse_files(decode_files(scan_files(spark, str(tmp_path)))))
+    assert text.count("Scan binaryFile") == 2  # once in the tree, once in its details
+    assert "Union" not in text and "Exchange" not in text
