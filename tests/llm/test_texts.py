@@ -121,6 +121,37 @@ def test_neighbours_share_tokens():
     assert list(shard.neighbours(1, unused)) == [3, 2]
 
 
+def test_neighbours_meet_in_one_shard(spark):
+    """Near copies are packed together when the table has many shards."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    vocabulary = Tokenizer.from_file(packing.vocabulary_path()).get_vocab()
+    names = sorted(w for w in (v.removesuffix("</w>") for v in vocabulary) if w.isascii() and w.isalpha() and len(w) > 4)
+    rows = []
+    for topic in range(60):
+        words = rng.choices(names, k=200)
+        rows += [(10 * topic + i, " ".join([*words[: 150 + 10 * i], *rng.choices(names, k=4)])) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pieces = packing.pack(docs, shard_tokens=2_000).collect()
+    check_pack(pieces, rows)
+    assert len({p.shard for p in pieces}) >= 8
+    of = defaultdict(set)
+    for p in pieces:
+        of[p.doc_id // 10].add((p.doc_id, p.shard))
+    met = sum(len({s for _, s in found}) == 1 for found in of.values())
+    assert met >= 40, met
+
+
+def test_large_groups_are_parted():
+    """Tails with one key fill several shards of equal size."""
+    sample = [(b"k" * 32 + bytes([i]), 10) for i in range(100)] + [(b"a" * 40, 10)]
+    cuts = packing.cuts_of(sample, 4)
+    held = np.bincount([packing.bisect.bisect_right(cuts, k) for k, _ in sample], minlength=4)
+    assert len(cuts) == 3 and held.min() >= 20
+    assert packing.cuts_of([], 4) == []
+
+
 def test_language_held_out(spark):
     found = language.op9_language_id(spark, "/root/testdata/sf0.01")
     truth = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang", "text")

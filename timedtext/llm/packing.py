@@ -5,10 +5,15 @@
 2. Document frequencies of tokens, the number of documents and their mean length come from all
    documents. The frequencies are one number per vocabulary entry (49,408 here), which bounds
    what is collected and broadcast.
-3. Tails are dealt to shards of some ``SHARD_TOKENS`` tokens by a hash of the row. A shard is an
-   inverted index with BM25 weights, in one task. A seed document's heaviest tokens are the
-   query; its unused neighbours follow by score until the window is full, and the last one is
-   cut where the window ends; the cut-off rest seeds the next window.
+3. Tails are ordered by their document's rarest tokens that another document has too, rarest
+   first, and this order is cut into shards of some ``SHARD_TOKENS`` tokens. Documents that share
+   them meet in one shard at any size of the table; a group that is larger than a shard is parted
+   by its next rarest tokens, and equal ones by a hash of the row. The cuts come from a sample of
+   some ``CUT_SAMPLE`` tails a shard, which bounds what is collected and broadcast. The README has
+   figures of the neighbours that still fall into other shards.
+   A shard is an inverted index with BM25 weights, in one task. A seed document's heaviest tokens
+   are the query; its unused neighbours follow by score until the window is full, and the last one
+   is cut where the window ends; the cut-off rest seeds the next window.
 4. What a shard has left at its end is cut into powers of two, so no sequence is padded.
 
 A document of any length costs a shard one short row per window; the shard's memory is bounded
@@ -21,9 +26,11 @@ or have none; each row is packed on its own. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +46,8 @@ from timedtext.session import stage_table
 WINDOW = 4096
 END = 2
 SHARD_TOKENS = 2_000_000
+KEY_TOKENS = 8
+CUT_SAMPLE = 100
 QUERY_TOKENS = 16
 K1, BETA = 1.2, 0.75
 KNOWN_WORDS = 400_000
@@ -163,6 +172,59 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
 
 
+def place_key(terms: np.ndarray, frequency: np.ndarray) -> bytes:
+    """Order of a document's place: its rarest tokens that another document has too."""
+    shared = terms[frequency[terms] > 1]
+    first = np.lexsort((shared, frequency[shared]))[:KEY_TOKENS]
+    return shared[first].astype(">u4").tobytes().ljust(4 * KEY_TOKENS, b"\xff")
+
+
+def place_keys(statistics) -> Callable:
+    """Keys and sizes of the given tails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = statistics.value[0]
+        for batch in batches:
+            terms, tie, length = batch.columns
+            keys = [
+                place_key(np.frombuffer(t, "<u4"), frequency) + struct.pack(">q", h)
+                for t, h in zip(terms.to_pylist(), tie.to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), length], names=["key", "length"])
+
+    return run
+
+
+def cuts_of(sample: list[tuple[bytes, int]], shards: int) -> list[bytes]:
+    """First keys of all shards but the first, for shards of equal numbers of tokens."""
+    sample = sorted(sample)
+    sums = np.cumsum([n for _, n in sample])
+    if not len(sums):
+        return []
+    at = np.searchsorted(sums, sums[-1] * np.arange(1, shards) / shards)
+    return [sample[i][0] for i in at]
+
+
+def dealt(statistics, cuts) -> Callable:
+    """The shard of each row: tails by their key, full windows by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency, first = statistics.value[0], cuts.value
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            pairs = zip(rows["terms"].to_pylist(), rows["tie"].to_pylist(), strict=True)
+            shard = [
+                h % (len(first) + 1)
+                if t is None
+                else bisect.bisect_right(first, place_key(np.frombuffer(t, "<u4"), frequency) + struct.pack(">q", h))
+                for t, h in pairs
+            ]
+            out = rows.drop_columns(["terms", "tie"]).append_column("shard", pa.array(shard, pa.int64()))
+            yield from out.to_batches()
+
+    return run
+
+
 class Shard:
     """The tails of one shard and their inverted index."""
 
@@ -262,6 +324,7 @@ def powers_of_two(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int
         yield out
 
 
+PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, shard bigint"
 PACKED = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint,"
     " sequence_id bigint, offset bigint, shard bigint"
@@ -332,11 +395,16 @@ def pack(docs: DataFrame, path: str | None = None, shard_tokens: int = SHARD_TOK
         frequency[r.term] = r.n
     statistics = spark.sparkContext.broadcast((frequency, n_docs, tokens / max(1, n_docs)))
     shards = max(1, math.ceil(tail_tokens / shard_tokens))
-    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "ids"), F.lit(shards))
+    places = pieces.filter("length > 0").withColumn("tie", F.xxhash64("doc_id", "start", "ids_crc32", "ids"))
+    cuts = []
+    if shards > 1:
+        tails = places.filter("terms IS NOT NULL").select("terms", "tie", "length")
+        every = max(1, n_docs // (shards * CUT_SAMPLE))
+        sample = tails.filter(F.pmod(F.xxhash64("tie"), F.lit(every)) == 0)
+        cuts = cuts_of(list(map(tuple, sample.mapInArrow(place_keys(statistics), "key binary, length bigint").collect())), shards)
+    spread = dealt(statistics, spark.sparkContext.broadcast(cuts))
     return (
-        pieces.filter("length > 0")
-        .drop("terms")
-        .withColumn("shard", shard)
+        places.mapInArrow(spread, PLACED)
         .withColumn("named", F.col("doc_id").isNotNull())
         .withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
         .groupBy("shard")
