@@ -129,6 +129,41 @@ def test_license_keywords_lose_nothing():
         assert keyword == "" or keyword in re.sub(r"\(\?:gnu \)\?", "", regex), label
 
 
+NOTICES = {
+    "SPDX-License-Identifier: LGPL-2.1": "lgpl-2.1", "SPDX-License-Identifier: AGPL-3.0-only": "agpl-3.0",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1", "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+    "SPDX-License-Identifier: EPL-2.0": "epl-2.0", "SPDX-License-Identifier: OFL-1.1": "ofl", "under no license": "",
+    "SPDX-License-Identifier: CDDL-1.0": "cddl-1.0", "licensed under the LGPL v2.1": "lgpl-2.1", "under the LGPL license": "lgpl",
+    "licensed under the LGPL": "lgpl", "licensed under AGPLv3": "agpl-3.0", "SPDX-License-Identifier: 0BSD": "bsd-0-clause",
+    "SPDX-License-Identifier: LGPL-2.0-only": "lgpl-2.0", "licensed under the LGPL version 3": "lgpl-3.0",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "Permission is hereby granted, free of charge": "mit", "Permission is hereby granted by the king.": "",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software": "boost",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived"
+    " from this software": "bsd-3-clause",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided": "isc",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "it is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+    " published by the Free Software Foundation, either version 2.1 of the License": "lgpl-2.1",
+}
+
+
+def test_license_bodies_and_short_names(spark):
+    rows = list(enumerate(NOTICES))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    frame.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/notices/documents.parquet")
+    got = {r.doc_id: r for r in licenses.op5_license_scan(spark, path.rsplit("/", 1)[0]).collect()}
+    for i, text in rows:
+        own = set(got[i].base_labels.split(","))
+        assert set(got[i].labels.split(",")) - own == set(NOTICES[text].split(",")) - own, text
+        assert scan(text)[2] | own - {""} == set(got[i].labels.split(",")) - {""}, text
+    for label, keyword, regex, _ in licenses.signatures()[-len(licenses.BODIES) :]:
+        assert any(g in keyword for g in licenses.GATES + licenses.BODY_GATES), label
+
+
 def test_license_documents(spark):
     got = {r.doc_id: r for r in licenses.op5_license_scan(spark, SF_DIR).collect()}
     for r in table(spark, SF_DIR, "documents").select("doc_id", "text").collect():
