@@ -62,6 +62,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame.limit(0)).collect() == []
 
 
+def test_line_dedup_long_runs(spark):
+    """Long runs of one or two lines go, short ones stay."""
+    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25))
+    texts = [f"{long}\nend", f"start\n{long}", long, f"{half}\n{half} b", f"x\n{half}\n\n{half} b\ny", f"{half}\nz", "end\nz"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame, long_words=50).collect()}
+    assert got == dict(enumerate([texts[0], "start", "", texts[3], "x\n\ny", texts[5], texts[6]]))
+    assert [r.text for r in line_dedup.dedup_lines(frame).orderBy("doc_id").collect()] == texts
+
+
 def test_line_dedup_documents(spark):
     docs = table(spark, SF_DIR, "documents").select("doc_id", "text")
     check_lines(docs, [tuple(r) for r in docs.collect()])

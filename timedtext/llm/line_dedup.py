@@ -6,10 +6,13 @@ higher up in the same document. Runs are judged on the input, so chains of copie
 
 Every window of ``MIN_LINES`` lines selects the least hash of the ``GRAM``-line grams in it, so
 two equal runs always share a selected fingerprint. Only positions whose fingerprint stands
-twice or more are joined; from each the match is extended to all windows around it, and equal
-windows are reduced to their first place. One row per window, never one per pair: a passage in
+twice or more are joined; the windows that select it are grouped by their whole hashes and
+reduced to their first place, which finds all runs without extending matches pair by pair. One row per window, never one per pair: a passage in
 a third of all documents costs as many rows as it has copies.
 
+With ``long_words`` a run of one or two lines also counts if it has that many words or more. The
+query and the pipeline do without, as their SQL and tests have runs of three lines only.
+
 Defined results: null text is empty, it has no lines and stays null. Rows that agree in
 ``doc_id`` and text are one document and get the same result each; rows with one ``doc_id`` and
 different texts are ordered by the hash of the text. A null ``doc_id`` comes before all others.
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import free_name, let, replace_text, table
+from timedtext.llm.common import SPACES, free_name, let, replace_text, table
 from timedtext.session import stage_table
 
 GRAM = 2
@@ -93,7 +96,43 @@ def windows_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def long_runs(docs: DataFrame, long_words: int) -> DataFrame:
+    """Places of the lines of later runs of one or two lines with ``long_words`` words or more."""
+
+    def rows(lines: Column) -> Column:
+        def of_size(size: int) -> Column:
+            def run(_: Column, i: Column) -> Column:
+                parts = [F.get(lines, i + k) for k in range(size)]
+                return F.struct(
+                    i.alias("i"),
+                    F.lit(size).alias("size"),
+                    F.xxhash64(*(x["a"] for x in parts)).alias("a"),
+                    F.xxhash64(*(x["b"] for x in parts)).alias("b"),
+                    sum((x["n"] for x in parts[1:]), parts[0]["n"]).alias("n"),
+                )
+
+            # Past the last line the sum is null, and the run goes.
+            return F.filter(F.transform(lines, run), lambda x: x["n"] >= long_words)
+
+        return F.concat(of_size(1), of_size(2))
+
+    lines = F.transform(
+        F.filter(lines_of(F.col("text")), has_ink),
+        lambda x: F.struct(
+            F.xxhash64(x).alias("a"),
+            F.xxhash64(F.lit(1), x).alias("b"),
+            F.size(F.filter(F.split(x, SPACES), lambda w: w != "")).alias("n"),
+        ),
+    )
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    runs = stage_table(docs.select("doc_id", text_hash, F.inline(let(lines, rows))), "long-runs")
+    place = F.struct("doc_id", "text_hash", "i")
+    first = runs.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n_runs")).filter("n_runs > 1")
+    later = runs.join(first, ["size", "a", "b"]).filter(place > F.col("first"))
+    return later.select("doc_id", "text_hash", F.explode(F.sequence("i", F.expr("i + size - 1"))).alias("line"))
+
+
+def repeated_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     """Per document with repeats: sorted indices, among its lines with ink, of what goes."""
     windows = stage_table(windows_of(docs), "line-windows")
     place = F.struct("doc_id", "text_hash", "i")
@@ -103,18 +142,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     matched = windows.join(common, "fp").select("doc_id", "text_hash", "i", "a", "b")
     first = matched.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     later = matched.join(first.filter("n > 1"), ["a", "b"]).filter(place > F.col("first"))
-    return (
-        later.select("doc_id", "text_hash", F.explode(F.sequence("i", F.col("i") + MIN_LINES - 1)).alias("line"))
-        .groupBy("doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    )
+    gone = later.select("doc_id", "text_hash", F.explode(F.sequence("i", F.col("i") + MIN_LINES - 1)).alias("line"))
+    if long_words is not None:
+        gone = gone.union(long_runs(docs, long_words))
+    return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     """All rows and columns; ``text`` without later repeated runs, and a struct ``line_dedup``
     (or the next free name, returned last) with n_lines, n_removed and n_runs."""
     columns = docs.columns
-    gone = repeated_lines(docs.select("doc_id", "text"))
+    gone = repeated_lines(docs.select("doc_id", "text"), long_words)
     id_name, hash_name, gone_name = (free_name(docs, n) for n in ("of_id", "of_text", "gone"))
     gone = gone.toDF(id_name, hash_name, gone_name)
     same = docs["doc_id"].eqNullSafe(gone[id_name]) & (
