@@ -13,6 +13,7 @@ from timedtext.llm import (
     quality,
     suffix_dedup,
     url_rules,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 
 # The others have no SQL form; tests/llm compares them with plain versions.
