@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from timedtext.llm import (
     chat,
+    collocations,
     decontaminate,
     language,
     licenses,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
 
 # The others have no SQL form; tests/llm compares them with plain versions.
@@ -36,4 +38,5 @@ ORACLES = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
 }
