@@ -10,6 +10,7 @@ from timedtext.llm import (
     licenses,
     line_dedup,
     near_dup,
+    ngram_join,
     packing,
     quality,
     suffix_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_language_id": language.op9_language_id,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_ngram_jaccard": ngram_join.op11_ngram_jaccard,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_phrase_collocations": collocations.op13_phrase_collocations,
 }
