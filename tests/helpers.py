@@ -7,19 +7,16 @@ from itertools import accumulate
 
 CUE_COLUMNS = "file_id string, cue bigint, start_ms bigint, end_ms bigint, content string, proprietary string"
 
-SET_A = [
-    (0, 2000, "The old kettle is warm.\nNow its lid dances."),
-    (3000, 5000, "Nobody pours any tea at six."),
-    (6000, 9000, "Three old cups are on shelf top\nbetween plates\nor jars."),
+HARBOUR = [
+    (500, 1900, "Fog hides the pier."),
+    (2100, 4600, "A gull lands, looks at us,"),
+    (4700, 5200, "and steals\nthe bread! Nobody"),
+    (9000, 12500, "laughs."),
 ]
-SET_B = [
-    (0, 2000, "Quiet night"),
-    (3000, 5000, "We all sit now.\nWith between plates."),
-    (6000, 9000, "Last lamps out"),
-]
-SAMPLE_D = (
-    "1\n00:00:00,000 --> 00:00:02,430\nBaking has been\na quiet little habit for\n"
-    "2\n00:00:02,430 --> 00:00:04,290\nmillers who knew\nthe weight of a stone.\n"
+OVEN = [(0, 800, "Who is\nthere?"), (800, 4000, "Only the oven. It hums")]
+LOOSE = (
+    "3\n0:00:10,200 --> 0:00:11,000\nTwo boats\n"
+    "4\n0:01:00,000 --> 0:01:09,999\nleft at dawn,\none with\nno oars\n"
 )
 
 

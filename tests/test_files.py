@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from helpers import SAMPLE_D, SET_A, cue_table
+from helpers import HARBOUR, LOOSE, cue_table
 from pyspark.sql import functions as F
 
 from timedtext.operators import compose
@@ -17,11 +17,11 @@ def parse(spark, text):
 
 
 def test_cues_without_blank_lines_between(spark):
-    rows, status = parse(spark, SAMPLE_D)
+    rows, status = parse(spark, LOOSE)
     assert status.status == "success"
     assert [(r.cue, r["index"], r.start_ms, r.end_ms, r.content) for r in rows] == [
-        (1, 1, 0, 2430, "Baking has been\na quiet little habit for"),
-        (2, 2, 2430, 4290, "millers who knew\nthe weight of a stone."),
+        (1, 3, 10200, 11000, "Two boats"),
+        (2, 4, 60000, 69999, "left at dawn,\none with\nno oars"),
     ]
 
 
@@ -39,7 +39,7 @@ def test_variants(spark):
     ]
 
 
-@pytest.mark.parametrize("text", ["no times at all", "junk\n\n" + SAMPLE_D, "1\n00:00:01,000\nx"])
+@pytest.mark.parametrize("text", ["no times at all", "junk\n\n" + LOOSE, "1\n00:00:01,000\nx"])
 def test_not_a_subtitle_file(spark, text):
     rows, status = parse(spark, text)
     assert rows == [] and status.status == "error" and status.message.startswith("Failed to parse")
@@ -53,7 +53,7 @@ def test_empty_file_is_no_error(spark, text):
 
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "cp874", "shift_jis"])
 def test_scan_and_decode(spark, tmp_path, encoding):
-    text = "1\r\n00:00:01,000 --> 00:00:02,000\r\nสวัสดี\r\n" if encoding == "cp874" else SAMPLE_D
+    text = "1\r\n00:00:01,000 --> 00:00:02,000\r\nสวัสดี\r\n" if encoding == "cp874" else LOOSE
     (tmp_path / "a.srt").write_bytes(text.encode(encoding))
     (tmp_path / "bad.srt").write_bytes(b"\xff\xfe\x00\x00\x80" if encoding != "cp874" else b"\xfc\xff")
     (tmp_path / "other.txt").write_text("x")
@@ -84,11 +84,11 @@ def test_compose_sorts_numbers_and_skips(spark):
 
 
 def test_compose_then_parse(spark):
-    cues = cue_table(spark, {"a": SET_A, "b": SET_A[::-1]})
+    cues = cue_table(spark, {"a": HARBOUR, "b": HARBOUR[::-1]})
     texts = compose.compose_srt(cues).withColumn("status", F.lit("success"))
     back = fs.parse_cues(texts, "file_id").where("file_id = 'a'")
     same = cues.where("file_id = 'a'").select("file_id", "cue", "start_ms", "end_ms", "content", "proprietary")
-    assert back.drop("index").exceptAll(same).isEmpty() and back.count() == 3
+    assert back.drop("index").exceptAll(same).isEmpty() and back.count() == 4
 
 
 def test_named_files(spark, tmp_path):
@@ -114,8 +114,46 @@ def test_text_parts_in_order(spark, tmp_path):
 
 
 def test_snapshot(spark):
-    cues = cue_table(spark, {"a": SET_A})
+    cues = cue_table(spark, {"a": HARBOUR})
     marked = F.when(F.col("cue") == 1, "Primera línea")
     rows = compose.restore_cues(compose.snapshot_cues(cues, marked)).orderBy("cue").collect()
-    assert [r.translated_content for r in rows] == ["Primera línea", None, None]
-    assert [(r.start_ms, r.end_ms, r.content) for r in rows] == [tuple(c) for c in SET_A]
+    assert [r.translated_content for r in rows] == ["Primera línea", None, None, None]
+    assert [(r.start_ms, r.end_ms, r.content) for r in rows] == [tuple(c) for c in HARBOUR]
+
+
+def same_hour(n):
+    """Cues of one hour, most of them in one millisecond, some of these with one end."""
+    rows = [(5 if i % 3 else 5 + i % 7, 9 if i % 2 else 9 + i % 11, f"c{i}") for i in range(n)]
+    return [(s, max(s, e), c) for s, e, c in rows]
+
+
+@pytest.mark.parametrize("slice_rows", [4, 32, 100_000])
+def test_cues_of_one_hour_are_ranked_in_parts(spark, slice_rows):
+    files = {"a": same_hour(300), "b": same_hour(40), "c": HARBOUR}
+    rows = compose.number_by_time(cue_table(spark, files), slice_rows=slice_rows).collect()
+    for name, cues in files.items():
+        order = sorted(range(len(cues)), key=lambda i: (cues[i][0], cues[i][1], i))
+        found = {r.cue - 1: r.number for r in rows if r.file_id == name}
+        assert found == {at: number for number, at in enumerate(order, 1)}
+
+
+def test_a_rank_is_over_few_cues(spark):
+    """The largest group of the ranking window."""
+    cues = cue_table(spark, {"a": same_hour(900)})
+    text = compose.number_by_time(cues, slice_rows=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(file_id" in text and "part" in text.split("windowspecdefinition(", 1)[1].split(")")[0]
+    parts = cues.selectExpr("start_ms", "end_ms", "cue div 16 AS block").groupBy("start_ms", "end_ms", "block").count()
+    assert parts.agg(F.max("count")).first()[0] <= 16
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    (tmp_path / "old.srt").write_bytes(b"old")
+    rows = spark.range(20).select(
+        F.format_string("f%d.srt", "id").alias("path"),
+        F.when(F.col("id") == 17, F.raise_error(F.lit("no more")).cast("binary")).otherwise(F.lit(b"x")).alias("content"),
+    )
+    with pytest.raises(Exception, match="no more"):
+        fs.write_named_files(rows.repartition(4), str(tmp_path))
+    assert os.listdir(tmp_path) == ["old.srt"]
+    fs.write_named_files(rows.where("id < 3"), str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == ["f0.srt", "f1.srt", "f2.srt", "old.srt"]

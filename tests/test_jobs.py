@@ -2,7 +2,7 @@ import datetime
 import os
 
 import pytest
-from helpers import SET_A, SET_B, cue_table
+from helpers import HARBOUR, OVEN, cue_table
 
 from timedtext import schemas
 from timedtext.operators import compose, ledger, memory
@@ -36,19 +36,20 @@ def texts_of(rows):
 
 
 def test_split_translation(spark):
-    cues = with_languages(cue_table(spark, {"a": SET_A}))
+    cues = with_languages(cue_table(spark, {"a": HARBOUR}))
     known = upper_memory(
         spark,
         [r.sentence for r in sen.sentences(cues).collect()],
     )
     rows = translate_split(cues, known, both=False).collect()
     assert texts_of(rows) == [
-        "THE OLD KETTLE IS WARM. NOW ITS LID DANCES.",
-        "NOBODY POURS ANY TEA AT SIX.",
-        "THREE OLD CUPS ARE ON SHELF TOP BETWEEN PLATES OR JARS.",
+        "FOG HIDES THE PIER.",
+        "A GULL LANDS, LOOKS AT US, AND STEALS THE BREAD!",  # no later cue ends in it
+        "NOBODY ",
+        "LAUGHS.",
     ]
     compat = translate_split(cues, known, both=True, mode="compat").collect()
-    assert texts_of(compat)[0] == "NOW ITS LID DANCES.\nThe old kettle is warm. Now its lid dances."
+    assert texts_of(compat)[0] == "FOG HIDES THE PIER.\nFog hides the pier."
     assert {r.status for r in rows} == {"aligned"}
 
 
@@ -77,14 +78,13 @@ def test_unaligned_cues_stay(spark):
 
 
 def test_naive_translation(spark):
-    cues = with_languages(cue_table(spark, {"b": SET_B}))
-    known = upper_memory(spark, ["Quiet night", "We all sit now.With between plates."])
+    cues = with_languages(cue_table(spark, {"b": OVEN}))
+    known = upper_memory(spark, ["Who isthere?"])
     assert texts_of(translate_naive(cues, known).collect()) == [
-        "QUIET NIGHT\nQuiet night",
-        "WE ALL SIT NOW.WITH BETWEEN PLATES.\nWe all sit now. With between plates.",
-        "\nLast lamps out",
+        "WHO ISTHERE?\nWho is there?",
+        "\nOnly the oven. It hums",
     ]
-    assert texts_of(translate_cues(cues, known, "naive", False, on_miss="source").collect())[2] == "Last lamps out"
+    assert texts_of(translate_cues(cues, known, "naive", False, on_miss="source").collect())[1] == "Only the oven. It hums"
 
 
 def write_files(directory, files):
@@ -103,9 +103,9 @@ def read(directory, name):
 
 @pytest.fixture
 def corpus(spark, tmp_path):
-    files = {"a.srt": srt(spark, SET_A), "b.srt": srt(spark, SET_B), "bad.srt": b"\xff\xfe\x00", "text.srt": b"no cues"}
+    files = {"a.srt": srt(spark, HARBOUR), "b.srt": srt(spark, OVEN), "bad.srt": b"\xff\xfe\x00", "text.srt": b"no cues"}
     write_files(tmp_path / "in", files)
-    texts = [r.sentence for r in sen.sentences(cue_table(spark, {"a": SET_A, "b": SET_B})).collect()]
+    texts = [r.sentence for r in sen.sentences(cue_table(spark, {"a": HARBOUR, "b": OVEN})).collect()]
     return tmp_path, upper_memory(spark, texts)
 
 
@@ -120,11 +120,11 @@ def test_corpus_is_resumed(spark, corpus):
     assert rows["a.srt"].output == f"{root}/out/a_en_es_only.srt" and rows["a.srt"].progress == 100.0
     assert rows["bad.srt"].message.startswith("Failed to decode") and rows["bad.srt"].output is None
     assert sorted(os.listdir(root / "out")) == ["a_en_es_only.srt", "b_en_es_only.srt"]
-    assert "NOBODY POURS ANY TEA AT SIX." in read(root / "out", "a_en_es_only.srt")
+    assert "FOG HIDES THE PIER." in read(root / "out", "a_en_es_only.srt")
 
     # a finished file is not done again, a repaired one is
     (root / "out" / "a_en_es_only.srt").write_text("kept")
-    (root / "in" / "bad.srt").write_bytes(srt(spark, SET_B))
+    (root / "in" / "bad.srt").write_bytes(srt(spark, OVEN))
     done = translate_corpus(spark, str(root / "in"), known, job, str(root / "ledger"))
     status = ledger.status_summary(done).first()
     assert (status.success, status.error, status.total) == (3, 1, 4)
@@ -134,13 +134,13 @@ def test_corpus_is_resumed(spark, corpus):
 
 def test_naive_corpus_in_parts(spark, corpus):
     root, _ = corpus
-    known = upper_memory(spark, ["Quiet night"])
+    known = upper_memory(spark, ["Who isthere?"])
     job = Translation("en", "es", str(root / "out"), mode="naive", sink="parts", on_miss="source")
     done = translate_corpus(spark, str(root / "in"), known, job, str(root / "ledger"), pattern="b.srt")
     assert done.count() == 1
     folder = root / "out" / "output=b_en_es_both.srt"
     text = "".join(read(folder, p) for p in sorted(os.listdir(folder)) if p.startswith("part"))
-    assert text.startswith("1\n00:00:00,000 --> 00:00:02,000\nQUIET NIGHT\nQuiet night\n\n2\n")
+    assert text.startswith("1\n00:00:00,000 --> 00:00:00,800\nWHO ISTHERE?\nWho is there?\n\n2\n")
 
 
 def test_stream_takes_new_files_only(spark, corpus):
@@ -156,11 +156,11 @@ def test_stream_takes_new_files_only(spark, corpus):
 
     assert run().count() == 4
     (root / "out" / "a_en_es_only.srt").write_text("kept")
-    write_files(root / "in", {"c.srt": srt(spark, SET_A)})
+    write_files(root / "in", {"c.srt": srt(spark, HARBOUR)})
     done = run()
     assert ledger.status_summary(done).first().success == 3
     assert read(root / "out", "a_en_es_only.srt") == "kept"
-    assert "THE OLD KETTLE" in read(root / "out", "c_en_es_only.srt")
+    assert "FOG HIDES" in read(root / "out", "c_en_es_only.srt")
 
 
 def test_encode_corpus(spark, tmp_path):
@@ -210,9 +210,9 @@ def test_shared_dir_comes_from_the_session(spark):
 def test_memory_grows_by_the_hook(spark):
     from timedtext.operators.batching import translate_misses
 
-    cues = with_languages(cue_table(spark, {"b": SET_B}))
+    cues = with_languages(cue_table(spark, {"b": OVEN}))
     rows = sen.sentence_cues(cues, keep=("src_lang", "tgt_lang")).where("kept")
-    known = upper_memory(spark, ["Quiet night We all sit now."])
+    known = upper_memory(spark, ["Only the oven."])
     misses = memory.memory_misses(rows, known, "sentence")
     more = known.unionByName(translate_misses(misses, lambda t, s, g: t.lower(), 2))
     assert memory.memory_misses(rows, more, "sentence").isEmpty()

@@ -1,5 +1,5 @@
 import pytest
-from helpers import SET_B, cue_table, plain_alignment, plain_pieces, plain_sentences, random_contents
+from helpers import OVEN, cue_table, plain_alignment, plain_pieces, plain_sentences, random_contents
 from pyspark.sql import functions as F
 
 from timedtext.operators import align, project
@@ -97,14 +97,14 @@ def test_count_guard(spark):
     rows = {r.file_id: r for r in project.count_guard(lines, project.split_lines(texts)).collect()}
     assert rows["a"].status == "success" and rows["a"].message is None
     assert rows["b"].message == "3 lines for 1 cues"
-    alone = project.count_guard(cue_table(spark, {"z": SET_B}), project.split_lines(texts.limit(0)))
-    assert alone.first().message == "0 lines for 3 cues"
+    alone = project.count_guard(cue_table(spark, {"z": OVEN}), project.split_lines(texts.limit(0)))
+    assert alone.first().message == "0 lines for 2 cues"
 
 
 def test_compose_cues(spark):
-    cues = cue_table(spark, {"b": SET_B}).withColumn("translated", F.lit("Hola"))
+    cues = cue_table(spark, {"b": OVEN}).withColumn("translated", F.lit("Hola"))
     rows = project.compose_cues(cues).orderBy("cue").collect()
-    assert rows[1].content == "Hola\nWe all sit now. With between plates."
+    assert rows[1].content == "Hola\nOnly the oven. It hums"
     assert project.compose_cues(cues, both=False).first().content == "Hola"
 
 

@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 from timedtext.functions.text import whole_div
 from timedtext.operators.blocks import BLOCK_ROWS
-from timedtext.operators.sentences import sentence_cues
+from timedtext.operators.sentences import is_placed, sentence_cues
 
 BLOCK_CHARS = 65536
 
 
 def align_cues(
-    cues: DataFrame, profile: str = "v1", block_rows: int = BLOCK_ROWS
+    cues: DataFrame, profile: str = "v1", block_rows: int = BLOCK_ROWS, dense: bool = False
 ) -> DataFrame:
     """Each cue with the sentence in which it ends.
 
     ``(file_id, sen, cue, rel, ord, n_in_sen, status)``; ``rel`` is the end of the cue
     counted from the start of the sentence. A cue after the end of the last sentence is
-    ``unaligned`` and has no sentence.
+    ``unaligned`` and has no sentence. A cue without a file or number is ``unplaced``, and a
+    null content is empty; with ``dense`` (see ``fragments``) there are no unplaced cues.
     """
-    return explode_alignment(sentence_cues(cues, profile, block_rows=block_rows))
+    placed = explode_alignment(sentence_cues(cues, profile, block_rows=block_rows, dense=dense))
+    if dense:
+        return placed
+    nothing = [F.lit(None).cast("bigint").alias(c) for c in ("rel", "ord", "n_in_sen")]
+    rest = cues.where(~is_placed()).select(
+        "file_id", F.lit(None).cast("bigint").alias("sen"), "cue", *nothing, F.lit("unplaced").alias("status")
+    )
+    return placed.union(rest)
 
 
 def explode_alignment(sentence_rows: DataFrame) -> DataFrame:
@@ -112,14 +120,14 @@ def align_offsets(
 
 
 def alignment_audit(
-    cues: DataFrame, profile: str = "v1", block_rows: int = BLOCK_ROWS
+    cues: DataFrame, profile: str = "v1", block_rows: int = BLOCK_ROWS, dense: bool = False
 ) -> DataFrame:
     """Per file: what a translation of it would lose.
 
     Sentences in which no cue ends, sentences with exactly one cue (cut to the source
     length in compat mode), cues without a sentence, and both totals.
     """
-    return audit_sentences(sentence_cues(cues, profile, block_rows=block_rows))
+    return audit_sentences(sentence_cues(cues, profile, block_rows=block_rows, dense=dense))
 
 
 def audit_sentences(sentence_rows: DataFrame) -> DataFrame:

@@ -78,3 +78,27 @@ def running_sum(
         .withColumn(name, F.col(name) + F.coalesce("value_before", F.lit(0)))
         .drop("block", "value_before")
     )
+
+
+def dense_positions(
+    rows: DataFrame,
+    name: str,
+    order: Sequence[str],
+    file_key: str = "file_id",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Adds ``name``: 1, 2, .. inside the file by ``order``, whose first column is a whole number
+    that may have gaps and repeats. Rows are ranked inside blocks of that number, and what the
+    blocks before hold is added; rows of one number that fill a block are one task's work.
+    """
+    blocked = rows.withColumn("number_block", block_of(F.col(order[0]), block_rows))
+    before = carried_sums(
+        blocked.select(file_key, "number_block"), [file_key], {"n": F.lit(1)}, block="number_block"
+    )
+    rank = F.row_number().over(Window.partitionBy(file_key, "number_block").orderBy(*order))
+    return (
+        blocked.withColumn(name, rank.cast("bigint"))
+        .join(before, [file_key, "number_block"], "left")
+        .withColumn(name, F.col(name) + F.coalesce("n_before", F.lit(0)))
+        .drop("number_block", "n_before")
+    )

@@ -11,6 +11,7 @@ from timedtext.operators.blocks import carried_sums
 from timedtext.operators.sentences import ordered_text
 
 SLICE_MS = 3_600_000
+SLICE_CUES = 16384
 PART_CUES = 16384
 
 
@@ -19,25 +20,43 @@ def is_written() -> Column:
     return ~is_blank("content") & (F.col("start_ms") >= 0) & (F.col("start_ms") <= F.col("end_ms"))
 
 
-def number_by_time(cues: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def heavy(rows: DataFrame, keys: list[str], most: int, name: str) -> DataFrame:
+    """The groups with more than ``most`` rows, marked by ``name``; an aggregate, so a group is
+    reduced before it is shuffled."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return counts.select(*keys, F.lit(True).alias(name))
+
+
+def number_by_time(
+    cues: DataFrame, slice_ms: int = SLICE_MS, slice_rows: int = SLICE_CUES
+) -> DataFrame:
     """Adds ``number``: 1, 2, .. by start, end and position, without the cues that are
     not written (``is_written``; the jobs count them in their ledger).
 
-    Cues are ranked inside slices of time; the numbers of the slices before are added
-    from one small row per slice.
+    Cues are ranked inside slices of a file; the numbers of the slices before are added from one
+    small row per slice. A slice is a range of time. One with more than ``slice_rows`` cues is cut
+    by the millisecond of the start, and a millisecond with more than these by end and blocks of
+    positions; so however the times of a file cluster, no rank is over more cues than that, but
+    for repeats of one position.
     """
     written = cues.where(is_written()).withColumn("slice", whole_div(F.col("start_ms"), slice_ms))
-    before = carried_sums(
-        written.select("file_id", "slice"), ["file_id"], {"n": F.lit(1)}, block="slice"
-    )
+    at, end, place = F.col("start_ms"), F.col("end_ms"), whole_div(F.col("cue"), slice_rows)
+    long = heavy(written, ["file_id", "slice"], slice_rows, "long")
+    cut = written.join(long, ["file_id", "slice"], "left").withColumn("at", F.when(F.col("long"), at).otherwise(-1))
+    full = heavy(cut.where("long"), ["file_id", "at"], slice_rows, "full")
+    cut = cut.join(full, ["file_id", "at"], "left")
+    cut = cut.withColumn("part", F.struct("slice", "at", F.when(F.col("full"), end), F.when(F.col("full"), place)))
+    before = carried_sums(cut.select("file_id", "part"), ["file_id"], {"n": F.lit(1)}, block="part")
     rank = F.row_number().over(
-        Window.partitionBy("file_id", "slice").orderBy("start_ms", "end_ms", "cue")
+        Window.partitionBy("file_id", "part").orderBy("start_ms", "end_ms", "cue")
     )
+    before = before.withColumnRenamed("file_id", "of_file").withColumnRenamed("part", "of_part")
+    same = F.col("file_id").eqNullSafe(F.col("of_file")) & F.col("part").eqNullSafe(F.col("of_part"))
     return (
-        written.withColumn("number", rank.cast("bigint"))
-        .join(before, ["file_id", "slice"], "left")
+        cut.withColumn("number", rank.cast("bigint"))
+        .join(before, same, "left")
         .withColumn("number", F.col("number") + F.coalesce("n_before", F.lit(0)))
-        .drop("slice", "n_before")
+        .drop("slice", "long", "at", "full", "part", "of_file", "of_part", "n_before")
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timedtext import schemas
 from timedtext.functions.text import is_blank
+from timedtext.operators.runs import compact, read_runs, write_run
 
+MOST_BATCHES = 32
 KEYS = ["src_lang", "tgt_lang", "text"]
 
 
@@ -21,6 +24,32 @@ def build_memory(pairs: DataFrame) -> DataFrame:
     )
 
 
+def unique_learned(rows: DataFrame) -> DataFrame:
+    """One row for each key, what was learned first."""
+    first = F.min(F.struct("learned_at", "translated")).alias("first")
+    return rows.groupBy(*KEYS).agg(first).select(*KEYS, "first.translated", "first.learned_at")
+
+
+def read_learned(spark: SparkSession, path: str) -> DataFrame:
+    """The learned memory of all runs, by key; empty where nothing has been learned yet."""
+    return unique_learned(read_runs(spark, path, schemas.LEARNED)).drop("learned_at")
+
+
+def add_learned(rows: DataFrame, path: str, src_lang: str, tgt_lang: str, run: str, batch: int = 0) -> None:
+    """Adds what a batch has learned. A batch that is done again reads its earlier rows first, so
+    it adds only what they lack; the folders of old batches are compacted."""
+    spark, keys = rows.sparkSession, {"src_lang": src_lang, "tgt_lang": tgt_lang}
+    rows = rows.select(*KEYS, "translated", F.current_timestamp().alias("learned_at"))
+    write_run(rows, path, keys, run, batch, "append")
+    compact(spark, path, keys, schemas.LEARNED, unique_learned, MOST_BATCHES, (run, batch))
+
+
+def joined_memory(memory: DataFrame, learned: DataFrame) -> DataFrame:
+    """The memory with learned rows for keys that it lacks."""
+    more = learned.join(memory.select(*KEYS), KEYS, "left_anti")
+    return memory.unionByName(more, allowMissingColumns=True)
+
+
 def lookup_translations(
     lines: DataFrame,
     memory: DataFrame,

@@ -16,13 +16,29 @@ from timedtext.functions.text import (
     split_at_boundaries,
     split_sentences,
 )
-from timedtext.operators.blocks import BLOCK_ROWS, block_of, carried_sums, running_sum
+from timedtext.operators.blocks import (
+    BLOCK_ROWS,
+    block_of,
+    carried_sums,
+    dense_positions,
+    running_sum,
+)
 
 
 def cue_offsets(cues: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``cue_end``: where the cue ends in the running text of its file."""
-    size = F.length("content").cast("bigint") + 1
-    return running_sum(cues, size, "cue_end", "cue", block_rows=block_rows)
+    """Adds ``cue_end``: where the cue ends in the running text of its file.
+
+    A null content is empty. A cue without a file or number has no place, and a null end.
+    """
+    size = F.length(F.coalesce("content", F.lit(""))).cast("bigint") + 1
+    placed = is_placed()
+    ends = running_sum(cues, F.when(placed, size), "cue_end", "cue", block_rows=block_rows)
+    return ends.withColumn("cue_end", F.when(placed, F.col("cue_end")))
+
+
+def is_placed() -> Column:
+    """Which cues have a place in a text: those with a file and a number."""
+    return F.col("file_id").isNotNull() & F.col("cue").isNotNull()
 
 
 def document_text(
@@ -32,13 +48,16 @@ def document_text(
 
     The result is one string per file by definition. It is put together in two steps, so
     that the many small cue rows of a large file are joined in parallel. No other
-    operator needs this text: sentences are cut from the cues.
+    operator needs this text: sentences are cut from the cues. A null content is empty; cues
+    without a file or number have no place.
     """
+    text = F.coalesce("content", F.lit(""))
     blocks = (
-        cues.withColumn("block", block_of(F.col("cue"), block_rows))
+        cues.where(is_placed())
+        .withColumn("block", block_of(F.col("cue"), block_rows))
         .groupBy("file_id", "block")
         .agg(
-            ordered_text(F.struct("cue", flatten_lines("content").alias("text")), " ").alias("text")
+            ordered_text(F.struct("cue", flatten_lines(text).alias("text")), " ").alias("text")
         )
     )
     whole = blocks.groupBy("file_id").agg(
@@ -78,6 +97,7 @@ def fragments(
     profile: str = "v1",
     keep: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
     """Cuts every cue at the sentence boundaries in it.
 
@@ -89,17 +109,28 @@ def fragments(
     Whether a white-space character is a boundary depends on the four characters before
     it. Every cue puts at least one character in the running text, so a block also gets
     the last four cues of the block before it, and nothing else of its neighbours.
-    ``keep`` names columns that are constant in a file.
+    ``keep`` names columns that are constant in a file. A null content is empty; cues without
+    a file or number are left out.
+
+    Blocks are cut by the *place* of a cue in its file, 1, 2, .. . With ``dense`` the numbers of
+    the cues are these places, as in a parsed file; else, where numbers may have gaps or
+    repeats, places are counted first, which shuffles the cues once more.
     """
     look = fixed.BOUNDARY_LOOKBACK
     block_rows = max(block_rows, look)
-    home = block_of(F.col("cue"), block_rows)
-    seen_by = block_of(F.col("cue") + look, block_rows)
+    if dense:
+        cues = cues.withColumn("place", F.col("cue"))
+    else:
+        order = ["cue", *(c for c in ("start_ms", "end_ms") if c in cues.columns), "content"]
+        cues = dense_positions(cues.where(is_placed()), "place", order, block_rows=block_rows)
+    home = block_of(F.col("place"), block_rows)
+    seen_by = block_of(F.col("place") + look, block_rows)
     rows = cues.select(
         "file_id",
         *keep,
         "cue",
-        F.concat(flatten_lines("content"), F.lit(" ")).alias("piece"),
+        "place",
+        F.concat(flatten_lines(F.coalesce("content", F.lit(""))), F.lit(" ")).alias("piece"),
         F.explode(
             F.when(seen_by == home, F.array(home)).otherwise(F.array(home, seen_by))
         ).alias("block"),
@@ -108,17 +139,17 @@ def fragments(
     tail = F.right("piece", F.lit(look))
     before = F.concat(
         *[
-            F.coalesce(F.lag(tail, n).over(in_block.orderBy("cue")), F.lit(""))
+            F.coalesce(F.lag(tail, n).over(in_block.orderBy("place")), F.lit(""))
             for n in range(look, 0, -1)
         ]
     )
     # Only the kind of the characters matters here, and no boundary may lie in them.
     context = F.regexp_replace(F.right(before, F.lit(look)), fixed.SPACE, "-")
-    whole_block = in_block.orderBy("cue").rowsBetween(
+    whole_block = in_block.orderBy("place").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     cut = rows.select(
-        "*", context.alias("context"), F.max("cue").over(whole_block).alias("last_cue")
+        "*", context.alias("context"), F.max("place").over(whole_block).alias("last_place")
     ).where(home == F.col("block"))
 
     parts = split_at_boundaries(F.concat("context", "piece"), profile)
@@ -126,8 +157,9 @@ def fragments(
         "file_id",
         *keep,
         "cue",
+        "place",
         "block",
-        "last_cue",
+        "last_place",
         F.length("piece").cast("bigint").alias("size"),
         F.length("context").alias("skip"),
         parts.alias("parts"),
@@ -135,7 +167,7 @@ def fragments(
     # Only a full block has a block after it that needs its sums. Most files are shorter
     # than a block, and for them nothing is cut a second time here.
     carried = carried_sums(
-        cut.where(F.col("last_cue") == (F.col("block") + 1) * block_rows),
+        cut.where(F.col("last_place") == (F.col("block") + 1) * block_rows),
         ["file_id", *keep],
         {"chars": F.col("size"), "closed": (F.size("parts") - 1).cast("bigint")},
         consecutive=True,
@@ -151,6 +183,7 @@ def fragments(
             *keep,
             "block",
             "cue",
+            "place",
             "skip",
             "n_parts",
             "used",
@@ -161,6 +194,7 @@ def fragments(
             *keep,
             "block",
             "cue",
+            "place",
             "frag",
             F.when(F.col("frag") == 0, F.substr("raw", F.col("skip") + 1))
             .otherwise(F.col("raw"))
@@ -172,7 +206,7 @@ def fragments(
 
     closes = F.col("closes").cast("bigint")
     size = F.length("text").cast("bigint") + closes
-    running = in_block.orderBy("cue", "frag").rowsBetween(
+    running = in_block.orderBy("place", "frag").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
@@ -201,6 +235,7 @@ def sentence_cues(
     profile: str = "v1",
     keep: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
     """One row per sentence with the cues that end in it.
 
@@ -209,10 +244,10 @@ def sentence_cues(
     boundary of a file loses its trailing white space (v0: its last character); when
     nothing is left it is no sentence (``kept`` is false), but the cues that end in it
     are still there. A sentence and the cues in it fit in one row, for a sentence is one
-    string and every cue in it has at least one character of it.
+    string and every cue in it has at least one character of it. ``dense``: as in ``fragments``.
     """
-    rows = fragments(cues, profile, keep, block_rows)
-    part = F.struct("cue", "frag", "text", "ends_cue", "frag_end")
+    rows = fragments(cues, profile, keep, block_rows, dense)
+    part = F.struct("frag_end", "cue", "text", "ends_cue")
     grouped = rows.groupBy("file_id", *keep, "sen").agg(
         F.sort_array(F.collect_list(part)).alias("parts"),
         F.max("closes").alias("closed"),
@@ -250,11 +285,11 @@ def sentence_cues(
 
 
 def sentences(
-    cues: DataFrame, profile: str = "v1", block_rows: int = BLOCK_ROWS
+    cues: DataFrame, profile: str = "v1", block_rows: int = BLOCK_ROWS, dense: bool = False
 ) -> DataFrame:
     """Sentences of every file: ``(file_id, sen, sentence, sen_start, sen_end)``."""
     return (
-        sentence_cues(cues, profile, block_rows=block_rows)
+        sentence_cues(cues, profile, block_rows=block_rows, dense=dense)
         .where("kept")
         .select("file_id", "sen", "sentence", "sen_start", "sen_end")
     )

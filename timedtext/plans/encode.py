@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timedtext.operators.claims import claim_outputs
 from timedtext.operators.encoding import target_encodings, transcode_fanout
 from timedtext.session import stage_table
-from timedtext.sources.files import relative_folder, scan_files, write_named_files
+from timedtext.sources.files import check_mounted, relative_folder, scan_files, write_named_files
 
 
 def encode_corpus(
@@ -29,9 +31,11 @@ def encode_corpus(
 
     The conversions are computed once into a staged table; the files and the result both
     come from it. Files keep their folder below the input directory. Where two inputs would
-    give one output, none is written and both fail. ``detection`` has the options of
+    give one output, none is written and both fail; an output that an input of an earlier run
+    has claimed is that input's, and any other one fails. ``detection`` has the options of
     ``detect_encoding``.
     """
+    check_mounted(output_dir)
     wanted = target_encodings(targets, recommended_for, everything)
     files = scan_files(spark, input_dir, pattern, recursive).select("path", "content")
     name = F.regexp_extract("output_path", r"([^/]*)\z", 1)
@@ -46,8 +50,15 @@ def encode_corpus(
     done = done.join(shared, "output_path", "left").withColumn(
         "success", F.col("success") & (F.col("shared").isNull() | F.col("skipped"))
     )
+    wanted = done.where("content IS NOT NULL AND shared IS NULL")
+    wanted = wanted.select(F.col("output_path").alias("output"), F.col("path").alias("input"))
+    claims = claim_outputs(wanted, output_dir, uuid.uuid4().hex)
+    done = done.join(claims.withColumnRenamed("output", "output_path"), "output_path", "left")
+    lost = F.col("content").isNotNull() & F.col("shared").isNull() & (F.col("owner") != F.col("path"))
+    done = done.withColumn("lost", F.coalesce(lost, F.lit(False)))
+    done = done.withColumn("success", F.col("success") & ~F.col("lost"))
     write_named_files(
-        done.where("content IS NOT NULL AND shared IS NULL").select(
+        done.where("content IS NOT NULL AND shared IS NULL AND NOT lost").select(
             F.col("output_path").alias("path"), "content"
         ),
         output_dir,

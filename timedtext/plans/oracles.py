@@ -80,6 +80,15 @@ ALIGNED = """aligned AS (
 DOC_ALIGNED = f"{WORD_CUES}, {OFFSETS}, {DOC_TEXT}, {SENTENCES}, {ALIGNED}"
 TURN_ALIGNED = f"{TURN_CUES}, {OFFSETS}, {TURN_TEXT}, {SENTENCES}, {ALIGNED}"
 
+# Every seventh cue is empty; the text is put together from the cues that are left.
+GAP_ALIGNED = f"""{WORD_CUES.replace('cues AS (', 'all_cues AS (')},
+cues AS (
+  SELECT file_id, cue, CASE WHEN cue % 7 <> 0 THEN content ELSE '' END AS content FROM all_cues),
+texts AS (
+  SELECT file_id, regexp_replace(string_agg(replace(content, {NL}, ' '), ' ' ORDER BY cue), '\\s+$', '') AS t
+  FROM cues GROUP BY file_id),
+{OFFSETS}, {SENTENCES}, {ALIGNED}"""
+
 SENTENCE_SQL = "SELECT file_id, sen, sentence, sen_start, sen_end FROM sentences"
 
 ALIGNMENT_SQL = """SELECT file_id, sen, cue, rel,
@@ -304,6 +313,9 @@ ORACLES: dict[str, str] = {
     "sentences_v0": f"""WITH texts AS (SELECT doc_id AS file_id, replace(text, {NL}, ' ') AS t FROM documents),
 {sentence_cte('v0')} {SENTENCE_SQL}""",
     "align_cues": f"WITH {DOC_ALIGNED} {ALIGNMENT_SQL}",
+    "align_gaps": f"""WITH {GAP_ALIGNED}
+SELECT * REPLACE (cue * 3 + cue % 2 AS cue) FROM ({ALIGNMENT_SQL})
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, 'unplaced' FROM documents""",
     "turn_alignment": f"WITH {TURN_ALIGNED} {ALIGNMENT_SQL}",
     "align_offsets": f"""WITH {DOC_ALIGNED} SELECT file_id, sen, cue, rel,
   CASE WHEN sen IS NULL THEN 'unaligned' ELSE 'aligned' END AS status FROM aligned""",
@@ -419,6 +431,15 @@ UNION ALL SELECT NULL, tgt_lang, 'error', 0.0::DOUBLE FROM (VALUES ('fr'), ('de'
     "same_name_inputs": "SELECT DISTINCT folder, conv_id AS file_id FROM conversations, (VALUES ('a'), ('b')) t(folder)",
     "translate_parts": TURN_TRANSLATED,
     "translate_directory_hook": TURN_TRANSLATED,
+    "translate_directory_naive": f"""SELECT conv_id AS file_id, CAST(turn + 1 AS BIGINT) AS cue,
+  turn * 3000 AS start_ms, turn * 3000 + 2500 AS end_ms,
+  {legal(stand_in(f"replace(text, {NL}, '')") + f" || {NL} || replace(text, {NL}, ' ')")} AS content FROM conversations""",
+    "same_output_two_runs": """SELECT first, file_id, CASE WHEN first AND file_id IS NOT NULL THEN 'success' ELSE 'error' END AS status,
+  first AND file_id IS NOT NULL AS written
+FROM (SELECT DISTINCT conv_id AS file_id FROM conversations UNION ALL SELECT NULL) f, (VALUES (true), (false)) t(first)""",
+    "hook_called_once": f"""WITH {TURN_TEXT}, {SENTENCES}
+SELECT sentence AS text, 1::BIGINT AS n_calls, {stand_in('sentence')} AS translated
+FROM (SELECT DISTINCT sentence FROM sentences)""",
     "transcode_ascii": f"""SELECT 'in/' || doc_id || '-UTF-8.srt' AS path, true AS success,
   length({ascii_text()}) AS n_bytes, md5({ascii_text()}) AS digest FROM documents""",
     "transcode_latin1": f"""SELECT 'in/' || doc_id || '-UTF-8.srt' AS path, true AS success,

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timedtext import schemas
 from timedtext.functions import fixed
 from timedtext.functions.text import (
     encoded_name,
@@ -206,15 +207,15 @@ def turn_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sen.sentences(word_cues(spark, sf))
+    return sen.sentences(word_cues(spark, sf), dense=True)
 
 
 def turn_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sen.sentences(turn_cues(spark, sf))
+    return sen.sentences(turn_cues(spark, sf), dense=True)
 
 
 def sentences_v0(spark: SparkSession, sf: str) -> DataFrame:
-    return sen.sentences(word_cues(spark, sf), "v0")
+    return sen.sentences(word_cues(spark, sf), "v0", dense=True)
 
 
 def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,11 +225,23 @@ def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def align_cues(spark: SparkSession, sf: str) -> DataFrame:
-    return align.align_cues(word_cues(spark, sf))
+    return align.align_cues(word_cues(spark, sf), dense=True)
 
 
 def turn_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return align.align_cues(turn_cues(spark, sf))
+    return align.align_cues(turn_cues(spark, sf), dense=True)
+
+
+def gapped_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """Cues with gaps in their numbers, every seventh without content, and for each document
+    one cue without a number."""
+    cues = word_cues(spark, sf).withColumn("content", F.when(F.col("cue") % 7 != 0, F.col("content")))
+    lost = cues.where("cue = 1").withColumn("cue", F.lit(None).cast("bigint"))
+    return cues.withColumn("cue", F.col("cue") * 3 + F.col("cue") % 2).unionByName(lost)
+
+
+def align_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return align.align_cues(gapped_cues(spark, sf), block_rows=64)
 
 
 def align_offsets(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,12 +250,12 @@ def align_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alignment_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return align.alignment_audit(word_cues(spark, sf))
+    return align.alignment_audit(word_cues(spark, sf), dense=True)
 
 
 def projected(spark: SparkSession, sf: str, mode: str, **options) -> DataFrame:
     """Every sentence is taken as translated, so that only the cutting is seen."""
-    rows = sen.sentence_cues(word_cues(spark, sf)).withColumn(
+    rows = sen.sentence_cues(word_cues(spark, sf), dense=True).withColumn(
         "translated", stand_in(F.col("sentence"))
     )
     return project.project_translation(rows, mode, **options)
@@ -273,14 +286,14 @@ def project_lossless(spark: SparkSession, sf: str) -> DataFrame:
 
 def translate_split_compat(spark: SparkSession, sf: str) -> DataFrame:
     done = translate_split(
-        word_cues(spark, sf, LANGUAGES), sentence_memory(spark, sf), mode="compat"
+        word_cues(spark, sf, LANGUAGES), sentence_memory(spark, sf), mode="compat", dense=True
     )
     return done.select("file_id", "cue", "start_ms", "end_ms", "content", "status")
 
 
 def translate_split_lossless(spark: SparkSession, sf: str) -> DataFrame:
     done = translate_split(
-        word_cues(spark, sf, LANGUAGES), sentence_memory(spark, sf), both=False
+        word_cues(spark, sf, LANGUAGES), sentence_memory(spark, sf), both=False, dense=True
     )
     return done.select("file_id", "cue", "start_ms", "end_ms", "content", "status")
 
@@ -520,7 +533,7 @@ def corpus_files(spark: SparkSession, sf: str) -> str:
 
 
 def turn_memory(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = sen.sentences(turn_cues(spark, sf)).select(
+    pairs = sen.sentences(turn_cues(spark, sf), dense=True).select(
         F.lit("en").alias("src_lang"),
         F.lit("fr").alias("tgt_lang"),
         F.col("sentence").alias("text"),
@@ -690,6 +703,48 @@ def translate_directory_hook(spark: SparkSession, sf: str) -> DataFrame:
     return written_cues(spark, job.output_dir)
 
 
+def translate_directory_naive(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a directory, translated cue by cue, and read back."""
+    lines = turn_cues(spark, sf).select(
+        F.lit("en").alias("src_lang"), F.lit("fr").alias("tgt_lang"), glue_lines("content").alias("text")
+    )
+    known = stage_table(memory.build_memory(lines.withColumn("translated", stand_in(F.col("text")))), "memory")
+    job = Translation("en", "fr", fresh_dir(spark, "translated"), mode="naive", sink="files")
+    translate_corpus(spark, corpus_files(spark, sf), known, job, fresh_dir(spark, "ledger"))
+    return written_cues(spark, job.output_dir)
+
+
+def same_output_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs with files of the same names from two folders and one output folder: the
+    output stays with the input that wrote it first, and the other one is an error."""
+    first, second = corpus_files(spark, sf), corpus_files(spark, sf)
+    job, path, known = corpus_job(spark, sf), fresh_dir(spark, "ledger"), turn_memory(spark, sf)
+    translate_corpus(spark, first, known, job, path)
+    translate_corpus(spark, second, known, job, path)
+    done = translate_corpus(spark, first, known, job, path, resume=False)
+    return done.select(
+        F.contains("path", F.lit(first.rsplit("/", 1)[1])).alias("first"),
+        file_no(F.col("path")).alias("file_id"),
+        "status",
+        F.col("output").isNotNull().alias("written"),
+    )
+
+
+def hook_called_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the files by a batch run, all by a stream, all once more without the ledger: how
+    often the user's translator has been asked for each sentence."""
+    source, job = corpus_files(spark, sf), corpus_job(spark, sf)
+    learned, path = fresh_dir(spark, "learned"), fresh_dir(spark, "ledger")
+    empty = spark.createDataFrame([], schemas.MEMORY)
+    options = {"hook": replace_hook, "learned_path": learned}
+    translate_corpus(spark, source, empty, job, path, pattern="*[0-4].srt", **options)
+    translate_stream(spark, source, empty, job, path, fresh_dir(spark, "stream"), **options).awaitTermination()
+    translate_corpus(spark, source, empty, job, path, resume=False, **options)
+    asked = spark.read.parquet(learned).groupBy("text").agg(F.count("*").alias("n_calls"))
+    known = memory.read_learned(spark, learned).select("text", "translated")
+    return asked.join(known, "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -703,6 +758,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         split_sentences,
         align_cues,
         turn_alignment,
+        align_gaps,
         align_offsets,
         alignment_audit,
         project_compat,
@@ -752,5 +808,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         same_name_inputs,
         translate_parts,
         translate_directory_hook,
+        translate_directory_naive,
+        same_output_two_runs,
+        hook_called_once,
     )
 } | {"translate_naive": naive}

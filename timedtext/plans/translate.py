@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from timedtext import schemas
 from timedtext.functions import fixed
@@ -21,13 +20,22 @@ from timedtext.functions.text import (
 )
 from timedtext.operators.batching import translate_misses
 from timedtext.operators.blocks import BLOCK_ROWS
+from timedtext.operators.claims import claim_outputs
 from timedtext.operators.compose import compose_parts, compose_srt, is_written
 from timedtext.operators.ledger import ledger_merge, pending_files
-from timedtext.operators.memory import lookup_translations, memory_misses
+from timedtext.operators.memory import (
+    add_learned,
+    joined_memory,
+    lookup_translations,
+    memory_misses,
+    read_learned,
+)
 from timedtext.operators.project import compose_cues, join_pieces, project_translation
+from timedtext.operators.runs import compact, read_runs, write_run
 from timedtext.operators.sentences import sentence_cues
 from timedtext.session import stage_table
 from timedtext.sources.files import (
+    check_mounted,
     decode_files,
     parse_files,
     part_folder,
@@ -50,6 +58,7 @@ def translate_split(
     on_miss: str = "empty",
     block_rows: int = BLOCK_ROWS,
     flag: str | None = None,
+    dense: bool = False,
 ) -> DataFrame:
     """Translates by sentences that may span cues, and cuts each back into its cues.
 
@@ -57,11 +66,12 @@ def translate_split(
     ``status`` (``aligned``, or ``unaligned`` for cues behind the last sentence). If the
     memory has a column ``words``, Chinese cuts fall on the ends of these words. ``flag``
     names a further column, true for cues with a part of a sentence that the memory lacks.
+    ``dense`` says that cues are numbered 1, 2, .. in their file (see ``fragments``).
 
     Shuffles: cues by (file, block), their pieces by (file, sentence), sentences by text
     unless the memory is small, and the result by (file, cue). No key is a whole file.
     """
-    rows = sentence_cues(cues, profile, LANGUAGES, block_rows)
+    rows = sentence_cues(cues, profile, LANGUAGES, block_rows, dense)
     found = lookup_translations(rows, memory, "sentence", on_miss, flag)
     flags = (flag,) if flag else ()
     chinese = is_chinese(
@@ -148,7 +158,7 @@ def learn(cues: DataFrame, memory: DataFrame, job: Translation, hook: Hook) -> D
     if job.mode == "naive":
         lines = cues.select(*LANGUAGES, glue_lines("content").alias("text"))
     else:
-        rows = sentence_cues(cues, keep=LANGUAGES).where("kept")
+        rows = sentence_cues(cues, keep=LANGUAGES, dense=True).where("kept")
         lines = rows.select(*LANGUAGES, F.col("sentence").alias("text"))
     misses = stage_table(memory_misses(lines, memory), "misses")
     buckets = misses.count() // MISSES_PER_BUCKET + 1
@@ -162,17 +172,24 @@ def translate_files(
     roots: Sequence[str] = (),
     hook: Hook | None = None,
     learned_path: str | None = None,
+    run: str | None = None,
+    batch: int = 0,
 ) -> DataFrame:
     """Translates files, writes the results and gives the ledger rows of the run.
 
     Files are read and parsed once into a staged cue table, which the steps after it
-    share. Outputs keep their folder below the ``roots``. What the memory lacks goes to the
-    ``hook``, if there is one; what it gives is appended to ``learned_path``.
+    share. Outputs keep their folder below the ``roots``. What the memory and the memory learned
+    by earlier batches lack goes to the ``hook``, if there is one; what it gives is added to
+    ``learned_path``, so that no batch, run or repeated batch asks for it again.
 
     The ledger says what was written: ``success`` for files of which every cue with text is
     translated and written, ``partial`` for files with some, ``error`` for files that
-    cannot be read, have no cue or no translation, or whose output is another file's too.
+    cannot be read, have no cue or no translation, or whose output is another file's too,
+    in this run or by the claim of an earlier one.
     """
+    spark, run = files.sparkSession, run or uuid.uuid4().hex
+    if job.sink != "parts":
+        check_mounted(job.output_dir)
     staged = stage_table(parse_files(decode_files(files, job.encoding)), "cues")
     cues = staged.where("cue IS NOT NULL").select(
         *schemas.CUES.fieldNames(),
@@ -180,17 +197,20 @@ def translate_files(
         F.lit(job.src_lang).alias("src_lang"),
         F.lit(job.tgt_lang).alias("tgt_lang"),
     )
+    if learned_path:
+        memory = joined_memory(memory, read_learned(spark, learned_path))
     if hook:
         learned = learn(cues, memory, job, hook)
         if learned_path:
-            learned.write.mode("append").parquet(learned_path)
+            add_learned(learned, learned_path, job.src_lang, job.tgt_lang, run, batch)
         memory = memory.unionByName(learned, allowMissingColumns=True)
     strict = job.on_miss == "error"
     options = {"on_miss": "empty" if strict else job.on_miss, "flag": "missed"}
     if job.mode != "naive":
-        options |= {"cut": job.cut, "force_space": job.force_space}
+        options |= {"cut": job.cut, "force_space": job.force_space, "dense": True}
     done = stage_table(translate_cues(cues, memory, job.mode, job.both, **options), "translated")
     report = stage_table(reported(staged, done, job, roots, strict), "report")
+    report = owned(report, job.output_dir, run, batch)
 
     writable = report.where(F.col("status").isin(fixed.STATUS_SUCCESS, fixed.STATUS_PARTIAL))
     written = done.join(writable.select("file_id"), "file_id", "left_semi")
@@ -267,15 +287,39 @@ def reported(
     )
 
 
-def ledger_run(path: str, job: Translation, run: str, batch: int = 0) -> str:
-    """Where the ledger rows of one batch of one run are."""
-    return f"{path.rstrip('/')}/src_lang={job.src_lang}/tgt_lang={job.tgt_lang}/run={run}/batch={batch}"
+def owned(report: DataFrame, output_dir: str, run: str, batch: int) -> DataFrame:
+    """The report with an error for files whose output belongs to another input."""
+    wanted = report.where("output IS NOT NULL").select(
+        F.col("name").alias("output"), F.col("file_id").alias("input")
+    )
+    claims = claim_outputs(wanted, output_dir, run, batch).withColumnRenamed("output", "name")
+    rows = report.join(claims, "name", "left")
+    lost = F.col("output").isNotNull() & (F.col("owner") != F.col("file_id"))
+    return rows.select(
+        "file_id",
+        "name",
+        F.when(lost, fixed.STATUS_ERROR).otherwise(F.col("status")).alias("status"),
+        F.when(lost, F.concat(F.lit("The output belongs to "), "owner"))
+        .otherwise(F.col("message"))
+        .alias("message"),
+        F.when(~lost, F.col("output")).alias("output"),
+        F.when(lost, 0.0).otherwise(F.col("progress")).alias("progress"),
+    )
+
+
+LEDGER_BATCHES = 32
 
 
 def write_ledger(rows: DataFrame, path: str, job: Translation, run: str, batch: int = 0) -> None:
-    """Replaces the rows of this batch of this run, and no others."""
-    rows.drop("src_lang", "tgt_lang").write.mode("overwrite").parquet(
-        ledger_run(path, job, run, batch)
+    """Replaces the rows of this batch of this run, and no others. More than ``LEDGER_BATCHES``
+    older batches of the language pair become one snapshot, so what the next run or batch reads
+    does not grow with their number."""
+    keys = {"src_lang": job.src_lang, "tgt_lang": job.tgt_lang}
+    write_run(rows, path, keys, run, batch)
+    spark = rows.sparkSession
+    empty = spark.createDataFrame([], schemas.LEDGER)
+    compact(
+        spark, path, keys, schemas.LEDGER, lambda old: ledger_merge(empty, old), LEDGER_BATCHES, (run, batch)
     )
 
 
@@ -284,20 +328,10 @@ def read_ledger(
 ) -> DataFrame:
     """The latest row per file and language pair of all runs; empty where there is no ledger
     yet. ``without`` leaves out a batch of a run, one that is being done again."""
-    from pyspark.errors import AnalysisException
-
-    empty = spark.createDataFrame([], schemas.LEDGER)
-    places = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
-    schema = T.StructType([*schemas.LEDGER.fields, *places])
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return empty
+    rows = read_runs(spark, path, schemas.LEDGER)
     if without:
         rows = rows.where(~((F.col("run") == without[0]) & (F.col("batch") == without[1])))
-    return ledger_merge(empty, rows)
+    return ledger_merge(spark.createDataFrame([], schemas.LEDGER), rows)
 
 
 def translate_corpus(
@@ -318,6 +352,7 @@ def translate_corpus(
         ledger = read_ledger(spark, ledger_path)
         files = pending_files(files, ledger, job.src_lang, job.tgt_lang)
     roots = [input_dir] if isinstance(input_dir, str) else input_dir
-    updates = translate_files(files, memory, job, roots, hook, learned_path)
-    write_ledger(updates, ledger_path, job, uuid.uuid4().hex)
+    run = uuid.uuid4().hex
+    updates = translate_files(files, memory, job, roots, hook, learned_path, run)
+    write_ledger(updates, ledger_path, job, run)
     return read_ledger(spark, ledger_path)

@@ -46,6 +46,22 @@ MEMORY = T.StructType(
     ]
 )
 
+# A memory row that a run has learned from the user's translator.
+LEARNED = T.StructType(
+    [
+        *MEMORY.fields,
+        T.StructField("learned_at", T.TimestampType()),
+    ]
+)
+
+CLAIMS = T.StructType(
+    [
+        T.StructField("output", T.StringType()),
+        T.StructField("input", T.StringType()),
+        T.StructField("claimed_at", T.TimestampType()),
+    ]
+)
+
 RESPONSES = T.StructType(
     [
         T.StructField("request_id", T.LongType()),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,8 +184,12 @@ class NamedFiles(DataSource):
     """``df.write.format("named_files")``: one file per row, ``(path, content BINARY)``.
 
     The directory is the path given to ``save``; it must be one that all executors see
-    (a mounted shared folder), and no other file system (use ``write_text_parts`` there). Files are written under a temporary name and then renamed,
-    so a repeated task leaves the same files.
+    (a mounted shared folder), and no other file system (use ``write_text_parts`` there).
+
+    Tasks write into a hidden folder of their attempt. When all tasks are done the driver renames
+    the files of the attempts that Spark accepted, and of no others, to their names; if the job
+    fails it removes the hidden folder, and no file of the job is seen. The renames of one job
+    are not one step: a driver that dies among them leaves whole files, some of them old.
     """
 
     @classmethod
@@ -196,29 +203,54 @@ class NamedFiles(DataSource):
         return NamedFilesWriter(self.options["path"])
 
 
+@dataclass
+class Staged(WriterCommitMessage):
+    """The folder of a task's attempt, and the paths of its files below it."""
+
+    folder: str
+    paths: list[str]
+
+
 class NamedFilesWriter(DataSourceWriter):
     def __init__(self, root: str) -> None:
         self.root = re.sub(r"^file:(//)?(?=/)", "", root)
+        self.hidden = os.path.join(self.root, f"._named_files-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        attempt = TaskContext.get().taskAttemptId()
+        folder = os.path.join(self.hidden, str(TaskContext.get().taskAttemptId()))
+        paths = []
         for row in iterator:
-            target = os.path.join(self.root, row.path)
+            target = os.path.join(folder, row.path)
             os.makedirs(os.path.dirname(target), exist_ok=True)
-            temporary = f"{target}.{attempt}.tmp"
-            with open(temporary, "wb") as out:
+            with open(target, "wb") as out:
                 out.write(row.content)
-            os.replace(temporary, target)
-        return WriterCommitMessage()
+            paths.append(row.path)
+        return Staged(folder, paths)
 
+    def commit(self, messages: list) -> None:
+        for message in messages:
+            for path in message.paths if message else ():
+                target = os.path.join(self.root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                os.replace(os.path.join(message.folder, path), target)
+        self.abort(messages)
 
-def write_named_files(files: DataFrame, directory: str) -> None:
-    """Writes ``(path, content)`` rows as files of a shared directory."""
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.hidden, ignore_errors=True)
+
+
+def check_mounted(directory: str) -> None:
+    """Refuses a directory that can be no mounted folder, before any work is done."""
     scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", directory)
     if scheme and scheme[1].lower() != "file":
         raise ValueError(f"named files need a mounted folder, not {directory!r}")
+
+
+def write_named_files(files: DataFrame, directory: str) -> None:
+    """Writes ``(path, content)`` rows as files of a shared directory."""
+    check_mounted(directory)
     files.sparkSession.dataSource.register(NamedFiles)
     files.select("path", F.col("content").cast("binary").alias("content")).write.format(
         "named_files"

@@ -72,7 +72,9 @@ def translate_stream(
     def run(files: DataFrame, batch: int) -> None:
         ledger = read_ledger(spark, ledger_path, without=(name, batch))
         pending = pending_files(files, ledger, job.src_lang, job.tgt_lang)
-        updates = translate_files(pending, memory, job, [input_dir], hook, learned_path)
+        updates = translate_files(
+            pending, memory, job, [input_dir], hook, learned_path, name, batch
+        )
         write_ledger(updates, ledger_path, job, name, batch)
 
     return (
