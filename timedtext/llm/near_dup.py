@@ -13,13 +13,18 @@ No bucket is expanded to all pairs:
 2. In each bucket every class is paired with two members, those whose ids have the smallest and
    the largest hash. They are the same few documents in most buckets of a cluster, so a class
    has a handful of partners. Confirmed links give components.
-3. Only buckets of four or more that still hold two components are searched for the rest:
+3. Each class gets one *hub*: of the members it was compared with, and of their hubs, the one
+   that is like most others. What the class has and the hub lacks, and the other way round, is
+   kept: two classes of one hub are compared by these differences, without their texts.
+4. Only buckets of four or more that still hold two components are searched for the rest:
    members of all but the largest component are compared with the other components' members,
-   in blocks of at most ``BLOCK`` rows and on registers alone. First only the ``BEST`` partners
-   of each member by estimate are confirmed, which joins most of what belongs together; then,
-   in the buckets that still hold two components, every pair whose estimate is near the
-   threshold or above it, from the first band that it shares. The cost grows with the members
-   outside the main component, not with the square of a cluster.
+   in blocks of at most ``BLOCK`` rows, on registers first. Pairs whose estimate is near the
+   threshold or above it, from the first band that they share, are confirmed at once by
+   their differences if they have one hub, and one link to each other component is kept. Of
+   the others, first only the ``BEST`` partners of each member by estimate are confirmed
+   on the texts, which joins most of what belongs together; then, in the buckets that still hold
+   two components, all of them. Rows that are made grow with the members outside the main
+   component, not with the square of a cluster.
 
 With 40 bands of five registers a pair at similarity 0.75 is missed with probability 2e-5, one
 at 0.8 with 1e-7; a pair also has to escape through every path of its component.
@@ -52,6 +57,7 @@ REGISTERS = BANDS * ROWS
 B = 1.001
 A = 20.0
 LOW = 0.62  # estimates below are not confirmed: four deviations under the threshold
+RELATED = 0.5  # least similarity to a hub
 BLOCK = 2048
 BEST = 2
 CHUNK_BYTES = 256 * 1024
@@ -190,7 +196,7 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose estimate is near the threshold or above it."""
+    """Pairs whose estimate is not far under the least similarity to a hub."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -201,7 +207,36 @@ def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more, less = (x > y).sum(1), (x < y).sum(1)
         sizes = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
         j = likely_similarity(more, less, REGISTERS - more - less, *sizes)
-        yield batch.select(["a", "b"]).filter(pa.array(j >= LOW))
+        yield batch.select(["a", "b"]).filter(pa.array(j >= RELATED - (0.75 - LOW)))
+
+
+RELATION = "a bigint, b bigint, linked boolean, size bigint, own binary, lacks binary"
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members ``a`` and others ``b`` that are related: whether they are linked, the size of
+    ``b``, what ``a`` has and ``b`` lacks, and what ``b`` has and ``a`` lacks."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    step = 64
+    for batch in batches:
+        rows = []
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            sets = shingle_sets([unpack(t) for c in ("z_a", "z_b") for t in part.column(c).to_pylist()])
+            ids = zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)
+            for (a, b), x, y in zip(ids, sets[: part.num_rows], sets[part.num_rows :], strict=True):
+                own, lacks = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                union = len(y) + len(own)
+                both = len(y) - len(lacks)
+                if both and both >= RELATED * union:
+                    linked = 100 * both >= NUMERATOR * union
+                    rows.append((a, b, linked, len(y), own.tobytes(), lacks.tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            names=[f.split()[0] for f in RELATION.split(", ")],
+        )
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,16 +278,62 @@ def rest_of_buckets(best: int | None):
     return run
 
 
+class Differences:
+    """What some classes have and lack against their hubs, for overlaps with one of them."""
+
+    def __init__(self, size: np.ndarray, own: np.ndarray, lacks: np.ndarray):
+        self.size = size
+        self.own, self.lacks = (self.joined(v) for v in (own, lacks))
+
+    @staticmethod
+    def joined(blobs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(v or b"", np.uint64) for v in blobs]
+        return np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum([0, *(len(p) for p in parts)])
+
+    @staticmethod
+    def shared(side: tuple[np.ndarray, np.ndarray], one: int, others: np.ndarray) -> np.ndarray:
+        """How many elements one class and each of the others have in common."""
+        values, first = side
+        mine = values[first[one] : first[one + 1]]
+        sizes = first[others + 1] - first[others]
+        if not len(mine) or not sizes.sum():
+            return np.zeros(len(others), np.int64)
+        at = np.arange(sizes.sum()) + np.repeat(first[others] - (np.cumsum(sizes) - sizes), sizes)
+        found = values[at]
+        hit = mine[np.minimum(np.searchsorted(mine, found), len(mine) - 1)] == found
+        return np.bincount(np.repeat(np.arange(len(others)), sizes), hit, len(others)).astype(np.int64)
+
+    def overlaps(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Shingles that one class and each of the others, all of one hub, have in common:
+        |hub| - |lacks or lacks| + |own and own|."""
+        lacks = np.diff(self.lacks[1])
+        either = lacks[one] + lacks[others] - self.shared(self.lacks, one, others)
+        return self.size[one] - either + self.shared(self.own, one, others)
+
+
+MEMBERS = (
+    "doc_id", "label", "part", "band", "n_shingles", "block_a", "block_b", "sketch", "key",
+    "hub", "size", "own", "lacks",
+)
+
+
 def candidate_pairs(batches: Iterator[pa.RecordBatch], best: int | None) -> Iterator[pa.RecordBatch]:
-    def search(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        labels, part, band = rows["label"], rows["part"], int(rows["band"][0])
+    """Pairs that are linked (``sure``) or may be, see the module's text."""
+
+    def search(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        labels, band = rows["label"], int(rows["band"][0])
         names, sizes = np.unique(labels, return_counts=True)
         main = names[sizes.argmax()]
         order = np.argsort(labels == main, kind="stable")
-        ids, labels, part, n = (rows[c][order] for c in ("doc_id", "label", "part", "n_shingles"))
+        ids, labels, part, n, hub = (rows[c][order] for c in ("doc_id", "label", "part", "n_shingles", "hub"))
         regs = np.frombuffer(b"".join(rows["sketch"][order]), "<u2").reshape(-1, REGISTERS)
+        known = Differences(*(rows[c][order] for c in ("size", "own", "lacks")))
         across = rows["block_a"][0] != rows["block_b"][0]
-        left, right = [], []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def add(i: int, at: np.ndarray, sure: bool) -> None:
+            out.append((np.minimum(ids[i], ids[at]), np.maximum(ids[i], ids[at]), np.full(len(at), sure)))
+
         for i in range(int((labels != main).sum())):
             other = labels[i + 1 :] != labels[i]
             if across:
@@ -270,27 +351,29 @@ def candidate_pairs(batches: Iterator[pa.RecordBatch], best: int | None) -> Iter
             size = np.full(len(at), n[i], float)
             j = likely_similarity(REGISTERS - n_same - less, less, n_same, size, n[at].astype(float))
             at, j = at[j >= LOW], j[j >= LOW]
+            near = hub[at] == hub[i]  # a class without a hub is its own
+            if near.any():
+                both = known.overlaps(i, at[near])
+                linked = at[near][100 * both >= NUMERATOR * (n[i] + n[at[near]] - both)]
+                add(i, linked[np.unique(labels[linked], return_index=True)[1]], True)
+            at, j = at[~near], j[~near]
             if best is not None:
                 at = at[np.argsort(-j, kind="stable")[:best]]
-            left.append(np.minimum(ids[i], ids[at]))
-            right.append(np.maximum(ids[i], ids[at]))
-        empty = [np.zeros(0, np.int64)]
-        return np.concatenate(left or empty), np.concatenate(right or empty)
+            add(i, at, False)
+        columns = zip(*out, strict=True) if out else [[np.zeros(0, np.int64)]] * 2 + [[np.zeros(0, bool)]]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["a", "b", "sure"])
 
-    names = ("doc_id", "label", "part", "band", "n_shingles", "block_a", "block_b", "sketch", "key")
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
-        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        held = {c: np.concatenate([held[c], new[c]]) for c in names} if held else new
+        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in MEMBERS}
+        held = {c: np.concatenate([held[c], new[c]]) for c in MEMBERS} if held else new
         group = np.stack([held["key"], held["block_a"], held["block_b"]])
         cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v) for v in search({c: held[c][a:b] for c in names})], names=["a", "b"]
-            )
-        held = {c: held[c][cuts[-1] :] for c in names}
+            yield search({c: held[c][a:b] for c in MEMBERS})
+        held = {c: held[c][cuts[-1] :] for c in MEMBERS}
     if held and len(held["key"]):
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in search(held)], names=["a", "b"])
+        yield search(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,6 +420,34 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stage_table(found.mapInArrow(confirmed, "a bigint, b bigint"), "links")
 
 
+def relations(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members against the others of their pairs (a, b): rows of ``RELATION``."""
+    a, b = texts.toDF("a", "z_a"), texts.toDF("b", "z_b")
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", "z_a", "z_b")
+    return stage_table(found.mapInArrow(compared, RELATION), "related")
+
+
+def best_hub(related: DataFrame) -> DataFrame:
+    """For each class the other one, or itself, that is related with most: (doc_id, hub)."""
+    degree = related.groupBy("b").agg(F.count("*").alias("degree"))
+    pairs = related.select("a", "b").union(related.select(F.col("b").alias("a"), "b").distinct())
+    best = F.max(F.struct("degree", F.xxhash64("b").alias("turn"), "b")).getField("b").alias("hub")
+    return pairs.join(degree, "b").groupBy(F.col("a").alias("doc_id")).agg(best)
+
+
+def differences(related: DataFrame, hubs: DataFrame) -> DataFrame:
+    """How each class differs from its hub: (doc_id, hub, size, own, lacks)."""
+    wanted = hubs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    found = related.join(wanted, ["a", "b"]).dropDuplicates(["a", "b"])
+    found = found.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), "size", "own", "lacks")
+    sizes = found.groupBy(F.col("hub").alias("doc_id")).agg(F.first("size").alias("size"))
+    nothing = F.lit(b"")
+    # a hub that has another hub itself is compared by that one
+    alone = sizes.join(found.select("doc_id"), "doc_id", "left_anti")
+    alone = alone.select("doc_id", F.col("doc_id").alias("hub"), "size", nothing.alias("own"), nothing.alias("lacks"))
+    return found.unionByName(alone)
+
+
 def mixed_members(shared: DataFrame, roots: DataFrame, side: DataFrame) -> DataFrame:
     """Members of the buckets of four or more with two components, by bucket and block."""
     labelled = shared.filter("n > 3").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -352,7 +463,7 @@ def mixed_members(shared: DataFrame, roots: DataFrame, side: DataFrame) -> DataF
         .withColumn("block_a", F.least("part", "other"))
         .withColumn("block_b", F.greatest("part", "other"))
         .join(side, "doc_id")
-        .select("doc_id", "label", "part", "band", "n_shingles", "block_a", "block_b", "sketch", "key")
+        .select(*MEMBERS)
         .repartition("key", "block_a", "block_b")
         .sortWithinPartitions("key", "block_a", "block_b")
     )
@@ -382,9 +493,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     shared = stage_table(bands.join(buckets, "key"), "buckets")
     pairs = (
-        shared.select("doc_id", F.explode(F.array("first", "second")).alias("other"))
-        .filter("doc_id <> other")
-        .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+        shared.select(F.col("doc_id").alias("a"), F.explode(F.array("first", "second")).alias("b"))
+        .filter("a <> b")
         .distinct()
     )
     side = classes.select("doc_id", "n_shingles", "sketch")
@@ -398,12 +508,21 @@ def near_components(docs: DataFrame) -> DataFrame:
     ids = shared.select("doc_id").distinct().hint("merge")
     texts = named_docs.mapInArrow(packed, "doc_id bigint, z binary").join(ids, "doc_id", "left_semi")
     texts = stage_table(texts, "texts")
-    links = confirm(stage_table(likely, "pairs"), texts)
+    related = relations(stage_table(likely, "pairs"), texts)
+    hubs = best_hub(related)
+    of_hub = hubs.select(F.col("doc_id").alias("hub"), F.col("hub").alias("b"))
+    farther = hubs.join(of_hub, "hub").select(F.col("doc_id").alias("a"), "b").filter("a <> b")
+    farther = farther.join(related, ["a", "b"], "left_anti")
+    related = related.union(relations(stage_table(farther, "pairs"), texts))
+    side = side.join(stage_table(differences(related, best_hub(related)), "differences"), "doc_id", "left")
+    side = side.withColumn("hub", F.coalesce("hub", "doc_id")).withColumn("size", F.coalesce("size", "n_shingles"))
+    links = related.filter("linked").select("a", "b")
     roots = components(links)
     for best in (BEST, None):
         members = mixed_members(shared, roots, side)
-        more = members.mapInArrow(rest_of_buckets(best), "a bigint, b bigint").distinct()
-        links = links.union(confirm(stage_table(more, "pairs"), texts))
+        more = stage_table(members.mapInArrow(rest_of_buckets(best), "a bigint, b bigint, sure boolean").distinct(), "pairs")
+        links = links.union(more.filter("sure").select("a", "b"))
+        links = links.union(confirm(more.filter("NOT sure").select("a", "b"), texts))
         roots = components(links)
 
     of_class = classes.select(*sets, F.col("doc_id").alias("node")).join(roots, "node", "left")
