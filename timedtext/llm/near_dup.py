@@ -217,9 +217,18 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members ``a`` and others ``b`` that are related: whether they are linked, the size of
     ``b``, what ``a`` has and ``b`` lacks, and what ``b`` has and ``a`` lacks."""
     unpack = zstandard.ZstdDecompressor().decompress
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
     step = 64
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            names=[f.split()[0] for f in RELATION.split(", ")],
+        )
+
     for batch in batches:
-        rows = []
+        rows, held = [], 0
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             sets = shingle_sets([unpack(t) for c in ("z_a", "z_b") for t in part.column(c).to_pylist()])
@@ -231,12 +240,11 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if both and both >= RELATED * union:
                     linked = 100 * both >= NUMERATOR * union
                     rows.append((a, b, linked, len(y), own.tobytes(), lacks.tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
-        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=[f.split()[0] for f in RELATION.split(", ")],
-        )
+                    held += own.nbytes + lacks.nbytes
+            if held > CHUNK_BYTES * 16:
+                yield made(rows)
+                rows, held = [], 0
+        yield made(rows)
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
