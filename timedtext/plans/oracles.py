@@ -397,6 +397,8 @@ FROM written GROUP BY file_id""",
     "parse_srt": f"""SELECT conv_id AS file_id, CAST(turn + 1 AS BIGINT) AS cue, turn * 3000 AS start_ms,
   turn * 3000 + 2500 AS end_ms, {legal('text')} AS content, '' AS proprietary,
   CAST(turn + 1 AS BIGINT) AS index FROM conversations""",
+    "parse_large_file": """SELECT row_number() OVER (PARTITION BY conv_id // 100 ORDER BY conv_id, turn) AS place,
+  CAST(turn + 1 AS BIGINT) AS index, conv_id AS file_id, text AS content FROM conversations""",
     "snapshot_roundtrip": f"""SELECT conv_id AS file_id, CAST(turn + 1 AS BIGINT) AS cue, turn * 3000 AS start_ms,
   turn * 3000 + 2500 AS end_ms, text AS content, '' AS proprietary, CAST(turn + 1 AS BIGINT) AS index,
   CASE WHEN contains(text, {NL}) THEN replace(text, {NL}, '') END AS translated_content FROM conversations""",

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timedtext import schemas
@@ -43,6 +43,7 @@ from timedtext.sources.files import (
     scan_files,
     write_named_files,
 )
+from timedtext.sources.lines import parse_large_files
 from timedtext.sources.tables import cues_from_texts, cues_from_turns, spread
 from timedtext.streaming.files import translate_stream
 
@@ -419,6 +420,22 @@ def parse_srt(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def parse_large_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of each hundred conversations in one file, read by splits."""
+    order = Window.partitionBy("slice").orderBy("file_id", "cue")
+    turn = F.to_json(F.struct("file_id", "content"))
+    parts = [F.col("cue").cast("string"), F.lit("0:0:1,0 --> 0:0:2,0"), turn, F.lit("")]
+    blocks = turn_cues(spark, sf).withColumn("slice", F.expr("file_id div 100")).select(
+        "slice", F.struct(F.row_number().over(order).alias("at"), F.concat_ws("\n", *parts).alias("text")).alias("block")
+    )
+    files = blocks.groupBy("slice").agg(sen.ordered_text(F.col("block"), "\n").alias("content"))
+    directory = fresh_dir(spark, "large")
+    write_named_files(files.select(F.concat("slice", F.lit(".srt")).alias("path"), "content"), directory)
+    rows = parse_large_files(spark, directory)
+    told = F.from_json("content", "file_id bigint, content string").alias("told")
+    return rows.select(F.col("cue").alias("place"), "index", told).select("place", "index", "told.file_id", "told.content")
+
+
 def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     cues = turn_cues(spark, sf)
     translated = F.when(F.contains("content", F.lit("\n")), glue_lines("content"))
@@ -783,6 +800,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         extract_responses,
         compose_srt,
         parse_srt,
+        parse_large_file,
         snapshot_roundtrip,
         language_flags,
         output_names,
