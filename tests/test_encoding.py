@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from timedtext.functions import fixed
+from timedtext.functions import codecs, fixed
 from timedtext.operators import encoding
 
 MIXED = "1\n00:00:01,000 --> 00:00:04,000\nสวัสดี Café 你好\n\n2\n00:00:05,000 --> 00:00:08,000\nこんにちは 안녕 naïve señor\n" * 2
@@ -127,3 +129,31 @@ def test_precedence_of_targets():
     assert encoding.target_encodings() == ["utf-8", "utf-8-sig", "tis-620", "cp874"]
     assert encoding.target_encodings([" cp874 ", "big5"]) == ["cp874", "big5"]
     assert encoding.target_encodings(["big5"], "th", True) == fixed.ENCODINGS
+
+
+def whole_length(data, name):
+    try:
+        text = data.decode(name)
+    except UnicodeError:
+        return None
+    return len(text) - text.count("\r\n")
+
+
+@pytest.mark.parametrize("name", [*fixed.ENCODINGS, "cp037", "hz", "utf-7", "utf-32", "big5hkscs"])
+def test_decoded_length(monkeypatch, name):
+    """Chunks and byte tables against decoding the whole."""
+    rng = random.Random(name)
+    texts = ["", "a", "\r\n", "\r", "x\r\ny\r\r\n\n", "Å äöü ß\r\n", "สวัสดี\r\n", "日本語\r\nテキスト", "Привет\r\n", "한국어\r\n", "\ufeffx"]
+    cases = [t.encode(name, "replace") for t in texts]
+    cases += [b"".join(rng.choices(cases, k=6)) for _ in range(30)]
+    cases += [rng.randbytes(rng.randrange(1, 30)) for _ in range(60)]
+    cases += [c[:-1] for c in cases]
+    for size in (1, 3, 1 << 16):
+        monkeypatch.setattr(codecs, "CHUNK_BYTES", size)
+        for data in cases:
+            assert codecs.decoded_length(data, name) == whole_length(data, name), data
+
+
+def test_tables_are_known():
+    assert codecs.table_bytes("cp1252") is not None and codecs.table_bytes("tis-620") is not None
+    assert codecs.table_bytes("shift_jis") is None and codecs.table_bytes("utf-8") is None

@@ -7,6 +7,9 @@ batches; a row that needs no Python codec sends null there.
 from __future__ import annotations
 
 import codecs
+from encodings import normalize_encoding
+from functools import lru_cache
+from importlib import import_module
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,6 +53,48 @@ def python_encode(text: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([encode(t, c) for t, c in zip(text, name)], dtype=object)
 
 
+CHUNK_BYTES = 1 << 16
+
+
+@lru_cache(maxsize=None)
+def table_bytes(name: str) -> bytes | None:
+    """The bytes that a codec of one byte a character can decode; null for other codecs."""
+    module = normalize_encoding(codecs.lookup(name).name)
+    try:
+        table = import_module(f"encodings.{module}").decoding_table
+    except (ImportError, AttributeError):
+        return None
+    return bytes(b for b, char in enumerate(table) if char != "\ufffe")
+
+
+def decoded_length(data: bytes, name: str) -> int | None:
+    """How many characters the bytes are in a codec, CRLF counted once; null if they do not fit.
+
+    A table codec needs no decoding: only which bytes there are. Others get the bytes in chunks,
+    each once, and stop at the first that does not fit; no decoded text is held.
+    """
+    known = table_bytes(name)
+    if known is not None:
+        return None if data.translate(None, known) else len(data) - crlf_bytes(data, name)
+    if codecs.lookup(name).name in UTF8_BOM_NAMES:  # in chunks it would take half a mark for none
+        data, name = data.removeprefix(BOM), "utf-8"
+    decoder = codecs.getincrementaldecoder(name)()
+    length, carriage = 0, False
+    try:
+        for at in range(0, max(1, len(data)), CHUNK_BYTES):
+            text = decoder.decode(data[at : at + CHUNK_BYTES], at + CHUNK_BYTES >= len(data))
+            length += len(text) - text.count("\r\n") - (carriage and text.startswith("\n"))
+            carriage = text.endswith("\r") if text else carriage
+    except UnicodeError:
+        return None
+    return length
+
+
+def crlf_bytes(data: bytes, name: str) -> int:
+    """How many CRLF there are in the bytes of a table codec, whatever bytes it has for them."""
+    return data.count("\r\n".encode(name))
+
+
 def known_codec(name: str) -> bool:
     try:
         codecs.lookup(name)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timedtext.functions import fixed
-from timedtext.functions.codecs import BOM, decode_bytes, encode_text, known_codec
+from timedtext.functions.codecs import BOM, decode_bytes, decoded_length, encode_text, known_codec
 from timedtext.functions.text import encoded_name, normalize_newlines, parent
 
 
@@ -28,7 +28,8 @@ def detect_encoding(
     ``COMPAT`` has the options of the original rules, which take no text of 100 or less.
 
     Valid UTF-8 is found in the JVM where it is the first candidate; only other files meet
-    the Python codecs, which stop at the first that fits. ``bom_first`` names files with a
+    the Python codecs, in order until one fits. Codecs with a table are judged by the bytes that
+    occur, others get the content in chunks (``decoded_length``). ``bom_first`` names files with a
     byte-order mark ``utf-8-sig``; otherwise the order of the candidates decides.
     """
     names = list(candidates or fixed.ENCODINGS)
@@ -42,11 +43,8 @@ def detect_encoding(
             if data is None:
                 return None
             for name in names:
-                try:
-                    text = data.decode(name)
-                except UnicodeError:
-                    continue
-                if len(text) - text.count("\r\n") > min_chars:
+                length = decoded_length(data, name)
+                if length is not None and length > min_chars:
                     return name
             return None
 
