@@ -98,3 +98,16 @@ def test_files_are_scanned_and_parsed_once(spark, tmp_path):
     text = plan(spark, parse_files(decode_files(scan_files(spark, str(tmp_path)))))
     assert text.count("Scan binaryFile") == 2  # once in the tree, once in its details
     assert "Union" not in text and "Exchange" not in text
+
+
+@pytest.mark.parametrize("name", ["batch_text", "progress"])
+def test_lines_are_read_once(no_broadcast, name):
+    """All branches have the same aggregate of the lines below them, whose exchange is reused."""
+    key = "spark.sql.adaptive.enabled"
+    no_broadcast.conf.set(key, "false")
+    try:
+        text = plan(no_broadcast, QUERIES[name](no_broadcast, SF_DIR))
+    finally:
+        no_broadcast.conf.set(key, "true")
+    assert len(re.findall(r"ReadSchema: (\S+)", text)) == 1
+    assert "ReusedExchange" in text

@@ -41,7 +41,7 @@ def batch_parts(
         .groupBy("file_id", "block")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
     )
-    entries = block_entries(lines, budget, strict, block_rows)
+    entries = block_entries(blocks, budget, strict, block_rows)
     ready = blocks.join(entries, ["file_id", "block"], "left").select(
         "file_id",
         "rows",
@@ -129,13 +129,12 @@ def progress(batches: DataFrame) -> DataFrame:
 
     A batch of blank lines only is never sent and reports nothing.
     """
-    totals = batches.groupBy("file_id").agg(F.max("last_line").alias("total_items"))
-    return (
-        batches.where(~is_blank("text"))
-        .select("file_id", "batch_no", F.col("last_line").alias("current_index"))
-        .join(totals, "file_id")
-        .withColumn("progress", F.col("current_index") * F.lit(100.0) / F.col("total_items"))
+    total = F.max("last_line").over(Window.partitionBy("file_id")).alias("total_items")
+    rows = batches.select(
+        "file_id", "batch_no", F.col("last_line").alias("current_index"), is_blank("text").alias("blank"), total
     )
+    share = F.col("current_index") * F.lit(100.0) / F.col("total_items")
+    return rows.where(~F.col("blank")).drop("blank").withColumn("progress", share)
 
 
 # --- files of more than one block -------------------------------------------
@@ -147,30 +146,32 @@ def progress(batches: DataFrame) -> DataFrame:
 # inside the groups finds where each block begins.
 
 
-def block_entries(lines: DataFrame, budget: int, strict: bool, block_rows: int) -> DataFrame:
+def block_entries(blocks: DataFrame, budget: int, strict: bool, block_rows: int) -> DataFrame:
     """State at the start of blocks: ``(file_id, block, carry, batches)``.
 
-    Only for files of more than one block; all others begin with nothing.
+    Only for files of more than one block; all others begin with nothing. ``blocks`` has a
+    row per block with its lines, from the same aggregate as the folding, so that Spark reads
+    the lines once for both. A first block that is not full has no block after it.
     """
-    key = lines.schema["file_id"].dataType.simpleString()
-    sized = lines.select(
+    key = blocks.schema["file_id"].dataType.simpleString()
+    full = F.element_at("rows", -1)["line_no"] == block_rows
+    sized = blocks.where((F.col("block") > 0) | full).select(
         "file_id",
-        block_of(F.col("line_no"), block_rows).alias("block"),
-        "line_no",
-        F.length("line").alias("size"),
+        "block",
+        (F.element_at("rows", 1)["line_no"] == 1).alias("first"),
+        F.transform("rows", lambda r: F.length(r["line"])).alias("sizes"),
     )
-    large = sized.where(F.col("line_no") > block_rows).select("file_id").distinct()
-
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        found = fill_table(pdf["size"].to_numpy(), budget, strict, pdf["line_no"].iloc[0] == 1)
-        return pdf.head(1)[["file_id", "block"]].assign(table=[found.tobytes()])
 
-    tables = (
-        sized.join(large, "file_id", "left_semi")
-        .groupBy("file_id", "block")
-        .applyInPandas(table, f"file_id {key}, block bigint, table binary")
-        .withColumn("super", F.floor(F.col("block") / SUPER_BLOCKS))
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [
+                fill_table(np.asarray(sizes), budget, strict, bool(first)).tobytes()
+                for sizes, first in zip(pdf["sizes"], pdf["first"])
+            ]
+            yield pdf[["file_id", "block"]].assign(table=found)
+
+    tables = sized.mapInPandas(fill, f"file_id {key}, block bigint, table binary").withColumn(
+        "super", F.floor(F.col("block") / SUPER_BLOCKS)
     )
 
     def unpack(raw: bytes) -> np.ndarray:
