@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import table
+from timedtext.llm.common import similar_sets_sql, table
 from timedtext.llm.hashing import Prefix, mix
 from timedtext.session import stage_table
 
@@ -555,3 +555,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = similar_sets_sql(SHINGLE, NUMERATOR) + "SELECT *, doc_id = component_id AS kept FROM found"

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timedtext.llm.common import table
+from timedtext.llm.common import similar_sets_sql, table
 from timedtext.llm.hashing import Prefix, mix
 from timedtext.llm.near_dup import chunks, components
 from timedtext.session import stage_table
@@ -465,3 +465,6 @@ def jaccard_components(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> D
 
 def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = similar_sets_sql(SHINGLE, PERCENT) + "SELECT * FROM found"

@@ -38,7 +38,9 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
+    "op7_near_dup": near_dup.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op10_chat_formatting": chat.ORACLE,
+    "op11_ngram_jaccard": ngram_join.ORACLE,
     "op13_phrase_collocations": collocations.ORACLE,
 }
