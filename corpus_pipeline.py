@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that stand earlier in the corpus go; every document stays."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Runs of lines that stand earlier in the corpus go, long ones of any number of lines; every
+    document stays."""
+    return line_dedup.dedup_lines(docs, line_dedup.LONG_WORDS).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-# Near duplicates, decontamination and packing have no SQL form; see tests/llm/test_pipeline.py.
+# Near duplicates, decontamination and packing have no SQL form; see tests/llm/test_texts.py.
 ORACLE_SQL = None
 
 

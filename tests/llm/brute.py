@@ -59,8 +59,9 @@ def line_fails(line):
     )
 
 
-def dedup_lines(rows, size=3):
-    """(doc_id, text) in order -> doc_id -> lines with ink, indices that go, text left."""
+def dedup_lines(rows, size=3, long_words=None):
+    """(doc_id, text) in order -> doc_id -> lines with ink, indices that go, text left.
+    ``long_words``: runs of fewer lines count if they have so many words."""
     seen, out = set(), {}
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = (text or "").split("\n")
@@ -71,6 +72,13 @@ def dedup_lines(rows, size=3):
             if window in seen:
                 gone.update(range(i, i + size))
             seen.add(window)
+        for fewer in range(1, size) if long_words else ():
+            for i in range(len(ink) - fewer + 1):
+                window = tuple(lines[k] for k in ink[i : i + fewer])
+                if sum(len(WORD.findall(x)) for x in window) >= long_words:
+                    if window in seen:
+                        gone.update(range(i, i + fewer))
+                    seen.add(window)
         at = {ink[i] for i in gone}
         left = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in at)
         out[doc_id] = (len(ink), gone, left)

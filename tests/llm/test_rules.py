@@ -38,9 +38,9 @@ def test_quality(spark):
     assert rules.judged(frame.limit(0)).collect() == []
 
 
-def check_lines(frame, rows):
-    want = dedup_lines(rows)
-    found = line_dedup.dedup_lines(frame)
+def check_lines(frame, rows, long_words=None):
+    want = dedup_lines(rows, long_words=long_words)
+    found = line_dedup.dedup_lines(frame, long_words)
     got = found.collect()
     assert len(got) == len(rows)
     for row in got:
@@ -75,6 +75,14 @@ def test_line_dedup_long_runs(spark):
 def test_line_dedup_documents(spark):
     docs = table(spark, SF_DIR, "documents").select("doc_id", "text")
     check_lines(docs, [tuple(r) for r in docs.collect()])
+    check_lines(docs, [tuple(r) for r in docs.collect()], 50)
+
+
+def test_line_dedup_random_long_runs(spark):
+    rng = random.Random(8)
+    lines = [" ".join(f"w{k}" for k in range(n)) for n in (1, 2, 24, 25, 26, 49, 50, 51)] + ["", " "]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randrange(7)))) for i in range(120)]
+    check_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), rows, 50)
 
 
 def scan(text):

@@ -254,7 +254,7 @@ def test_pipeline(spark):
     want = [(i, brute.quality(t)) for i, t in rows]
     want = [(i, q["clean"]) for i, q in want if q["kept"]]
     steps = [want]
-    lines = brute.dedup_lines(want)
+    lines = brute.dedup_lines(want, long_words=50)
     steps.append([(i, lines[i][2]) for i, _ in want])
     kept = {i for i, _, _, k in brute.near(steps[-1]) if k}
     steps.append([r for r in steps[-1] if r[0] in kept])

@@ -10,8 +10,8 @@ twice or more are joined; the windows that select it are grouped by their whole
 reduced to their first place, which finds all runs without extending matches pair by pair. One row per window, never one per pair: a passage in
 a third of all documents costs as many rows as it has copies.
 
-With ``long_words`` a run of one or two lines also counts if it has that many words or more. The
-query and the pipeline do without, as their SQL and tests have runs of three lines only.
+With ``long_words`` a run of one or two lines also counts if it has that many words or more; the
+query and the pipeline take ``LONG_WORDS``.
 
 Defined results: null text is empty, it has no lines and stays null. Rows that agree in
 ``doc_id`` and text are one document and get the same result each; rows with one ``doc_id`` and
@@ -30,6 +30,7 @@ from timedtext.session import stage_table
 GRAM = 2
 WINDOW = 2
 MIN_LINES = GRAM + WINDOW - 1
+LONG_WORDS = 50
 
 
 def has_ink(line: Column) -> Column:
@@ -186,7 +187,7 @@ def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), LONG_WORDS)
     info = F.col("line_dedup")
     return found.select(
         "doc_id",
@@ -201,7 +202,8 @@ WITH lines AS (
   SELECT doc_id, k, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS ink
   FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS k
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-inked AS (SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM lines WHERE ink),
+inked AS (SELECT doc_id, k, line,
+  len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM lines WHERE ink),
 windows AS (
   SELECT doc_id, i, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c
   FROM inked WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -209,7 +211,18 @@ later AS (
   SELECT doc_id, i FROM (
     SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS r
     FROM windows WHERE c IS NOT NULL) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+long AS (
+  SELECT doc_id, i, 1 AS size, line AS a, NULL AS b FROM inked WHERE n >= 50
+  UNION ALL
+  SELECT doc_id, i, 2, a, b FROM (
+    SELECT doc_id, i, line AS a, lead(line) OVER w AS b, n + lead(n) OVER w AS n
+    FROM inked WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE n >= 50),
+later_long AS (
+  SELECT doc_id, i, size FROM (
+    SELECT *, row_number() OVER (PARTITION BY size, a, b ORDER BY doc_id, i) AS r FROM long) WHERE r > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later
+  UNION SELECT doc_id, i FROM later_long UNION SELECT doc_id, i + 1 FROM later_long WHERE size = 2),
 runs AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < i - 1) AS n_runs
   FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id),
