@@ -87,6 +87,45 @@ def test_repeated_rows(spark):
     assert [r[:4] for r in got] == [(1, 300, 0, 0), (1, 300, 0, 0), (2, 300, 300, 1)]
 
 
+def test_many_texts_of_one_id(spark):
+    """Texts of one id, and texts without an id, are numbered apart, however their hashes fall."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    rows = [
+        (rng.choice([None, None, 5, 7, 100 + i]), "".join(rng.choices("ijk ", k=rng.randrange(90))) + passage[rng.randrange(150) :])
+        for i in range(900)
+    ]
+    rows += rows[:40] + [(None, None), (5, None), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    text = F.coalesce("text", F.lit(""))
+    keyed = frame.select("doc_id", "text", F.xxhash64(text), F.xxhash64(F.lit("tie"), text)).collect()
+    ordered = sorted(keyed, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[3]))
+    once, again, before = [], [], None
+    for r in ordered:  # a repeated row is no copy of itself, and gets the same result
+        (again if before == tuple(r) else once).append((r[0], r[1]))
+        before = tuple(r)
+    got = found(frame)
+    for row in brute(once):
+        got.remove(row)
+    assert len(got) == len(again) and set(got) <= set(brute(once))
+
+
+def test_levels_merge_in_the_query(spark, monkeypatch):
+    ranks = []
+    insert = suffix_dedup.SuffixLevels._insert
+
+    def noted(self, level):
+        insert(self, level)
+        ranks.append(sorted(self.levels))
+
+    monkeypatch.setattr(suffix_dedup.SuffixLevels, "_insert", noted)
+    rows = corpus(3)
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+    assert ranks == [[0], [1], [0, 1]]
+
+
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id bigint, text string")) == []
 

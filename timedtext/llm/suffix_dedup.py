@@ -21,9 +21,11 @@ string in a third of all documents brings a group one row from each task. A gram
 ``GROUP`` different regions is compared by strings that are grouped with partial aggregation.
 
 Defined results: a null text is empty: no bytes, nothing removed. Rows that agree in ``doc_id``
-and text are one document and get a result each; rows of one ``doc_id`` with different texts
-are ordered by a 16-bit hash of the text. A null ``doc_id`` comes before all others. Only
-``doc_id`` and ``text`` are read.
+and text are one document and get a result each; different texts of one ``doc_id`` are numbered
+in the order of a 128-bit hash, and come in this order. A null ``doc_id`` comes before all others,
+and its different texts are documents of their own, in that order too; ids under -2^63 + 2^40
+count as none. Only ``doc_id`` and
+``text`` are read.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ from timedtext.session import stage_table
 LENGTH = 100
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # grams in a string
-BATCHES = 2
+BATCHES = 4  # each one sorts the levels again, so a number that grew with the table would cost its square
 GROUP = 5000
 PIECE = 1 << 19
 CHUNK_BYTES = 1 << 18
@@ -52,6 +54,7 @@ FLUSH_ROWS = 1 << 20
 LOW = (1 << 20) - 1
 TIE_SHIFT = 40
 NO_ID = -(2**63)
+NO_IDS = 1 << 40  # so many of the least ids are kept for texts without one
 LEFT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -415,15 +418,48 @@ def without_runs(keep_bytes: bool):
     return run
 
 
+def with_ties(docs: DataFrame) -> DataFrame:
+    """(id, tie, text) of rows with an id or none: the number of a text among the different texts
+    of its id, 0 where it has one only. Texts without an id get ids of their own, the least ones.
+
+    Ids with several texts are found, and these texts numbered, from hashes alone; texts are
+    shuffled only where there are such ids. One count for each partition comes to the driver.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    hashes = ["h1", "h2"]
+    rows = docs.select("id", "text", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("tie"), text).alias("h2"))
+    known = rows.select("id", *hashes).distinct()
+    several = known.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    several = known.join(several, "id", "left_semi").repartitionByRange("id", *hashes).sortWithinPartitions("id", *hashes)
+    several = stage_table(several.withColumn("at", F.monotonically_increasing_id()), "ties")
+    part = F.shiftright("at", 33)
+    counts = sorted(tuple(r) for r in several.groupBy(part).count().collect())
+    if not counts:
+        return docs.select("id", F.lit(0).cast("bigint").alias("tie"), "text")
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    starts = F.broadcast(spark.createDataFrame(starts, "part bigint, start bigint"))
+    number = (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("number")
+    several = several.join(starts, part == F.col("part")).select("id", *hashes, number)
+    least = several.groupBy("id").agg(F.min("number").alias("least"))
+    several = several.join(least, "id").select("id", *hashes, (F.col("number") - F.col("least")).alias("tie"))
+    rows = rows.join(several, ["id", *hashes], "left")
+    tie, none = F.coalesce("tie", F.lit(0)), F.col("id") == NO_ID
+    return rows.select(
+        F.when(none, F.lit(NO_ID) + tie).otherwise(F.col("id")).alias("id"),
+        F.when(none, 0).otherwise(tie).cast("bigint").alias("tie"),
+        "text",
+    )
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept bytes of every
     row. Documents are added in ``batches`` of about as many ids, smallest ids first."""
     spark = docs.sparkSession
-    docs = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)).alias("tie"),
-        "text",
-    )
+    docs = with_ties(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text"))
     quantiles = [i / batches for i in range(1, batches)]
     cuts = docs.approxQuantile("id", quantiles, 0.01) if batches > 1 else []
     index = SuffixLevels(spark)
@@ -450,7 +486,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, keep_bytes: bool = T
         "id", "z", F.col("spans.start").alias("starts"), F.col("spans.width").alias("widths")
     )
     done = joined.mapInArrow(without_runs(keep_bytes), REMOVED)
-    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    doc_id = F.when(F.col("id") >= NO_ID + NO_IDS, F.col("id")).alias("doc_id")
     return done.select(doc_id, *done.columns[1 if keep_bytes else 1 : None if keep_bytes else -1])
 
 
