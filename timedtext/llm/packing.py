@@ -32,7 +32,9 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,7 +52,7 @@ KEY_TOKENS = 8
 CUT_SAMPLE = 100
 QUERY_TOKENS = 16
 K1, BETA = 1.2, 0.75
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 700_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -63,38 +65,44 @@ def vocabulary_path() -> str:
 class Words(dict):
     """Token ids of chunks between spaces, as bytes; white space parts tokens in this vocabulary.
 
-    Trailing ASCII marks are looked up apart from the word and ASCII letters in lower case, since
+    What was looked up is kept, up to ``KNOWN_WORDS`` chunks. Trailing ASCII marks are looked up apart from the word and ASCII letters in lower case, since
     the vocabulary parts marks from letters and has no upper case: fewer distinct chunks. A text
-    with the start of a special token takes the plain way.
+    with the start of a special token takes the plain way. A chunk of Latin letters alone is one
+    word for the vocabulary's rules, and its normal form is its lower case, so the library's
+    merges are called on it without its Unicode and splitting steps, which take most of its time.
     """
 
-    TAIL = re.compile(r"(?<=[0-9A-Za-z])[.,;:!?*%&$#|]+\Z")
+    TAIL = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f])[.,;:!?*%&$#|]+\\Z")
+    # Precomposed letters up to U+017F, without the one whose lower case is two characters.
+    LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = filter(self.LETTERS.fullmatch, map(chr, range(0x80, 0x180)))
+        self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in letters}
 
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def part(self, text: str) -> bytes:
-        if text.isascii():
-            text = text.lower()
-        if (ids := self.parts.get(text)) is None:
-            if len(self.parts) >= KNOWN_WORDS:
-                self.parts.clear()
-            ids = self.parts[text] = self.plain(text)
-        return ids
+        return array("I", ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        marks = self.TAIL.search(chunk)
-        if marks:
-            ids = self.part(chunk[: marks.start()]) + self.part(marks[0])
+        if chunk.isascii() and chunk.isalpha():
+            low = chunk.lower()
+            if low != chunk:
+                return self[low]
+            ids = array("I", [t.id for t in self.merges(chunk)]).tobytes()
+        elif self.LETTERS.fullmatch(chunk):
+            spelled = chunk.lower().translate(self.spelling)
+            ids = array("I", [t.id for t in self.merges(spelled)]).tobytes()
         else:
-            ids = self.part(chunk)
+            marks = None if chunk[-1:].isalnum() else self.TAIL.search(chunk)
+            if marks:  # looked up in two parts, and not kept itself
+                return self[chunk[: marks.start()]] + self[marks[0]]
+            ids = self.plain(chunk)
         if len(self) >= KNOWN_WORDS:
             self.clear()
         if len(chunk) < 64:
@@ -109,6 +117,12 @@ class Words(dict):
         return np.append(np.frombuffer(data, "<u4"), np.uint32(END)).astype("<u4")
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """One for all tasks of a Python worker."""
+    return Words(path)
+
+
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary, terms binary"
 )
@@ -128,7 +142,7 @@ def tokenized(path: str) -> Callable:
     ids and its distinct tokens as terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = words_of(path)
         for batch in batches:
             rows: list[tuple] = []
             size = 0
