@@ -52,7 +52,7 @@ KEY_TOKENS = 8
 CUT_SAMPLE = 100
 QUERY_TOKENS = 16
 K1, BETA = 1.2, 0.75
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 300_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -65,14 +65,14 @@ def vocabulary_path() -> str:
 class Words(dict):
     """Token ids of chunks between spaces, as bytes; white space parts tokens in this vocabulary.
 
-    What was looked up is kept, up to ``KNOWN_WORDS`` chunks. Trailing ASCII marks are looked up apart from the word and ASCII letters in lower case, since
+    Trailing ASCII marks are looked up apart from the word and ASCII letters in lower case, since
     the vocabulary parts marks from letters and has no upper case: fewer distinct chunks. A text
     with the start of a special token takes the plain way. A chunk of Latin letters alone is one
     word for the vocabulary's rules, and its normal form is its lower case, so the library's
     merges are called on it without its Unicode and splitting steps, which take most of its time.
     """
 
-    TAIL = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f])[.,;:!?*%&$#|]+\\Z")
+    TAIL = re.compile(r"(?<=[0-9A-Za-z])[.,;:!?*%&$#|]+\Z")
     # Precomposed letters up to U+017F, without the one whose lower case is two characters.
     LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
@@ -84,26 +84,37 @@ class Words(dict):
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = filter(self.LETTERS.fullmatch, map(chr, range(0x80, 0x180)))
         self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in letters}
+        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
+    def word(self, letters: str) -> bytes:
+        """Ids of lower-case letters, non-ASCII ones as the vocabulary spells them."""
+        return array("I", [t.id for t in self.merges(letters)]).tobytes()
+
+    def found(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
             low = chunk.lower()
-            if low != chunk:
-                return self[low]
-            ids = array("I", [t.id for t in self.merges(chunk)]).tobytes()
-        elif self.LETTERS.fullmatch(chunk):
-            spelled = chunk.lower().translate(self.spelling)
-            ids = array("I", [t.id for t in self.merges(spelled)]).tobytes()
-        else:
-            marks = None if chunk[-1:].isalnum() else self.TAIL.search(chunk)
-            if marks:  # looked up in two parts, and not kept itself
-                return self[chunk[: marks.start()]] + self[marks[0]]
-            ids = self.plain(chunk)
+            return self.word(chunk) if low == chunk else self[low]
+        if self.LETTERS.fullmatch(chunk):
+            return self.word(chunk.lower().translate(self.spelling))
+        marks = None if chunk[-1:].isalnum() else self.TAIL.search(chunk)
+        if marks:
+            return self[chunk[: marks.start()]] + self[marks[0]]
+        if chunk.isascii() and (low := chunk.lower()) != chunk:
+            return self[low]
+        return self.plain(chunk)
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Words that are met again stay known: the older half is dropped when the newer is full,
+        and what is used of it moves over."""
+        ids = self.older.pop(chunk, None)
+        if ids is None:
+            ids = self.found(chunk)
         if len(self) >= KNOWN_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(chunk) < 64:
             self[chunk] = ids
