@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import plain_nearest_space
 from pyspark.sql import functions as F
@@ -102,3 +104,23 @@ def test_format_time(spark):
 
 def test_legal_content(spark):
     assert value(spark, t.legal_content(F.lit("\n\na\n\n\nb\n"))) == "a\nb"
+
+
+def test_few_cuts_by_halving_agree_with_the_merge(spark):
+    rng = random.Random(5)
+    rows = []
+    for row in range(300):
+        bag = ["a", "", "，", "ab，", "日本", "xyz", "𝒳"] + [None] * (row % 7 == 0) + ["\x01"] * (row % 5 == 0)
+        words = [rng.choice(bag) for _ in range(rng.choice([0, 1, 3, 12, 70]))]
+        size = sum(len(w or "") for w in words)
+        rows.append((words, sorted(rng.randint(0, size + 1) for _ in range(rng.choice([0, 1, 2, 5, 33])))))
+    table = spark.createDataFrame(rows, "words array<string>, cuts array<int>")
+    both = table.select(
+        "words",
+        "cuts",
+        t.snap_to_word(F.col("words"), F.col("cuts")).alias("got"),
+        t.merged_words(F.col("words"), F.col("cuts")).alias("wanted"),
+    ).collect()
+    assert any(0 < len(r.cuts) <= t.MANY_CUTS for r in both)
+    for r in both:
+        assert r.got == r.wanted, (r.words, r.cuts)

@@ -126,6 +126,7 @@ def encoded_name(path: Column | str, target: Column) -> Column:
 
 # Above this many cuts the work per cut must not depend on the length of the text.
 MANY_CUTS = 32
+WORD_MARK = "\x01"
 FOLD_BLOCK = 256
 
 
@@ -262,13 +263,52 @@ def snap_to_space(text: Column, cuts: Column, profile: str = "v1") -> Column:
     return F.transform(near, choose)
 
 
+def word_behind(words: Column, marked: Column, cut: Column) -> Column:
+    """The end of the first word that reaches a cut, found by halving; ``marked`` is the words
+    with ``WORD_MARK`` between them, so the first words of any number are a prefix of it."""
+
+    def upto(n: Column) -> Column:
+        return F.length(F.call_function("substring_index", marked, F.lit(WORD_MARK), n)) - n + 1
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        reached = upto(middle + 1) >= cut
+        half = F.when(
+            reached, F.struct(acc["low"].alias("low"), middle.alias("high"))
+        ).otherwise(F.struct((middle + 1).alias("low"), acc["high"].alias("high")))
+        return F.when(acc["low"] < acc["high"], half).otherwise(acc)
+
+    def end(acc: Column) -> Column:
+        comma = F.coalesce(F.get(words, acc["low"] + 1) == F.lit(fixed.CHINESE_COMMA), F.lit(False))
+        return upto(F.least(acc["low"] + 1, F.size(words))) + F.when(comma, 1).otherwise(0)
+
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(words).cast("bigint"))))
+    start = F.struct(F.lit(0).alias("low"), F.size(words).alias("high"))
+    return F.aggregate(halvings, start, halve, end)
+
+
 def snap_to_word(words: Column, cuts: Column) -> Column:
     """Every cut of an ascending array becomes the end of the first given word that
     reaches it, and of a full-width comma right after that word; cuts that no word
     reaches become the end of all words.
 
-    Word ends and cuts are merged by sorting; ``words`` and ``cuts`` should be plain columns.
+    Up to ``MANY_CUTS`` cuts are looked up one by one. For more, and for words that are null
+    or have the mark, word ends and cuts are merged. ``words`` and ``cuts`` should be plain columns.
     """
+    whole = F.array_join(words, "")
+    plain = (whole == F.array_join(words, "", WORD_MARK)) & ~F.contains(whole, F.lit(WORD_MARK))
+    few = let(
+        F.array_join(words, WORD_MARK),
+        lambda marked: F.transform(cuts, lambda cut: word_behind(words, marked, cut)),
+    )
+    simple = (F.size(cuts) <= MANY_CUTS) & (F.size(words) > 0) & plain
+    return (
+        F.when(F.size(cuts) == 0, cuts).when(simple, few).otherwise(merged_words(words, cuts))
+    )
+
+
+def merged_words(words: Column, cuts: Column) -> Column:
+    """``snap_to_word`` for any number of cuts, by one sort of all word ends and cuts."""
     sizes = F.transform(words, lambda w: F.length(w))
     ends = running(sizes, F.lit(0), lambda a, b: a + b)
 
