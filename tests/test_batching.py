@@ -93,3 +93,12 @@ def test_translate_misses_extends_the_memory(spark):
     rows = batching.translate_misses(misses, lambda t, s, g: t.replace("line", s + g), 3, 40).collect()
     assert len(rows) == 51
     assert all(r.translated == r.text.replace("line", r.src_lang + r.tgt_lang) for r in rows)
+
+
+def test_few_rows_of_an_arrow_batch_become_python_at_once():
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_pydict({"n": list(range(600))})
+    parts = list(batching.in_slices(iter([whole, whole.slice(0, 0)]), batching.REQUEST_SLICE))
+    assert [p.num_rows for p in parts] == [256, 256, 88]
+    assert [n for p in parts for n in p["n"].to_pylist()] == list(range(600))

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,15 @@ from timedtext.operators.blocks import BLOCK_ROWS, block_of
 from timedtext.operators.sentences import ordered_text
 
 SUPER_BLOCKS = 256
+# How many rows of an Arrow batch become Python objects at once.
+BLOCK_SLICE = 16
+REQUEST_SLICE = 256
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def batch_parts(
@@ -162,15 +172,18 @@ def block_entries(blocks: DataFrame, budget: int, strict: bool, block_rows: int)
         F.transform("rows", lambda r: F.length(r["line"])).alias("sizes"),
     )
 
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    # a batch of Arrow may have 10,000 rows of whole blocks: few at a time become Python's
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in in_slices(batches, BLOCK_SLICE):
             found = [
-                fill_table(np.asarray(sizes), budget, strict, bool(first)).tobytes()
-                for sizes, first in zip(pdf["sizes"], pdf["first"])
+                fill_table(sizes.values.to_numpy(zero_copy_only=False), budget, strict, first.as_py()).tobytes()
+                for sizes, first in zip(few["sizes"], few["first"])
             ]
-            yield pdf[["file_id", "block"]].assign(table=found)
+            yield pa.RecordBatch.from_arrays(
+                [few["file_id"], few["block"], pa.array(found, pa.binary())], ["file_id", "block", "table"]
+            )
 
-    tables = sized.mapInPandas(fill, f"file_id {key}, block bigint, table binary").withColumn(
+    tables = sized.mapInArrow(fill, f"file_id {key}, block bigint, table binary").withColumn(
         "super", F.floor(F.col("block") / SUPER_BLOCKS)
     )
 
@@ -267,21 +280,25 @@ def translate_with(
     """
     key = batches.schema["file_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            done = []
-            for text, src, tgt in zip(pdf["text"], pdf["src_lang"], pdf["tgt_lang"]):
-                try:
-                    done.append((translate(text, src, tgt) if text.strip() else "", None))
-                except Exception as error:  # any failure of the user's code
-                    done.append((None, f"Translation error: {error}"))
-            yield pdf[["file_id", "first_line", "last_line"]].assign(
-                answer=[d[0] for d in done], message=[d[1] for d in done]
+    def answered(text: str, src: str, tgt: str) -> tuple[str | None, str | None]:
+        try:
+            return (translate(text, src, tgt) if text.strip() else "", None)
+        except Exception as error:  # any failure of the user's code
+            return (None, f"Translation error: {error}")
+
+    def run(requests: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in in_slices(requests, REQUEST_SLICE):
+            asked = zip(*(few[name].to_pylist() for name in ("text", "src_lang", "tgt_lang")))
+            done = [answered(*request) for request in asked]
+            columns = [few[name] for name in ("file_id", "first_line", "last_line")]
+            columns += [pa.array([d[n] for d in done], pa.string()) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                columns, ["file_id", "first_line", "last_line", "answer", "message"]
             )
 
     answers = batches.select(
         "file_id", "first_line", "last_line", "text", "src_lang", "tgt_lang"
-    ).mapInPandas(
+    ).mapInArrow(
         run,
         f"file_id {key}, first_line bigint, last_line bigint, answer string, message string",
     )
