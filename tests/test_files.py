@@ -157,3 +157,31 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     assert os.listdir(tmp_path) == ["old.srt"]
     fs.write_named_files(rows.where("id < 3"), str(tmp_path))
     assert sorted(os.listdir(tmp_path)) == ["f0.srt", "f1.srt", "f2.srt", "old.srt"]
+
+
+@pytest.mark.parametrize("recursive", [False, True])
+def test_a_crowded_folder_is_listed_by_tasks_and_gives_the_same(spark, tmp_path, monkeypatch, recursive):
+    for name in ("a.srt", "b 1.srt", "c.txt", ".d.srt", "_e.srt", "sub/f.srt", ".sub/g.srt", "é.srt", "empty.srt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else name.encode() * 3)
+    wanted = fs.scan_files(spark, str(tmp_path), "*.srt", recursive)
+    monkeypatch.setattr(fs, "MOST_LISTED", 2)
+    monkeypatch.setattr(fs, "READ_BYTES", 10)
+    found = fs.scan_files(spark, f"file://{tmp_path}/", "*.srt", recursive)
+    assert "binaryFile" in plan_of(wanted) and "binaryFile" not in plan_of(found)
+    assert found.schema.names == wanted.schema.names
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, wanted.collect())) and len(rows) == 3 + recursive
+    assert "ArrowEvalPython" not in plan_of(found.select("path"))
+
+
+def plan_of(table):
+    return table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_tells_the_driver_its_folder_and_no_names(spark, tmp_path):
+    assert list(fs.Staged.__dataclass_fields__) == ["folder"]
+    rows = spark.range(50).select(F.format_string("%d/f%d.srt", F.col("id") % 3, "id").alias("path"), F.lit("x").alias("content"))
+    fs.write_named_files(rows.repartition(4), str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == ["0", "1", "2"]
+    assert sum(len(os.listdir(tmp_path / folder)) for folder in "012") == 50

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import re
 import shutil
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -37,11 +41,116 @@ def scan_files(
     """All files of one or more directories whose names match a glob.
 
     A column that is not used is not read: ``content`` costs nothing until it is asked for.
+    Spark's reader keeps a status of every file in the driver; mounted folders with more than
+    ``MOST_LISTED`` files are listed by tasks instead, and no list of them is held anywhere.
     """
+    folders = [paths] if isinstance(paths, str) else list(paths)
+    if are_mounted(spark, folders) and SIMPLE_GLOB.fullmatch(pattern) and are_crowded(folders, recursive):
+        return scan_mounted(spark, folders, pattern, recursive)
+    few_listing_tasks(spark)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     return reader.option("recursiveFileLookup", recursive).load(paths)
 
 
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def few_listing_tasks(spark: SparkSession) -> None:
+    """Spark lists many paths with a task for each, up to 10,000; from here on with a few for each
+    core. A stream reads the setting whenever it lists the files of a batch, so it stays."""
+    most = 4 * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(LISTING_TASKS, None) or most + 1) > most:
+        spark.conf.set(LISTING_TASKS, str(most))
+
+
+MOST_LISTED = 20_000
+# Globs that mean the same to Hadoop and to ``fnmatch``.
+SIMPLE_GLOB = re.compile(r"(?:[\w.*?-]|\[[\w-]+\])+")
+READ_BYTES = 8 << 20
+
+
+def local_path(path: str) -> str:
+    return re.sub(r"/+", "/", re.sub(r"^file:(//)?(?=/)", "", path))
+
+
+def is_local(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one of the file system of the machine."""
+    home = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path.startswith("file:/") or (path.startswith("/") and home.startswith("file:"))
+
+
+def are_mounted(spark: SparkSession, folders: Sequence[str]) -> bool:
+    """Whether the paths are plain folders of that file system."""
+    return all(
+        is_local(spark, path)
+        and not re.search(r"[*?\[\]{}\\]", path)
+        and os.path.isdir(local_path(path))
+        for path in folders
+    )
+
+
+def is_hidden(name: str) -> bool:
+    """The names that Spark's readers leave out."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def entries(folder: str, recursive: bool) -> Iterator[os.DirEntry]:
+    """The files of a folder, one by one."""
+    folders = [folder]
+    while folders:
+        with os.scandir(folders.pop()) as found:
+            for entry in found:
+                if is_hidden(entry.name):
+                    continue
+                if not entry.is_dir():
+                    yield entry
+                elif recursive:
+                    folders.append(entry.path)
+
+
+def are_crowded(folders: Sequence[str], recursive: bool) -> bool:
+    names = (entry for path in folders for entry in entries(local_path(path), recursive))
+    return next(islice(names, MOST_LISTED, None), None) is not None
+
+
+def scan_mounted(spark: SparkSession, paths: Sequence[str], pattern: str, recursive: bool) -> DataFrame:
+    """The rows of Spark's reader. Every task goes through the names and keeps its share of them;
+    contents are read where the column is used, a few megabytes at a time."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    folders, fits = [local_path(path).rstrip("/") for path in paths], re.compile(fnmatch.translate(pattern))
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def chosen(share: int) -> Iterator[tuple[str, int, int]]:
+            for entry in (e for folder in folders for e in entries(folder, recursive)):
+                if zlib.crc32(os.fsencode(entry.path)) % tasks == share and fits.match(entry.name):
+                    about = entry.stat()
+                    if about.st_size:  # Spark's reader gives no row for an empty file
+                        yield "file:" + entry.path, about.st_mtime_ns // 1_000_000, about.st_size
+
+        for share in (int(n) for pdf in frames for n in pdf["id"]):
+            rows = chosen(share)
+            while some := list(islice(rows, 1000)):
+                yield pd.DataFrame(some, columns=["path", "modified", "length"])
+
+    @F.pandas_udf(BinaryType())
+    def read(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held, size = [], 0
+        for path in (path for series in names for path in series):
+            with open(path.removeprefix("file:"), "rb") as file:
+                held.append(file.read())
+            size += len(held[-1])
+            if size > READ_BYTES:
+                yield pd.Series(held, dtype=object)
+                held, size = [], 0
+        if held:
+            yield pd.Series(held, dtype=object)
+
+    rows = spark.range(0, tasks, 1, tasks).mapInPandas(listed, "path string, modified bigint, length bigint")
+    return rows.select(
+        "path", F.timestamp_millis("modified").alias("modificationTime"), "length", read("path").alias("content")
+    )
+
+
 def decode_files(files: DataFrame, encoding: Column | str = "UTF-8") -> DataFrame:
     """Adds ``text`` with LF line ends, ``status`` and ``message``.
 
@@ -205,10 +314,17 @@ class NamedFiles(DataSource):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """The folder of a task's attempt, and the paths of its files below it."""
+    """The folder of a task's attempt. What is in it the driver reads from the folder, so that
+    the names of all files are never in one list."""
 
     folder: str
-    paths: list[str]
+
+
+def staged_files(folder: str) -> Iterator[tuple[str, str]]:
+    """Folder below the attempt's folder, and name, of every file that an attempt has written."""
+    for place, _, names in os.walk(folder):
+        for name in names:
+            yield os.path.relpath(place, folder), name
 
 
 class NamedFilesWriter(DataSourceWriter):
@@ -216,25 +332,29 @@ class NamedFilesWriter(DataSourceWriter):
         self.root = re.sub(r"^file:(//)?(?=/)", "", root)
         self.hidden = os.path.join(self.root, f"._named_files-{uuid.uuid4().hex}")
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def attempt(self) -> str:
         from pyspark import TaskContext
 
-        folder = os.path.join(self.hidden, str(TaskContext.get().taskAttemptId()))
-        paths = []
+        return os.path.join(self.hidden, str(TaskContext.get().taskAttemptId()))
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        folder = self.attempt()
         for row in iterator:
             target = os.path.join(folder, row.path)
             os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "wb") as out:
+            with open(target, "xb") as out:  # a path twice in a task is an error
                 out.write(row.content)
-            paths.append(row.path)
-        return Staged(folder, paths)
+        return Staged(folder)
 
     def commit(self, messages: list) -> None:
         for message in messages:
-            for path in message.paths if message else ():
-                target = os.path.join(self.root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                os.replace(os.path.join(message.folder, path), target)
+            made = None
+            for place, name in staged_files(message.folder) if message else ():
+                target = os.path.normpath(os.path.join(self.root, place))
+                if target != made:
+                    os.makedirs(target, exist_ok=True)
+                    made = target
+                os.replace(os.path.join(message.folder, place, name), os.path.join(target, name))
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
