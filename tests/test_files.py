@@ -185,3 +185,29 @@ def test_a_task_tells_the_driver_its_folder_and_no_names(spark, tmp_path):
     fs.write_named_files(rows.repartition(4), str(tmp_path))
     assert sorted(os.listdir(tmp_path)) == ["0", "1", "2"]
     assert sum(len(os.listdir(tmp_path / folder)) for folder in "012") == 50
+
+
+def test_parts_of_a_mounted_folder_replace_old_ones(spark, tmp_path):
+    def write(rows):
+        fs.write_text_parts(spark.createDataFrame(rows, "output string, part bigint, text string"), str(tmp_path))
+
+    def read(name):
+        folder = tmp_path / f"output={name}"
+        return [(folder / p).read_text() for p in sorted(os.listdir(folder)) if p.startswith("part-")]
+
+    write([("a b%.srt", 0, "old\n\n"), ("keep.srt", 0, "kept\n\n")])
+    write([("a b%.srt", n, f"{n}\n\n") for n in range(40)])
+    assert "".join(read("a b%25.srt")) == "".join(f"{n}\n\n" for n in range(40))
+    assert read("keep.srt") == ["kept\n\n"]
+    assert not [name for _, _, names in os.walk(tmp_path) for name in names if name.endswith(".crc")]
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    spark.conf.set(fs.LISTING_TASKS, "9999")
+    (tmp_path / "a.srt").write_text("x")
+    assert fs.scan_files(spark, str(tmp_path)).count() == 1
+    assert int(spark.conf.get(fs.LISTING_TASKS)) == 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(fs.LISTING_TASKS, "3")
+    fs.few_listing_tasks(spark)
+    assert spark.conf.get(fs.LISTING_TASKS) == "3"
+    spark.conf.unset(fs.LISTING_TASKS)

@@ -10,7 +10,7 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import islice
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -361,6 +361,59 @@ class NamedFilesWriter(DataSourceWriter):
         shutil.rmtree(self.hidden, ignore_errors=True)
 
 
+class NamedParts(DataSource):
+    """``df.write.format("named_parts")``: lines ``(folder, value)`` in text files of a folder each.
+
+    Every task writes one part into each folder that it has lines of; parts are named by the
+    number of the task. A folder that is written replaces an old one, when all tasks are done. Like
+    ``named_files``, for a mounted folder.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_parts"
+
+    def schema(self) -> StructType:
+        return StructType([StructField("folder", StringType()), StructField("value", StringType())])
+
+    def writer(self, schema: StructType, overwrite: bool) -> "NamedPartsWriter":
+        return NamedPartsWriter(self.options["path"])
+
+
+class NamedPartsWriter(NamedFilesWriter):
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        folder = self.attempt()
+        part = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4()}.c000.txt"
+        for name, rows in groupby(iterator, lambda row: row.folder):
+            place = os.path.join(folder, name)
+            os.makedirs(place, exist_ok=True)
+            with open(os.path.join(place, part), "ab") as out:
+                for row in rows:
+                    out.write((row.value or "").encode() + b"\n")
+        return Staged(folder)
+
+    def commit(self, messages: list) -> None:
+        attempts = [message.folder for message in messages if message and os.path.isdir(message.folder)]
+        for folder in attempts:
+            for name in os.listdir(folder):
+                if os.path.lexists(os.path.join(self.root, name)):
+                    shutil.rmtree(os.path.join(self.root, name))
+        for folder in attempts:
+            for name in os.listdir(folder):
+                target = os.path.join(self.root, name)
+                if not os.path.lexists(target):
+                    os.rename(os.path.join(folder, name), target)
+                    continue
+                for part in os.listdir(os.path.join(folder, name)):
+                    os.replace(os.path.join(folder, name, part), os.path.join(target, part))
+        os.makedirs(self.root, exist_ok=True)
+        with open(os.path.join(self.root, "_SUCCESS"), "wb"):
+            pass
+        self.abort(messages)
+
+
 def check_mounted(directory: str) -> None:
     """Refuses a directory that can be no mounted folder, before any work is done."""
     scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", directory)
@@ -401,20 +454,29 @@ def relative_folder(path: Column, roots: Sequence[str]) -> Column:
 
 
 def write_text_parts(parts: DataFrame, directory: str, name: str = "output") -> None:
-    """Writes ``(name, part, text)`` rows with Spark's own text sink, for any file system.
+    """Writes ``(name, part, text)`` rows as lines of text, for any file system.
 
     Every output file becomes a directory ``output=<name>`` whose part files, read in
     order of their names, are the text. Nothing is held whole: parts of one file may be
     written by several tasks. Writing a name again replaces its directory and no other.
+
+    Spark's own text sink pays several calls of the file system for each directory, many of
+    them in the driver, one after another; a mounted folder is written by ``NamedParts``.
     """
+    spark = parts.sparkSession
     ordered = parts.select(
         F.col(name).alias("output"), "part", F.regexp_replace("text", r"\n\z", "").alias("value")
     )
     # the names of part files follow the order of ranges, so that they give the order of parts
+    ordered = ordered.repartitionByRange("output", "part").sortWithinPartitions("output", "part")
+    if is_local(spark, directory):
+        spark.dataSource.register(NamedParts)
+        unnamed = F.coalesce("output", F.lit("")) == ""
+        folder = F.when(unnamed, "output=__HIVE_DEFAULT_PARTITION__").otherwise(part_folder(F.col("output")))
+        ordered.select(folder.alias("folder"), "value").write.format("named_parts").mode("append").save(directory)
+        return
     (
-        ordered.repartitionByRange("output", "part")
-        .sortWithinPartitions("output", "part")
-        .select("output", "value")
+        ordered.select("output", "value")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("output")

@@ -18,6 +18,7 @@ from timedtext.plans.translate import (
     write_ledger,
 )
 from timedtext.session import shared_dir
+from timedtext.sources.files import few_listing_tasks
 
 
 def stream_files(
@@ -77,6 +78,8 @@ def translate_stream(
         )
         write_ledger(updates, ledger_path, job, name, batch)
 
+    # the files of every batch are listed once more, each as a path of its own
+    few_listing_tasks(spark)
     return (
         stream_files(spark, input_dir, pattern, files_per_batch)
         .writeStream.foreachBatch(run)
