@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timedtext.functions.text import whole_div
+from timedtext.functions.text import let, whole_div
 from timedtext.operators.blocks import BLOCK_ROWS
 from timedtext.operators.sentences import is_placed, sentence_cues
 
@@ -52,7 +52,8 @@ def explode_alignment(sentence_rows: DataFrame) -> DataFrame:
 def aligned_ends() -> Column:
     """The cue ends that lie inside the sentence. They come first: ends ascend."""
     size = F.col("sen_end") - F.col("sen_start")
-    return F.when(F.col("kept"), F.filter("ends", lambda e: e["rel"] <= size)).otherwise(
+    inside = let(size, lambda most: F.filter("ends", lambda e: e["rel"] <= most))
+    return F.when(F.col("kept"), inside).otherwise(
         F.array().cast("array<struct<cue: bigint, rel: bigint>>")
     )
 

@@ -22,6 +22,17 @@ def block_of(position: Column, block_rows: int = BLOCK_ROWS, first: int = 1) ->
     return whole_div(position - first, block_rows)
 
 
+def split_files(rows: DataFrame, long: DataFrame, file_key: str = "file_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of the other files, and of the files in ``long``, which has unique keys.
+
+    ``long`` must name none but files of more than a block, and is broadcast: it has a row for
+    each of them, if any. Where it is empty, Spark drops the work on its files at run time.
+    """
+    marked = F.broadcast(long.select(F.col(file_key).alias("long_file")))
+    same = F.col(file_key).eqNullSafe(F.col("long_file"))
+    return rows.join(marked, same, "left_anti"), rows.join(marked, same, "left_semi")
+
+
 def carried_sums(
     rows: DataFrame,
     file_keys: Sequence[str],
