@@ -3,7 +3,7 @@
 import pytest
 from helpers import cue_table, plain_sentences, random_contents
 
-from timedtext.operators import project
+from timedtext.operators import compose, project
 from timedtext.operators import sentences as sen
 
 FILES = {f"f{n}": random_contents(n, n) for n in (1, 3, 4, 5, 6, 40)}
@@ -31,6 +31,10 @@ def test_one_shuffle_from_cues_to_pieces(spark, dense):
     assert shuffles(spark, project.join_pieces(pieces)) == 1
 
 
+def test_one_shuffle_from_cues_to_a_file(spark):
+    assert shuffles(spark, compose.compose_srt(cue_table(spark, FILES))) == 1
+
+
 @pytest.mark.parametrize("dense", [True, False])
 def test_short_and_long_files_together(spark, dense):
     cues = cue_table(spark, FILES)
@@ -41,3 +45,17 @@ def test_short_and_long_files_together(spark, dense):
         found.setdefault(row.file_id, []).append((row.sen, row.sentence))
     for name, contents in FILES.items():
         assert [s for _, s in sorted(found.get(name, []))] == plain_sentences(contents), name
+
+
+def test_parts_of_short_and_long_files(spark):
+    files = {name: [(at // 2, at + 9, c) for at, c in enumerate(cues)] for name, cues in FILES.items()}
+    cues = cue_table(spark, files)
+    # a cue without a file is in a text of its own
+    cues = cues.unionByName(cues.where("file_id = 'f40'").selectExpr("null AS file_id", *cues.columns[1:]))
+    texts = {r.file_id: r.text for r in compose.compose_srt(cues, part_cues=5).collect()}
+    whole = {r.file_id: r.text for r in compose.compose_srt(cues).collect()}
+    assert texts == whole and texts[None] == texts["f40"]
+    parts = compose.compose_parts(cues, part_cues=5).where("file_id = 'f40'").orderBy("part").collect()
+    assert len(parts) > 1 and "".join(p.text for p in parts) == texts["f40"]
+    written = sum(bool(c.strip()) for _, _, c in files["f40"])
+    assert texts["f40"].count(" --> ") == written

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timedtext import schemas
 from timedtext.functions.text import format_time, is_blank, legal_content, whole_div
-from timedtext.operators.blocks import carried_sums
+from timedtext.operators.blocks import carried_sums, split_files
 from timedtext.operators.sentences import ordered_text
 
 SLICE_MS = 3_600_000
@@ -80,16 +80,8 @@ def compose_parts(
     cues: DataFrame, part_cues: int = PART_CUES, slice_ms: int = SLICE_MS
 ) -> DataFrame:
     """SRT text in parts of a limited number of cues: ``(file_id, part, text)``."""
-    return (
-        number_by_time(cues, slice_ms)
-        .select(
-            "file_id",
-            whole_div(F.col("number") - 1, part_cues).alias("part"),
-            F.struct("number", srt_block().alias("text")).alias("block"),
-        )
-        .groupBy("file_id", "part")
-        .agg(ordered_text(F.col("block"), "").alias("text"))
-    )
+    short, long = short_and_long(cues, part_cues, slice_ms)
+    return parts_of(short, part_cues).unionByName(parts_of(long, part_cues))
 
 
 def compose_srt(
@@ -97,10 +89,33 @@ def compose_srt(
 ) -> DataFrame:
     """SRT text of each file in one row: ``(file_id, text)``; write very large files from
     ``compose_parts``."""
+    short, long = short_and_long(cues, part_cues, slice_ms)
+    whole = parts_of(long, part_cues).groupBy("file_id").agg(
+        ordered_text(F.struct("part", "text"), "").alias("text")
+    )
+    return parts_of(short, part_cues).select("file_id", "text").unionByName(whole)
+
+
+def short_and_long(cues: DataFrame, part_cues: int, slice_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Numbered cues of files of one part, and of longer ones.
+
+    A short file is ranked as a whole, so that one shuffle does for its numbers and its text;
+    ``number_by_time`` shuffles the text for every step."""
+    counts = cues.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") > part_cues)
+    short, long = split_files(cues, counts)
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy("start_ms", "end_ms", "cue"))
+    return short.where(is_written()).withColumn("number", rank.cast("bigint")), number_by_time(long, slice_ms)
+
+
+def parts_of(numbered: DataFrame, part_cues: int) -> DataFrame:
     return (
-        compose_parts(cues, part_cues, slice_ms)
-        .groupBy("file_id")
-        .agg(ordered_text(F.struct("part", "text"), "").alias("text"))
+        numbered.select(
+            "file_id",
+            whole_div(F.col("number") - 1, part_cues).alias("part"),
+            F.struct("number", srt_block().alias("text")).alias("block"),
+        )
+        .groupBy("file_id", "part")
+        .agg(ordered_text(F.col("block"), "").alias("text"))
     )
 
 
