@@ -18,7 +18,11 @@ from timedtext.plans.translate import (
     write_ledger,
 )
 from timedtext.session import shared_dir
-from timedtext.sources.files import few_listing_tasks
+from timedtext.sources.files import few_listing_tasks, scan_files
+
+# A run has so many batches at most, unless these would be smaller than the least size.
+MOST_BATCHES = 4
+LEAST_FILES = 10_000
 
 
 def stream_files(
@@ -35,6 +39,15 @@ def stream_files(
     )
 
 
+def batch_size(spark: SparkSession, input_dir: str, pattern: str = "*.srt") -> int:
+    """How many files a batch takes: a share of those in the directory.
+
+    Every batch reads the memory, the ledger and the claims whole, so with batches of a fixed
+    size these reads would grow with the square of the files."""
+    n = scan_files(spark, input_dir, pattern).select("path").count()
+    return max(LEAST_FILES, -(-n // MOST_BATCHES))
+
+
 def run_name(spark: SparkSession, path: str) -> str:
     """A name that is made once and stored at a path."""
     try:
@@ -55,7 +68,7 @@ def translate_stream(
     ledger_path: str,
     checkpoint: str | None = None,
     pattern: str = "*.srt",
-    files_per_batch: int = 10_000,
+    files_per_batch: int | None = None,
     hook: Hook | None = None,
     learned_path: str | None = None,
 ) -> StreamingQuery:
@@ -63,7 +76,8 @@ def translate_stream(
 
     The stream checkpoint remembers finished files. A batch that is run again after a
     failure writes the same output files and replaces its own ledger rows: the run's name is
-    kept in the checkpoint, so a new checkpoint is a new run.
+    kept in the checkpoint, so a new checkpoint is a new run. ``files_per_batch`` is
+    ``batch_size`` where it is not given.
     """
     checkpoint = checkpoint or (
         f"{shared_dir(spark)}/stream-{job.src_lang}-{job.tgt_lang}"
@@ -80,8 +94,9 @@ def translate_stream(
 
     # the files of every batch are listed once more, each as a path of its own
     few_listing_tasks(spark)
+    size = files_per_batch or batch_size(spark, input_dir, pattern)
     return (
-        stream_files(spark, input_dir, pattern, files_per_batch)
+        stream_files(spark, input_dir, pattern, size)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
