@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timedtext.functions import fixed
@@ -22,7 +22,6 @@ from timedtext.operators.blocks import (
     carried_sums,
     dense_positions,
     running_sum,
-    split_files,
 )
 
 
@@ -122,7 +121,8 @@ def fragments(
     if dense:
         cues = cues.withColumn("place", F.col("cue"))
     else:
-        cues = dense_positions(cues.where(is_placed()), "place", place_order(cues), block_rows=block_rows)
+        order = ["cue", *(c for c in ("start_ms", "end_ms") if c in cues.columns), "content"]
+        cues = dense_positions(cues.where(is_placed()), "place", order, block_rows=block_rows)
     home = block_of(F.col("place"), block_rows)
     seen_by = block_of(F.col("place") + look, block_rows)
     rows = cues.select(
@@ -136,7 +136,15 @@ def fragments(
         ).alias("block"),
     ).where("file_id IS NOT NULL AND block IS NOT NULL")
     in_block = Window.partitionBy("file_id", "block")
-    context = context_of(in_block.orderBy("place"))
+    tail = F.right("piece", F.lit(look))
+    before = F.concat(
+        *[
+            F.coalesce(F.lag(tail, n).over(in_block.orderBy("place")), F.lit(""))
+            for n in range(look, 0, -1)
+        ]
+    )
+    # Only the kind of the characters matters here, and no boundary may lie in them.
+    context = F.regexp_replace(F.right(before, F.lit(look)), fixed.SPACE, "-")
     whole_block = in_block.orderBy("place").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
@@ -164,62 +172,16 @@ def fragments(
         {"chars": F.col("size"), "closed": (F.size("parts") - 1).cast("bigint")},
         consecutive=True,
     )
-    pieces = cut_pieces(cut, (*keep, "block"))
-
-    closes = F.col("closes").cast("bigint")
-    size = F.length("text").cast("bigint") + closes
-    running = in_block.orderBy("place", "frag").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return (
-        pieces.select(
-            "*", F.sum(size).over(running).alias("chars"), F.sum(closes).over(running).alias("closed")
-        )
-        .join(carried.drop(*keep), ["file_id", "block"], "left")
-        .select(
-            "file_id",
-            *keep,
-            (
-                F.col("closed") + F.coalesce("closed_before", F.lit(0)) - closes + 1
-            ).alias("sen"),
-            "cue",
-            "frag",
-            "text",
-            "closes",
-            "ends_cue",
-            (F.col("chars") + F.coalesce("chars_before", F.lit(0))).alias("frag_end"),
-        )
-    )
-
-
-def place_order(cues: DataFrame) -> list[str]:
-    """What orders the cues of a file whose numbers may repeat."""
-    return ["cue", *(c for c in ("start_ms", "end_ms") if c in cues.columns), "content"]
-
-
-def context_of(by_place: WindowSpec) -> Column:
-    """The kind of the characters before a ``piece`` that a boundary looks at.
-
-    Only their kind matters, and no boundary may lie in them."""
-    look = fixed.BOUNDARY_LOOKBACK
-    tail = F.right("piece", F.lit(look))
-    before = F.concat(
-        *[F.coalesce(F.lag(tail, n).over(by_place), F.lit("")) for n in range(look, 0, -1)]
-    )
-    return F.regexp_replace(F.right(before, F.lit(look)), fixed.SPACE, "-")
-
-
-def cut_pieces(cut: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per fragment: ``(file_id, *keep, cue, place, frag, text, closes, ends_cue)``."""
     # A boundary at the very end of the cue leaves an empty part, which says nothing.
     ends_closed = (F.size("parts") > 1) & (F.element_at("parts", -1) == "")
     used = F.when(ends_closed, F.size("parts") - 1).otherwise(F.size("parts"))
-    return (
+    pieces = (
         cut.withColumn("n_parts", F.size("parts"))
         .withColumn("used", used)
         .select(
             "file_id",
             *keep,
+            "block",
             "cue",
             "place",
             "skip",
@@ -230,6 +192,7 @@ def cut_pieces(cut: DataFrame, keep: Sequence[str]) -> DataFrame:
         .select(
             "file_id",
             *keep,
+            "block",
             "cue",
             "place",
             "frag",
@@ -241,59 +204,32 @@ def cut_pieces(cut: DataFrame, keep: Sequence[str]) -> DataFrame:
         )
     )
 
-
-def short_fragments(
-    cues: DataFrame, profile: str = "v1", keep: Sequence[str] = (), dense: bool = False
-) -> DataFrame:
-    """``fragments`` of files of one block: all windows are over the file, so that one shuffle does
-    for them and for any grouping inside the file that follows."""
-    in_file = Window.partitionBy("file_id")
-    if dense:
-        cues = cues.withColumn("place", F.col("cue"))
-    else:
-        rank = F.row_number().over(in_file.orderBy(*place_order(cues))).cast("bigint")
-        cues = cues.where(is_placed()).withColumn("place", rank)
-    rows = cues.select(
-        "file_id",
-        *keep,
-        "cue",
-        "place",
-        F.concat(flatten_lines(F.coalesce("content", F.lit(""))), F.lit(" ")).alias("piece"),
-    ).where("file_id IS NOT NULL AND place IS NOT NULL")
-    cut = rows.withColumn("context", context_of(in_file.orderBy("place"))).select(
-        "file_id",
-        *keep,
-        "cue",
-        "place",
-        F.length("context").alias("skip"),
-        split_at_boundaries(F.concat("context", "piece"), profile).alias("parts"),
-    )
     closes = F.col("closes").cast("bigint")
     size = F.length("text").cast("bigint") + closes
-    running = in_file.orderBy("place", "frag").rowsBetween(
+    running = in_block.orderBy("place", "frag").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return cut_pieces(cut, keep).select(
-        "file_id",
-        *keep,
-        (F.sum(closes).over(running) - closes + 1).alias("sen"),
-        "cue",
-        "frag",
-        "text",
-        "closes",
-        "ends_cue",
-        F.sum(size).over(running).alias("frag_end"),
+    return (
+        pieces.select(
+            "*", F.sum(size).over(running).alias("chars"), F.sum(closes).over(running).alias("closed")
+        )
+        .join(carried.drop(*keep), ["file_id", "block"], "left")
+        .select(
+            "file_id",
+            *keep,
+            (
+                F.col("closed") + F.coalesce("closed_before", F.lit(0)) - closes + 1
+            ).alias("sen"),
+            "cue",
+            "frag",
+            "text",
+            "closes",
+            "ends_cue",
+            (F.col("chars") + F.coalesce("chars_before", F.lit(0))).alias("frag_end"),
+        )
     )
 
 
-def long_files(cues: DataFrame, block_rows: int, dense: bool) -> DataFrame:
-    """The files that have more than one block; reduced to a row for each before any shuffle."""
-    if dense:
-        return cues.where(block_of(F.col("cue"), block_rows) != 0).select("file_id").distinct()
-    counts = cues.where(is_placed()).groupBy("file_id").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > block_rows).select("file_id")
-
-
 def sentence_cues(
     cues: DataFrame,
     profile: str = "v1",
@@ -309,19 +245,8 @@ def sentence_cues(
     nothing is left it is no sentence (``kept`` is false), but the cues that end in it
     are still there. A sentence and the cues in it fit in one row, for a sentence is one
     string and every cue in it has at least one character of it. ``dense``: as in ``fragments``.
-
-    Files of one block, nearly all, are shuffled once, by file; only those of more blocks
-    take the way of ``fragments``, by block, by sentence, and with what earlier blocks add.
     """
-    block_rows = max(block_rows, fixed.BOUNDARY_LOOKBACK)
-    short, long = split_files(cues, long_files(cues, block_rows, dense))
-    return whole_sentences(short_fragments(short, profile, keep, dense), profile, keep).unionByName(
-        whole_sentences(fragments(long, profile, keep, block_rows, dense), profile, keep)
-    )
-
-
-def whole_sentences(rows: DataFrame, profile: str, keep: Sequence[str]) -> DataFrame:
-    """Sentences from their fragments."""
+    rows = fragments(cues, profile, keep, block_rows, dense)
     part = F.struct("frag_end", "cue", "text", "ends_cue")
     grouped = rows.groupBy("file_id", *keep, "sen").agg(
         F.sort_array(F.collect_list(part)).alias("parts"),
