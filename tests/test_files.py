@@ -211,3 +211,20 @@ def test_listing_takes_few_tasks(spark, tmp_path):
     fs.few_listing_tasks(spark)
     assert spark.conf.get(fs.LISTING_TASKS) == "3"
     spark.conf.unset(fs.LISTING_TASKS)
+
+
+def test_parsing_is_one_expression(spark, tmp_path):
+    """A filter on the parsed text did the parsing again for each of its terms; and the pattern of
+    a cue walked through its content."""
+    (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nx\n")
+    frame = fs.parse_cues(fs.decode_files(fs.scan_files(spark, str(tmp_path))))
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert text.count(r"split(rtrim(regexp_replace(") == 1
+    assert r"[\s\S]" not in text
+    head = "7\n0:00:01,0 --> 0:00:02,0"
+    bodies = ["", "\n", " note", " note\n\n\n", "\nx\n\n", "\n\n\nx\x01y\n z \n\n\n", "\t \n \n"]
+    files = spark.createDataFrame([(n, head + b, "success") for n, b in enumerate(bodies)], "path int, text string, status string")
+    rows = fs.parse_cues(files.unionByName(spark.createDataFrame([(9, "none", "success"), (10, None, "error")], files.schema)))
+    assert [(r.file_id, r.proprietary, r.content) for r in rows.orderBy("file_id").collect()] == [
+        (0, "", ""), (1, "", ""), (2, "note", ""), (3, "note", ""), (4, "", "x"), (5, "", "\n\nx\x01y\n z "), (6, "", " ")
+    ]

@@ -26,11 +26,10 @@ from timedtext.functions.text import as_col, is_blank, let, normalize_newlines
 # Where a cue begins, and the fields of one cue.
 TIME = r"\d+:\d+:\d+[,.:]\d+"
 CUE_BREAK = rf"\n+(?=-?\d+\n{TIME} *--> *{TIME})"
-CUE = (
+CUE_HEAD = (
     r"\A(-?\d+)\n"
     r"(\d+):(\d+):(\d+)[,.:](\d+) *--> *"
-    r"(\d+):(\d+):(\d+)[,.:](\d+)"
-    r"[ \t]*([^\n]*)(?:\n([\s\S]*?))?\n*\z"
+    r"(\d+):(\d+):(\d+)[,.:](\d+)[ \t]*"
 )
 # --- end of fixed values ----------------------------------------------------
 
@@ -178,8 +177,9 @@ def cue_chunks(text: Column) -> Column:
     )
 
 
-# All fields of a cue in one pass: nine numbers, then the note and the content as lines.
-FIELDS = "\x01".join(f"${n}" for n in range(1, 10)) + "\x01$10\n$11"
+# The nine numbers of a cue, each with a mark behind it; the note and the content follow as
+# lines, which no pattern needs to walk through.
+FIELDS = "".join(f"${n}\x01" for n in range(1, 10))
 
 
 def parsed_chunks(text: Column) -> Column:
@@ -206,8 +206,9 @@ def parsed_chunks(text: Column) -> Column:
         )
 
     def of_chunk(chunk: Column) -> Column:
-        fields = F.split(F.regexp_replace(chunk, CUE, FIELDS), "\x01", 10)
-        return let(F.when(F.rlike(chunk, F.lit(CUE)), fields).otherwise(F.array(chunk)), of_fields)
+        marked = F.rtrim(F.regexp_replace(chunk, CUE_HEAD, FIELDS), F.lit("\n"))
+        fields = F.split(marked, "\x01", 10)
+        return let(F.when(F.rlike(chunk, F.lit(CUE_HEAD)), fields).otherwise(F.array(chunk)), of_fields)
 
     return F.transform(cue_chunks(text), of_chunk)
 
@@ -255,13 +256,14 @@ def parse_cues(
     file. A file that cannot be parsed gives no rows (see ``parse_status``).
 
     Cues need no blank line between them; ``.`` and ``:`` pass for the decimal comma.
-    Row-local: no shuffle.
+    Row-local: no shuffle. A filter on the parsed text would be pushed below the parsing and do it
+    again for each of its terms, so unusable files are emptied inside one expression.
     """
+    usable = let(parsed_chunks(F.col("text")), lambda parsed: F.when(parse_problem(parsed).isNull(), parsed))
     rows = decoded.select(
-        as_col(file_id).alias("file_id"), *keep, parsed_chunks(F.col("text")).alias("parsed")
+        as_col(file_id).alias("file_id"), *keep, F.posexplode_outer(usable).alias("pos", "c")
     )
-    rows = rows.where(F.col("parsed").isNotNull() & parse_problem(F.col("parsed")).isNull())
-    return rows.select("file_id", *keep, F.posexplode("parsed").alias("pos", "c")).select(
+    return rows.where("pos IS NOT NULL").select(
         "file_id", (F.col("pos") + 1).cast("bigint").alias("cue"), *cue_fields(F.col("c")), *keep
     )
 
