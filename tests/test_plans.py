@@ -111,3 +111,17 @@ def test_lines_are_read_once(no_broadcast, name):
         no_broadcast.conf.set(key, "true")
     assert len(re.findall(r"ReadSchema: (\S+)", text)) == 1
     assert "ReusedExchange" in text
+
+
+def test_cues_of_a_translation_are_shuffled_once(no_broadcast):
+    """Sentences and the sums of full blocks read one shuffle of the cues, pieces meet their cues in
+    the shuffle that puts them together, and rows are sorted by text before language."""
+    key = "spark.sql.adaptive.enabled"
+    no_broadcast.conf.set(key, "false")
+    try:
+        text = plan(no_broadcast, QUERIES["translate_split_lossless"](no_broadcast, SF_DIR))
+    finally:
+        no_broadcast.conf.set(key, "true")
+    assert "ReusedExchange" in text
+    assert not re.findall(r"hashpartitioning\(file_id#\d+L?, cue#\d+L?, src_lang", text)
+    assert not re.findall(r"hashpartitioning\(src_lang", text)

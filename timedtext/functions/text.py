@@ -31,8 +31,11 @@ def normalize_newlines(text: Column | str) -> Column:
 
 
 def is_blank(text: Column | str) -> Column:
-    """True where there is nothing but white space."""
-    return ~F.rlike(as_col(text), F.lit(fixed.NON_SPACE))
+    """True where there is nothing but white space.
+
+    Nearly every text begins with a printable ASCII character, which needs no pattern."""
+    first = F.ascii(as_col(text))
+    return ~(((first > 32) & (first < 127)) | F.rlike(as_col(text), F.lit(fixed.NON_SPACE)))
 
 
 def rstrip(text: Column | str) -> Column:
@@ -56,7 +59,7 @@ def split_at_boundaries(text: Column, profile: str = "v1") -> Column:
 
 def split_sentences(text: Column | str, profile: str = "v1") -> Column:
     """Array of the sentences of one text; profile v0 keeps blank parts."""
-    parts = split_at_boundaries(as_col(text), profile)
+    parts = let(as_col(text), lambda whole: split_at_boundaries(whole, profile))
     if profile == "v0":
         return parts
     return F.filter(parts, lambda s: ~is_blank(s))

@@ -11,6 +11,8 @@ from timedtext.operators.runs import compact, read_runs, write_run
 
 MOST_BATCHES = 32
 KEYS = ["src_lang", "tgt_lang", "text"]
+# Rows are sorted by their first key's first bytes where these differ: languages hardly do.
+SORTED_KEYS = ["text", "src_lang", "tgt_lang"]
 
 
 def build_memory(pairs: DataFrame) -> DataFrame:
@@ -19,8 +21,11 @@ def build_memory(pairs: DataFrame) -> DataFrame:
     Write it once and hand the written table to the jobs: they rely on unique keys, and
     a plain scan on that side lets Spark split a hot text at run time.
     """
-    return pairs.where(~is_blank("text")).groupBy(*KEYS).agg(
-        F.min("translated").alias("translated")
+    return (
+        pairs.where(~is_blank("text"))
+        .groupBy(*SORTED_KEYS)
+        .agg(F.min("translated").alias("translated"))
+        .select(*KEYS, "translated")
     )
 
 

@@ -104,13 +104,17 @@ def join_pieces(
 ) -> DataFrame:
     """``(file_id, cue, translated, *flags)``: the pieces of each cue in the order of
     sentences, with spaces between them, or with nothing where ``tight`` holds. A flag is
-    true where it is for any piece."""
+    true where it is for any piece.
+
+    Pieces come from the lookup by text, so those of a cue are apart and nothing is won by
+    putting them together before the shuffle; the shuffle is the one that a join by cue needs."""
     tight = F.lit(tight) if isinstance(tight, bool) else tight
     ordered = F.sort_array(F.collect_list(F.struct("sen", "piece")))
     texts = F.transform(ordered, lambda p: p["piece"])
     translated = F.when(tight, F.array_join(texts, "")).otherwise(F.array_join(texts, " "))
     return (
-        pieces.groupBy("file_id", "cue", *keep)
+        pieces.repartition("file_id", "cue")
+        .groupBy("file_id", "cue", *keep)
         .agg(translated.alias("translated"), *(F.bool_or(f).alias(f) for f in flags))
         .select("file_id", "cue", "translated", *flags)
     )

@@ -118,6 +118,7 @@ def fragments(
     """
     look = fixed.BOUNDARY_LOOKBACK
     block_rows = max(block_rows, look)
+    # A dense number is the place: one column, so that the sums below read the same shuffle.
     if dense:
         cues = cues.withColumn("place", F.col("cue"))
     else:
@@ -125,10 +126,11 @@ def fragments(
         cues = dense_positions(cues.where(is_placed()), "place", order, block_rows=block_rows)
     home = block_of(F.col("place"), block_rows)
     seen_by = block_of(F.col("place") + look, block_rows)
+    number = () if dense else ("cue",)
     rows = cues.select(
         "file_id",
         *keep,
-        "cue",
+        *number,
         "place",
         F.concat(flatten_lines(F.coalesce("content", F.lit(""))), F.lit(" ")).alias("piece"),
         F.explode(
@@ -156,7 +158,7 @@ def fragments(
     cut = cut.select(
         "file_id",
         *keep,
-        "cue",
+        *number,
         "place",
         "block",
         "last_place",
@@ -182,7 +184,7 @@ def fragments(
             "file_id",
             *keep,
             "block",
-            "cue",
+            F.col("place" if dense else "cue").alias("cue"),
             "place",
             "skip",
             "n_parts",
@@ -251,6 +253,7 @@ def sentence_cues(
     grouped = rows.groupBy("file_id", *keep, "sen").agg(
         F.sort_array(F.collect_list(part)).alias("parts"),
         F.max("closes").alias("closed"),
+        F.max(~is_blank("text")).alias("inked"),
         F.min(F.col("frag_end") - F.length("text") - F.col("closes").cast("bigint")).alias(
             "sen_start"
         ),
@@ -261,7 +264,7 @@ def sentence_cues(
         kept = F.col("closed") | (F.length(raw) > 0)
     else:
         open_text = rstrip(raw)
-        kept = ~is_blank(raw)
+        kept = F.col("inked")
     return (
         grouped.withColumn("sentence", F.when(F.col("closed"), raw).otherwise(open_text))
         .withColumn("kept", kept)
