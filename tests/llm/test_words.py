@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from timedtext.llm import packing
@@ -48,3 +49,21 @@ def test_few_known_words(words, monkeypatch):
         text = " ".join(rng.choice(["the", "The", "of,", "été", "x1.", "word", "#%", "fog", "pier", "gull"]) for _ in range(9))
         assert few.ids(text).tolist() == words.ids(text).tolist()
         assert len(few) <= 5
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3000])
+def test_counted(size):
+    ids = np.random.default_rng(size).integers(0, 900, size).astype("<u4")
+    for got, expected in zip(packing.counted(ids), np.unique(ids, return_counts=True), strict=True):
+        assert got.tolist() == expected.tolist() and got.dtype == expected.dtype
+
+
+def test_latin_texts_in_lower_case_at_once(words):
+    """The start of a special token keeps its case, and so does a text with other letters."""
+    assert packing.is_latin("ÀÞß µ×÷ Straße") and packing.is_latin("") and not packing.is_latin("Ÿ") and not packing.is_latin("İK")
+    for text in ["ÀÉÎÕÜ ÞORN, Über-GRÖSSE. IT'S A.B.", "STRASSE ÿ ª º ² ¼", "İSTANBUL Ÿ ΣΑΣ K Å", "A <|startoftext|> B", "AB"]:
+        expected = words.tokenizer.encode(text, add_special_tokens=False).ids + [packing.END]
+        assert words.ids(text).tolist() == expected
+    fresh = packing.Words(packing.vocabulary_path())
+    fresh.ids("ÀÉÎÕÜ Straße STRASSE Iß")
+    assert set(fresh) == {"àéîõü", "straße", "strasse", "iß"}
