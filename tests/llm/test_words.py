@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from timedtext.llm import packing
@@ -67,3 +68,38 @@ def test_latin_texts_in_lower_case_at_once(words):
     fresh = packing.Words(packing.vocabulary_path())
     fresh.ids("ÀÉÎÕÜ Straße STRASSE Iß")
     assert set(fresh) == {"àéîõü", "straße", "strasse", "iß"}
+
+
+def batch_of(texts):
+    return pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+def test_many_texts_at_once(words, monkeypatch):
+    """Texts of a slice share their lookups; ids are those of the whole tokenizer, in order."""
+    rng = random.Random(7)
+    marks = [".", ",", "...", "?!", "'s", "-x", "%", "", "", "\u0301", "\t", "\u00a0", "<|endoftext|>"]
+    texts = [
+        rng.choice([" ", "  ", "\n"]).join(
+            "".join(rng.choice(letters() + ["1"]) for _ in range(rng.randrange(5))) + rng.choice(marks)
+            for _ in range(rng.randrange(30))
+        )
+        for _ in range(300)
+    ]
+    texts += ["", " ", "é.", "Été, été.", "STRASSE ß; 日本.", "a" * 200 + "!", "x\x00. y"]
+    expected = [words.tokenizer.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
+    assert [ids.tolist() for ids in packing.Words(packing.vocabulary_path()).ids_of(texts)] == expected
+    monkeypatch.setattr(packing, "SLICE_CHARS", 500)
+    batch = batch_of([*texts, None])
+    parts = list(packing.slices(iter([batch, batch.slice(0, 0)])))
+    assert len(parts) > 5
+    assert [i for ids, _ in parts for i in ids] == list(range(len(texts) + 1))
+    assert [t for _, part in parts for t in part] == [*texts, ""]
+
+
+def test_each_new_word_goes_to_the_merges_once(monkeypatch):
+    few = packing.Words(packing.vocabulary_path())
+    asked, merges = [], few.merges
+    few.merges = lambda word: asked.append(word) or merges(word)
+    monkeypatch.setattr(few, "plain", lambda text: pytest.fail(text) if text.strip(few.MARKS) else b"")
+    few.ids_of(["Fog, été. fog!", "FOG ÉTÉ, pier."])
+    assert sorted(asked) == sorted(["fog", "été".translate(few.spelling), "pier"])

@@ -27,6 +27,7 @@ or have none; each row is packed on its own. An empty table gives an empty resul
 from __future__ import annotations
 
 import bisect
+import codecs
 import heapq
 import math
 import re
@@ -35,10 +36,12 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +56,8 @@ KEY_TOKENS = 8
 CUT_SAMPLE = 100
 QUERY_TOKENS = 16
 K1, BETA = 1.2, 0.75
-KNOWN_WORDS = 450_000
+KNOWN_WORDS = 300_000
+SLICE_CHARS = 8_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -75,6 +79,10 @@ def is_latin(text: str) -> bool:
     return True
 
 
+def strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Words(dict):
     """Token ids of chunks between spaces, as bytes; white space parts tokens in this vocabulary.
 
@@ -83,11 +91,15 @@ class Words(dict):
     with the start of a special token takes the plain way. A chunk of Latin letters alone is one
     word for the vocabulary's rules, and its normal form is its lower case, so the library's
     merges are called on it without its Unicode and splitting steps, which take most of its time.
+    Of several texts each distinct chunk is looked up once, and its new words are learnt together.
     """
 
-    TAIL = re.compile(r"(?<=[0-9A-Za-z])[.,;:!?*%&$#|]+\Z")
+    MARKS = ".,;:!?*%&$#|"
     # Precomposed letters up to U+017F, without the one whose lower case is two characters.
-    LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+    LATIN = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+    LETTERS = re.compile(f"[{LATIN}]+")
+    TAIL = re.compile(rf"(?<=[0-9{LATIN}])[{MARKS}]+\Z")
+    ENDS_WORD = f"[0-9{LATIN}]$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -97,6 +109,8 @@ class Words(dict):
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = filter(self.LETTERS.fullmatch, map(chr, range(0x80, 0x180)))
         self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in letters}
+        byte_of = {b: c for letter, two in self.spelling.items() for b, c in zip(chr(letter).encode(), two, strict=True)}
+        self.byte_spelling = "".join(byte_of.get(b, chr(b)) for b in range(256))
         self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
@@ -126,21 +140,68 @@ class Words(dict):
         ids = self.older.pop(chunk, None)
         if ids is None:
             ids = self.found(chunk)
+        if len(chunk) < 64:
+            self.keep(chunk, ids)
+        return ids
+
+    def keep(self, chunk: str, ids: bytes) -> None:
         if len(self) >= KNOWN_WORDS:
             self.older = dict(self)
             self.clear()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+        self[chunk] = ids
+
+    def learn(self, chunks: list[str]) -> None:
+        """Keeps the ids of those of the chunks that are lower-case words of Latin letters."""
+        latin = self.LETTERS.fullmatch
+        new = [
+            c for c in chunks if c not in self and c not in self.older and c.islower() and latin(c) and len(c) < 64
+        ]
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            spelled = codecs.charmap_decode("\n".join(part).encode(), "strict", self.byte_spelling)[0]
+            tokens = list(map(self.merges, spelled.split("\n")))
+            ids = array("I", [t.id for word in tokens for t in word]).tobytes()
+            ends = [4 * n for n in accumulate(map(len, tokens), initial=0)]
+            for chunk, a, b in zip(part, ends, ends[1:], strict=False):
+                self.keep(chunk, ids[a:b])
+
+    def all_ids(self, chunks: pa.Array) -> pa.LargeListArray:
+        """Ids of distinct chunks, looked up as words and the marks behind them."""
+        bare = pc.utf8_rtrim(chunks, self.MARKS)
+        bare = pc.if_else(pc.match_substring_regex(bare, self.ENDS_WORD), bare, chunks)
+        marked = pc.not_equal(bare, chunks)
+        cuts = pc.utf8_length(bare.filter(marked)).to_pylist()
+        marks = pa.array([c[n:] for c, n in zip(strings(chunks.filter(marked)), cuts, strict=True)], pa.string())
+        words, marks = bare.dictionary_encode(), marks.dictionary_encode()
+        n, listed = len(words.dictionary), strings(words.dictionary)
+        self.learn(listed)
+        known = [*map(self.__getitem__, listed), *map(self.__getitem__, strings(marks.dictionary)), b""]
+        ends = np.cumsum([0, *map(len, known)]) // 4
+        table = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(known), "<u4"))
+        at = np.full((len(chunks), 2), len(table) - 1)
+        at[:, 0] = words.indices
+        at[marked.to_numpy(zero_copy_only=False), 1] = marks.indices.to_numpy() + n
+        pieces = table.take(pa.array(at.ravel()))
+        return pa.LargeListArray.from_arrays(pieces.offsets.to_numpy()[::2], pieces.values)
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            data = self.plain(text)
-        else:
-            if is_latin(text):
-                text = text.lower()
-            data = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-        return np.frombuffer(data + END_BYTES, "<u4")
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids and end token of each text."""
+        marked = {i: t for i, t in enumerate(texts) if "<|" in t}
+        spaced = [
+            "" if i in marked else (t.lower() if is_latin(t) else t).replace("\n", " ") for i, t in enumerate(texts)
+        ]
+        chunks = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        found = chunks.flatten().dictionary_encode()
+        lists = self.all_ids(found.dictionary).take(found.indices)
+        ends = lists.offsets.to_numpy()[chunks.offsets.to_numpy()[1:]]
+        ids = np.insert(lists.values.to_numpy(), ends, END)
+        out = np.split(ids, (ends + np.arange(1, len(texts) + 1))[:-1])
+        for i, t in marked.items():
+            out[i] = np.frombuffer(self.plain(t) + END_BYTES, "<u4")
+        return out
 
 
 def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +239,10 @@ def tokenized(path: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
-        for batch in batches:
+        for doc_ids, texts in slices(batches):
             rows: list[tuple] = []
             size = 0
-            for i in range(batch.num_rows):
-                doc_id = batch.column(0)[i].as_py()
-                ids = words.ids(batch.column(1)[i].as_py() or "")
+            for doc_id, ids in zip(doc_ids, words.ids_of(texts), strict=True):
                 n = len(ids)
                 for start in range(0, n - WINDOW + 1, WINDOW):
                     crc = zlib.crc32(ids[start : start + WINDOW].tobytes())
@@ -201,6 +260,18 @@ def tokenized(path: str) -> Callable:
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Document ids and texts, some ``SLICE_CHARS`` characters at a time."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        part = np.cumsum(lengths, dtype=np.int64) // SLICE_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                doc_ids, texts = (c.slice(a, b - a).to_pylist() for c in batch.columns)
+                yield doc_ids, [t or "" for t in texts]
+
+
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
