@@ -103,3 +103,12 @@ def test_each_new_word_goes_to_the_merges_once(monkeypatch):
     monkeypatch.setattr(few, "plain", lambda text: pytest.fail(text) if text.strip(few.MARKS) else b"")
     few.ids_of(["Fog, été. fog!", "FOG ÉTÉ, pier."])
     assert sorted(asked) == sorted(["fog", "été".translate(few.spelling), "pier"])
+
+
+def test_worker_keeps_no_words_after_a_task():
+    """The worker stays alive beside the tasks of later steps."""
+    run = packing.tokenized(packing.vocabulary_path())
+    rows = [row for out in run(iter([batch_of(["The fog, the pier.", None, "gull " * 5000])])) for row in out.to_pylist()]
+    assert [row["doc_tokens"] for row in rows if row["terms"]] == [7, 1, 5001]
+    table = packing.words_of(packing.vocabulary_path())
+    assert not table and not table.older

@@ -203,6 +203,10 @@ class Words(dict):
             out[i] = np.frombuffer(self.plain(t) + END_BYTES, "<u4")
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``np.unique`` with counts, without its overhead, which is most of its time for one document."""
@@ -215,7 +219,7 @@ def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def words_of(path: str) -> Words:
-    """One for all tasks of a Python worker."""
+    """The vocabulary is read once for all tasks of a Python worker."""
     return Words(path)
 
 
@@ -239,23 +243,28 @@ def tokenized(path: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
-        for doc_ids, texts in slices(batches):
-            rows: list[tuple] = []
-            size = 0
-            for doc_id, ids in zip(doc_ids, words.ids_of(texts), strict=True):
-                n = len(ids)
-                for start in range(0, n - WINDOW + 1, WINDOW):
-                    crc = zlib.crc32(ids[start : start + WINDOW].tobytes())
-                    rows.append((doc_id, start, WINDOW, crc, n, None, None))
-                tail = ids[n - n % WINDOW :]
-                terms = counted(ids)[0].tobytes()
-                rows.append((doc_id, n - n % WINDOW, len(tail), 0, n, tail.tobytes(), terms))
-                size += len(tail) * 4 + len(terms)
-                if size > 8 << 20:
+        try:
+            for doc_ids, texts in slices(batches):
+                rows: list[tuple] = []
+                size = 0
+                for doc_id, ids in zip(doc_ids, words.ids_of(texts), strict=True):
+                    n = len(ids)
+                    for start in range(0, n - WINDOW + 1, WINDOW):
+                        crc = zlib.crc32(ids[start : start + WINDOW].tobytes())
+                        rows.append((doc_id, start, WINDOW, crc, n, None, None))
+                    tail = ids[n - n % WINDOW :]
+                    terms = counted(ids)[0].tobytes()
+                    rows.append((doc_id, n - n % WINDOW, len(tail), 0, n, tail.tobytes(), terms))
+                    size += len(tail) * 4 + len(terms)
+                    if size > 8 << 20:
+                        yield as_batch(rows)
+                        rows, size = [], 0
+                if rows:
                     yield as_batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield as_batch(rows)
+        finally:
+            # the worker lives on, beside tasks of other steps
+            words.forget()
+            pa.default_memory_pool().release_unused()
 
     return run
 
