@@ -26,3 +26,25 @@ def test_batches_are_a_share_of_the_files(spark, tmp_path, monkeypatch):
     assert read_ledger(spark, ledger).count() == 18
     batches = [d for folder, dirs, _ in os.walk(ledger) for d in dirs if d.startswith("batch=")]
     assert len(batches) == 4
+
+
+def test_later_batches_find_the_sink(spark, tmp_path, monkeypatch):
+    """A sink is looked up in the active session, which from the second batch on was the caller's."""
+    session, pending = spark.newSession(), stream.pending_files
+    text = compose.compose_srt(cue_table(session, {"a": OVEN})).first().text
+    rows = session.createDataFrame([(f"f{n}.srt", text) for n in range(4)], "path string, content string")
+    write_named_files(rows, str(tmp_path / "in"))
+
+    def with_the_caller(*args):
+        known.sparkSession.createDataFrame([], "n int")
+        return pending(*args)
+
+    known = session.createDataFrame([], schemas.MEMORY)
+    monkeypatch.setattr(stream, "pending_files", with_the_caller)
+    job, ledger = Translation("en", "es", str(tmp_path / "out")), str(tmp_path / "ledger")
+    options = {"files_per_batch": 2, "hook": lambda text, src, tgt: text.upper()}
+    stream.translate_stream(
+        session, str(tmp_path / "in"), known, job, ledger, str(tmp_path / "stream"), **options
+    ).awaitTermination()
+    assert read_ledger(session, ledger).where("status = 'success'").count() == 4
+    assert len([name for name in os.listdir(tmp_path / "out") if name.startswith("output=")]) == 4

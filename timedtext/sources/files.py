@@ -423,10 +423,19 @@ def check_mounted(directory: str) -> None:
         raise ValueError(f"named files need a mounted folder, not {directory!r}")
 
 
+def register_sink(spark: SparkSession, sink: type[DataSource]) -> None:
+    """Makes a sink known for the write that follows.
+
+    Spark looks the name up in the active session, which is another one where a batch of a stream
+    has used the session of its caller: ``createDataFrame`` makes that active, as is done here."""
+    spark.dataSource.register(sink)
+    spark._jvm.SparkSession.setActiveSession(spark._jsparkSession)
+
+
 def write_named_files(files: DataFrame, directory: str) -> None:
     """Writes ``(path, content)`` rows as files of a shared directory."""
     check_mounted(directory)
-    files.sparkSession.dataSource.register(NamedFiles)
+    register_sink(files.sparkSession, NamedFiles)
     files.select("path", F.col("content").cast("binary").alias("content")).write.format(
         "named_files"
     ).mode("append").save(directory)
@@ -472,7 +481,7 @@ def write_text_parts(parts: DataFrame, directory: str, name: str = "output") ->
     # the names of part files follow the order of ranges, so that they give the order of parts
     ordered = ordered.repartitionByRange("output", "part").sortWithinPartitions("output", "part")
     if is_local(spark, directory):
-        spark.dataSource.register(NamedParts)
+        register_sink(spark, NamedParts)
         unnamed = F.coalesce("output", F.lit("")) == ""
         folder = F.when(unnamed, "output=__HIVE_DEFAULT_PARTITION__").otherwise(part_folder(F.col("output")))
         ordered.select(folder.alias("folder"), "value").write.format("named_parts").mode("append").save(directory)

@@ -85,7 +85,7 @@ def translate_stream(
     name = run_name(spark, f"{checkpoint.rstrip('/')}/run")
 
     def run(files: DataFrame, batch: int) -> None:
-        ledger = read_ledger(spark, ledger_path, without=(name, batch))
+        ledger = read_ledger(files.sparkSession, ledger_path, without=(name, batch))
         pending = pending_files(files, ledger, job.src_lang, job.tgt_lang)
         updates = translate_files(
             pending, memory, job, [input_dir], hook, learned_path, name, batch
