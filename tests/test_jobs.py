@@ -187,6 +187,41 @@ def test_outputs_that_meet_fail(spark, tmp_path):
         encode_corpus(spark, str(tmp_path / "in"), "hdfs://nn/out", ["cp1252"])
 
 
+def test_no_content_is_shuffled_for_what_is_refused(spark, tmp_path, monkeypatch):
+    """The conversions of all files met those that may not be written in a shuffle."""
+    from timedtext.plans import encode
+
+    written, write = [], encode.write_named_files
+    monkeypatch.setattr(encode, "write_named_files", lambda rows, folder: (written.append(rows), write(rows, folder)))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    for at, least in enumerate(["4k", "-1"]):
+        source, out = tmp_path / f"in{at}", tmp_path / f"out{at}"
+        noise = {f"n{i}.srt": os.urandom(2000).hex().encode() for i in range(8)}
+        odd = {"a.srt": "Café €".encode(), "b.srt": b"\xff", "a-utf-8.srt": b"two", "c.srt": b"y"}
+        write_files(source, odd | noise)
+        write_files(tmp_path / f"old{at}", {"c.srt": b"old"})
+        encode_corpus(spark, str(tmp_path / f"old{at}"), str(out), ["latin-1"], source="utf-8")
+        spark.conf.set(key, least)
+        try:
+            names = ["utf-8", "cp1252", "latin-1", "nope"]
+            rows = encode_corpus(spark, str(source), str(out), names, source="utf-8").collect()
+        finally:
+            spark.conf.set(key, before)
+        rows = {(r.path.rsplit("/", 1)[1], r.target): r for r in rows}
+        assert len(rows) == 4 * 12
+        assert {k for k, r in rows.items() if r.skipped} == {(n, "utf-8") for n in odd | noise}
+        bad = {(n, t) for n in ("a.srt", "a-utf-8.srt", "b.srt") for t in ("cp1252", "latin-1")}
+        bad |= {("c.srt", "latin-1")} | {(n, "nope") for n in odd | noise}
+        assert {k for k, r in rows.items() if not r.success} == bad
+        good = {r.output_path: n for (n, t), r in rows.items() if r.success and not r.skipped}
+        assert set(os.listdir(out)) == set(good) | {"c-latin-1.srt"}
+        assert (out / "c-latin-1.srt").read_bytes() == b"old"
+        assert all((out / path).read_bytes() == (odd | noise)[name] for path, name in good.items())
+    plan = written[1]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_ledger(spark):
     def rows(*values):
         filled = [(p, "en", tgt, s, None, None, 0.0, datetime.datetime(2024, 1, day)) for p, tgt, s, day in values]

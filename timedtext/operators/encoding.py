@@ -141,15 +141,14 @@ def transcode_fanout(
     skipped)``.
 
     ``targets`` is a list or an array column. Files are read and decoded once, before the
-    rows are multiplied. With ``skip_same`` a target equal to the source is a success
-    without content.
+    rows are multiplied; the rows of ``read_text`` are not read again. With ``skip_same`` a
+    target equal to the source is a success without content.
     """
     if targets is None:
         targets = fixed.FANOUT_TARGETS
     wanted = targets if isinstance(targets, Column) else F.array(*map(F.lit, targets))
-    read = read_text(files, source, **detection).select(
-        "path", "source", "text", F.explode(wanted).alias("target")
-    )
+    read = read_text(files, source, **detection) if "content" in files.columns else files
+    read = read.select("path", "source", "text", F.explode(wanted).alias("target"))
     folder = F.lit(output_dir.rstrip("/")) if output_dir else parent("path")
     name = encoded_name("path", F.col("target"))
     same = F.lit(skip_same) & F.coalesce(

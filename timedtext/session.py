@@ -33,13 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage_table(table: DataFrame, name: str) -> DataFrame:
+def stage_table(table: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     For a table that several later steps read: they prune its columns, and losing an
-    executor costs no more than reading it again.
+    executor costs no more than reading it again. ``compression`` is that of the session
+    where it is not given.
     """
     spark = table.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    table.write.parquet(path)
+    table.write.parquet(path, compression=compression)
     return spark.read.schema(table.schema).parquet(path)
