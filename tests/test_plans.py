@@ -72,6 +72,15 @@ def test_files_of_one_block_need_no_join(no_broadcast):
     assert "Join" not in final
 
 
+def test_sentences_of_files_of_one_block_are_not_shuffled(no_broadcast):
+    """Their cues lie together by block; before, every sentence was shuffled once more."""
+    frame = QUERIES["turn_sentences"](no_broadcast, SF_DIR)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.search(r"hashpartitioning\(file_id#\d+L?, block#", final)
+    assert not re.search(r"hashpartitioning\(file_id#\d+L?, sen#", final)
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(spark, QUERIES["turn_sentences"](spark, SF_DIR))
     assert re.findall(r"ReadSchema: (\S+)", text)[0] == "struct<conv_id:bigint,turn:bigint,text:string>"

@@ -33,6 +33,15 @@ def test_sentences_of_cues(spark, block_rows, profile):
             at = r.sen_end
 
 
+@pytest.mark.parametrize("dense", [True, False])
+def test_files_shorter_than_a_block_and_others(spark, dense):
+    """Files of up to three blocks of four cues, also such that fill their last block."""
+    files = {f"f{n}": random_contents(n, n) for n in range(1, 14)} | {f"g{n}": ["a."] * n for n in range(1, 10)}
+    rows = sen.sentences(cue_table(spark, files), block_rows=4, dense=dense).collect()
+    found = {name: [r.sentence for r in sorted(rows, key=lambda r: r.sen) if r.file_id == name] for name in files}
+    assert found == {name: plain_sentences(contents) for name, contents in files.items()}
+
+
 @pytest.mark.parametrize("block_rows", [4, 16384])
 def test_alignment_of_cues(spark, block_rows):
     rows = align.align_cues(cue_table(spark, FILES), block_rows=block_rows).collect()

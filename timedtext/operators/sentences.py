@@ -98,14 +98,17 @@ def fragments(
     keep: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
     dense: bool = False,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """Cuts every cue at the sentence boundaries in it.
 
-    Gives ``(file_id, *keep, sen, cue, frag, text, closes, ends_cue, frag_end)``: the text
+    Gives ``(file_id, *keep, block, sen, cue, frag, text, closes, ends_cue, frag_end)``: the text
     of a sentence is its fragments in order; ``closes`` marks the last one of a sentence,
     ``ends_cue`` the last one of a cue, and ``frag_end`` is the position in the running
     text right after the fragment and the boundary that closes it.
 
+    There are two tables: files that do not fill a block, whose rows lie together by (file, block)
+    so that their sentences need no further shuffle, and files whose sentences may span blocks.
+
     Whether a white-space character is a boundary depends on the four characters before
     it. Every cue puts at least one character in the running text, so a block also gets
     the last four cues of the block before it, and nothing else of its neighbours.
@@ -168,12 +171,38 @@ def fragments(
     )
     # Only a full block has a block after it that needs its sums. Most files are shorter
     # than a block, and for them nothing is cut a second time here.
+    # The three filters use the last place only, so that none goes below the shuffle they share.
     carried = carried_sums(
         cut.where(F.col("last_place") == (F.col("block") + 1) * block_rows),
         ["file_id", *keep],
         {"chars": F.col("size"), "closed": (F.size("parts") - 1).cast("bigint")},
         consecutive=True,
     )
+    numbered = [F.col("closed") - F.col("closes").cast("bigint") + 1, F.col("chars")]
+    short = cut_pieces(cut.where(F.col("last_place") < block_rows), keep, dense)
+    long = cut_pieces(cut.where(F.col("last_place") >= block_rows), keep, dense)
+    long = long.join(carried.drop(*keep), ["file_id", "block"], "left")
+    before = [F.coalesce(name, F.lit(0)) for name in ("closed_before", "chars_before")]
+
+    def placed(pieces: DataFrame, sen: Column, frag_end: Column) -> DataFrame:
+        return pieces.select(
+            "file_id",
+            *keep,
+            "block",
+            sen.alias("sen"),
+            "cue",
+            "frag",
+            "text",
+            "closes",
+            "ends_cue",
+            frag_end.alias("frag_end"),
+        )
+
+    return placed(short, *numbered), placed(long, *(n + b for n, b in zip(numbered, before)))
+
+
+def cut_pieces(cut: DataFrame, keep: Sequence[str], dense: bool) -> DataFrame:
+    """The fragments of cut cues, with ``chars`` and ``closed`` as counted inside their block."""
     # A boundary at the very end of the cue leaves an empty part, which says nothing.
     ends_closed = (F.size("parts") > 1) & (F.element_at("parts", -1) == "")
     used = F.when(ends_closed, F.size("parts") - 1).otherwise(F.size("parts"))
@@ -208,27 +237,12 @@ def fragments(
 
     closes = F.col("closes").cast("bigint")
     size = F.length("text").cast("bigint") + closes
+    in_block = Window.partitionBy("file_id", "block")
     running = in_block.orderBy("place", "frag").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return (
-        pieces.select(
-            "*", F.sum(size).over(running).alias("chars"), F.sum(closes).over(running).alias("closed")
-        )
-        .join(carried.drop(*keep), ["file_id", "block"], "left")
-        .select(
-            "file_id",
-            *keep,
-            (
-                F.col("closed") + F.coalesce("closed_before", F.lit(0)) - closes + 1
-            ).alias("sen"),
-            "cue",
-            "frag",
-            "text",
-            "closes",
-            "ends_cue",
-            (F.col("chars") + F.coalesce("chars_before", F.lit(0))).alias("frag_end"),
-        )
+    return pieces.select(
+        "*", F.sum(size).over(running).alias("chars"), F.sum(closes).over(running).alias("closed")
     )
 
 
@@ -248,16 +262,19 @@ def sentence_cues(
     are still there. A sentence and the cues in it fit in one row, for a sentence is one
     string and every cue in it has at least one character of it. ``dense``: as in ``fragments``.
     """
-    rows = fragments(cues, profile, keep, block_rows, dense)
     part = F.struct("frag_end", "cue", "text", "ends_cue")
-    grouped = rows.groupBy("file_id", *keep, "sen").agg(
+    gathered = [
         F.sort_array(F.collect_list(part)).alias("parts"),
         F.max("closes").alias("closed"),
         F.max(~is_blank("text")).alias("inked"),
         F.min(F.col("frag_end") - F.length("text") - F.col("closes").cast("bigint")).alias(
             "sen_start"
         ),
-    )
+    ]
+    short, long = fragments(cues, profile, keep, block_rows, dense)
+    # with the block in the key the rows of a short file stay where they are
+    grouped = short.groupBy("file_id", "block", *keep, "sen").agg(*gathered).drop("block")
+    grouped = grouped.unionByName(long.groupBy("file_id", *keep, "sen").agg(*gathered))
     raw = F.array_join(F.transform("parts", lambda p: p["text"]), "")
     if profile == "v0":
         open_text = F.substr(raw, F.lit(1), F.length(raw) - 1)
